@@ -70,6 +70,9 @@ US_STATE_REGION = {
 US_COUNTRIES = ("United States", "EE. UU.")
 CARIBBEAN_COUNTRIES = ("Puerto Rico",)
 
+# Part of the last decimal place added before rounding a report.
+NUDGE = 0.00123
+
 # --- Expressions -------------------------------------------------------------------------
 
 
@@ -187,8 +190,12 @@ def quarter_label(date) -> Column:
 
 
 def rnd(value, places: int) -> Column:
-    """Half-up rounding without a negative zero."""
-    return F.round(_col(value), places) + F.lit(0.0)
+    """Rounding for reports and comparisons, without a negative zero.
+
+    Means of cent amounts often end exactly on a half, and the last bit of a sum depends on its
+    order; a nudge far below the last place makes such halves fall the same way every time.
+    """
+    return F.round(_col(value) + F.lit(NUDGE * 10.0 ** -places), places) + F.lit(0.0)
 
 
 def us_macro_region(country, state) -> Column:

@@ -66,15 +66,27 @@ CORRELATION_FEATURES = [
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str] = CORRELATION_FEATURES) -> DataFrame:
-    """Pearson matrix in long form, each pair over the rows where both are known; one pass."""
+    """Pearson matrix in long form, each pair over the rows where both are known.
+
+    Rows are turned into (pair, x, y) records that are combined inside each task, so one scan and
+    one small shuffle serve all pairs. Dozens of two-column aggregates side by side would outgrow
+    what the code generator can compile.
+    """
     features = [f for f in features if f in df.columns]
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("feature_a"), F.lit(y).alias("feature_b"), F.col(f"`{i}`").alias("r")))
-    return row.select(F.inline(F.array(*cells)))
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    records = F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(pairs)
+    ])
+    found = df.select(F.inline(records)).groupBy("pair").agg(F.corr("x", "y").alias("r"))
+    name_a, name_b = (F.try_element_at(F.array(*[F.lit(p[j]) for p in pairs]), F.col("pair") + 1) for j in (0, 1))
+    both = found.select("r", name_a.alias("a"), name_b.alias("b"))
+    cells = [F.struct(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "r"),
+             F.struct(F.col("b").alias("feature_a"), F.col("a").alias("feature_b"), "r")]
+    diagonal = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature_a"), F.lit(f).alias("feature_b"), F.lit(1.0).alias("r")) for f in features
+    ])))
+    return both.select(F.inline(F.array(*cells))).unionByName(diagonal)
 
 
 def crosstab(df: DataFrame, column: str, levels: Sequence[str], share: bool = False, k: int = 10) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 
 def R(expr: str, places: int = 6) -> str:
-    return f"(round({expr}, {places}) + 0.0)"
+    """The rounding of ``functions.columns.rnd``."""
+    return f"(round(({expr}) + {0.00123 * 10.0 ** -places:.12f}::DOUBLE, {places}) + 0.0)"
 
 
 OI = """
