@@ -80,10 +80,17 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _literal(value) -> str:
+    """SQL text of a literal: one expression for a whole table instead of one call per entry."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
 def lookup(key: Column | str, table: Mapping, default=None) -> Column:
     """Value of a small literal table; ``default`` for an unknown or null key."""
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    found = F.try_element_at(F.create_map(*entries), _col(key))
+    entries = ", ".join(_literal(x) for pair in table.items() for x in pair)
+    found = F.try_element_at(F.expr(f"map({entries})"), _col(key))
     return found if default is None else F.coalesce(found, F.lit(default))
 
 

@@ -74,12 +74,10 @@ def correlation_matrix(df: DataFrame, features: Sequence[str] = CORRELATION_FEAT
     """
     features = [f for f in features if f in df.columns]
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    records = F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-        for i, (a, b) in enumerate(pairs)
-    ])
+    records = F.expr("array(" + ", ".join(
+        f"named_struct('pair', {i}, 'x', double(`{a}`), 'y', double(`{b}`))" for i, (a, b) in enumerate(pairs)) + ")")
     found = df.select(F.inline(records)).groupBy("pair").agg(F.corr("x", "y").alias("r"))
-    name_a, name_b = (F.try_element_at(F.array(*[F.lit(p[j]) for p in pairs]), F.col("pair") + 1) for j in (0, 1))
+    name_a, name_b = (X.lookup("pair", {i: p[j] for i, p in enumerate(pairs)}) for j in (0, 1))
     both = found.select("r", name_a.alias("a"), name_b.alias("b"))
     cells = [F.struct(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "r"),
              F.struct(F.col("b").alias("feature_a"), F.col("a").alias("feature_b"), "r")]

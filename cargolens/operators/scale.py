@@ -62,6 +62,8 @@ def with_buckets(df: DataFrame, value: str, parts: int | None = None) -> DataFra
     """
     parts = parts or max(2, min(num_shuffle_partitions(df.sparkSession), 2000))
     steps = [i / parts for i in range(1, parts)]
+    if not steps:
+        return df.withColumn(BUCKET, F.lit(0))
     found = df.approxQuantile(value, steps, 0.25 / parts)
     cuts = sorted({c for c in found if c == c})
     splits = [float("-inf"), *cuts, float("inf")]
