@@ -2,16 +2,144 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
+from cargolens.operators.panel import REGION
+from cargolens.operators.scale import hash_share
 from cargolens.operators.verify import regression_metrics
+from cargolens.session import fit_all
 
 # Share of the regional model in the ensemble, ridge penalty of the stack.
 REGIONAL_SHARE = 0.7
 RIDGE_ALPHA = 1.0
 
+# Size of the boosted ensembles.
+GLOBAL_TREES, GLOBAL_DEPTH = 200, 6
+REGIONAL_TREES, REGIONAL_DEPTH = 150, 5
+LEARNING_RATE, ROW_SHARE, COLUMN_SHARE = 0.05, 0.8, 0.8
+MIN_REGION_ROWS, MIN_TRAIN_ROWS, MIN_TEST_ROWS = 60, 20, 10
+
+
+def boosted_trees(features: Sequence[str], trees: int, depth: int, target: str = "sales",
+                  rate: float = LEARNING_RATE) -> Pipeline:
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=list(features), outputCol="_features"),
+        GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="_prediction", maxIter=trees, maxDepth=depth,
+                     stepSize=rate, subsamplingRate=ROW_SHARE, featureSubsetStrategy=str(COLUMN_SHARE), seed=42),
+    ])
+
+
+def predict(model: PipelineModel, df: DataFrame, alias: str = "prediction") -> DataFrame:
+    return model.transform(df).drop("_features").withColumnRenamed("_prediction", alias)
+
+
+def fit_global(rows: DataFrame, features: Sequence[str], trees: int = GLOBAL_TREES, depth: int = GLOBAL_DEPTH) -> PipelineModel:
+    """One model over all regions, from the rows marked as training rows."""
+    return boosted_trees(features, trees, depth).fit(rows.where("is_train = 1"))
+
+
+def eligible_regions(split: DataFrame) -> list[str]:
+    """Regions with enough rows for a model of their own (one name per region)."""
+    sizes = split.groupBy(REGION).agg(F.max("region_rows").alias("n"), F.max("region_train_rows").alias("t"))
+    fit = (F.col("n") >= MIN_REGION_ROWS) & (F.col("t") >= MIN_TRAIN_ROWS) & (F.col("n") - F.col("t") >= MIN_TEST_ROWS)
+    return [r[0] for r in sizes.where(fit).select(REGION).orderBy(REGION).collect()]
+
+
+def fit_regional(rows: DataFrame, features: Sequence[str], trees: int = REGIONAL_TREES,
+                 depth: int = REGIONAL_DEPTH) -> dict[str, PipelineModel]:
+    """One model per region with enough rows, fitted side by side. ``rows`` has the regional split."""
+    spark = rows.sparkSession
+
+    def job(region: str):
+        part = rows.where((F.col(REGION) == region) & (F.col("is_train") == 1))
+        return lambda: boosted_trees(features, trees, depth).fit(part)
+
+    return fit_all(spark, {r: job(r) for r in eligible_regions(rows)})
+
+
+def predict_regional(models: Mapping[str, PipelineModel], df: DataFrame, alias: str = "regional_prediction") -> DataFrame:
+    """Prediction of the row's own region; null where the region has no model."""
+    out = df.where(~F.col(REGION).isin(*models)).withColumn(alias, F.lit(None).cast("double")) if models else \
+        df.withColumn(alias, F.lit(None).cast("double"))
+    for region, model in models.items():
+        out = out.unionByName(predict(model, df.where(F.col(REGION) == region), alias))
+    return out
+
+
+def regional_performance(models: Mapping[str, PipelineModel], split: DataFrame) -> DataFrame:
+    """Errors on each region's own test rows, with its row counts."""
+    scored = predict_regional(models, split.where("is_train = 0")).where("regional_prediction is not null")
+    errors = regression_metrics(scored, "sales", "regional_prediction", [REGION])
+    sizes = split.groupBy(REGION).agg(F.max("region_rows").alias("samples"), F.max("region_train_rows").alias("train"))
+    return errors.join(sizes, REGION).select(
+        F.col(REGION).alias("region"), "mae", "rmse", "r2", "samples", "train", F.col("n").alias("test"))
+
+
+def evaluate_ensemble(global_model: PipelineModel, models: Mapping[str, PipelineModel], rows: DataFrame) -> DataFrame:
+    """Both predictions and their blend on the test rows of the global split."""
+    test = predict(global_model, rows.where("is_train = 0"), "global_prediction")
+    return ensemble_forecast(predict_regional(models, test))
+
+
+def predict_all_regions(global_model: PipelineModel, models: Mapping[str, PipelineModel], rows: DataFrame) -> DataFrame:
+    """Every row scored once for every region that has a model."""
+    base = predict(global_model, rows, "global_prediction").drop(REGION)
+    every = base.withColumn(REGION, F.explode(F.array(*[F.lit(r) for r in models])))
+    return ensemble_forecast(predict_regional(models, every))
+
+
+def oof_predictions(rows: DataFrame, features: Sequence[str], folds: int = 5, trees: int = GLOBAL_TREES,
+                    depth: int = GLOBAL_DEPTH) -> DataFrame:
+    """Each row predicted by a model that never saw it; folds by row hash."""
+    marked = rows.withColumn("fold", F.floor(hash_share(rows) * folds).cast("int"))
+    jobs = {f: (lambda f=f: boosted_trees(features, trees, depth).fit(marked.where(F.col("fold") != f))) for f in range(folds)}
+    out = None
+    for f, model in fit_all(rows.sparkSession, jobs).items():
+        part = predict(model, marked.where(F.col("fold") == f))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
+    """Feature importances of a fitted pipeline, largest first (one row per feature)."""
+    from pyspark.sql import SparkSession
+
+    values = model.stages[-1].featureImportances.toArray()
+    rows = [(name, float(v)) for name, v in zip(features, values)]
+    return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(
+        F.desc("importance"), "feature")
+
+
+def cv_forecast(folded: DataFrame, features: Sequence[str], folds: int = 5, trees: int = GLOBAL_TREES,
+                depth: int = GLOBAL_DEPTH) -> DataFrame:
+    """Walk-forward validation: fold f trains on all rows before its test block. One row per fold."""
+    first = F.col("rows_total") - F.floor(F.col("rows_total") / (folds + 1)) * folds
+    size = F.floor(F.col("rows_total") / (folds + 1))
+
+    def job(f: int):
+        train = folded.where(F.col("row_index") < first + size * (f - 1))
+        return lambda: boosted_trees(features, trees, depth).fit(train)
+
+    out = None
+    for f, model in fit_all(folded.sparkSession, {f: job(f) for f in range(1, folds + 1)}).items():
+        part = predict(model, folded.where(F.col("test_fold") == f))
+        out = part if out is None else out.unionByName(part)
+    return regression_metrics(out, "sales", "prediction", ["test_fold"]).withColumnRenamed("test_fold", "fold")
+
+
+def summarise_folds(folds: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """Mean and sample deviation of each metric over the folds."""
+    rows = folds.unpivot([], list(metrics), "metric", "value")
+    return rows.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+
+
 
 def ensemble_forecast(preds: DataFrame, share: float = REGIONAL_SHARE) -> DataFrame:
     """Blend of regional and global prediction; the global one alone where a region has no model."""

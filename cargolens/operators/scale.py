@@ -165,18 +165,28 @@ def hash_share(df: DataFrame, seed: int = 42) -> Column:
     return F.pmod(row_hash(df, seed), F.lit(1 << 52)) / float(1 << 52)
 
 
-def add_rank_share(df: DataFrame, strata: Sequence[str] = (), seed: int = 42, alias: str = "_share") -> DataFrame:
-    """Exact rank of a row's hash inside its stratum, as a share in [0, 1).
+def row_index(df: DataFrame, strata: Sequence[str] = (), seed: int = 42, alias: str = "_index") -> DataFrame:
+    """Number the rows of each stratum 0, 1, ... in the order of their hashes, and add the stratum's size.
 
-    ``share < 0.8`` keeps exactly the ceiling of 80 % of every stratum (rows with equal hashes are
-    identical rows and stay on one side). The rank comes from bucketed running totals, so a stratum
-    with most of the rows is spread over all tasks.
+    Ordered by bucket, so a stratum with most of the rows is spread over all tasks.
     """
-    df = df.withColumn("_u", hash_share(df, seed)).withColumn("_one", F.lit(1))
-    ranked = running_totals(df, "_u", {"n": "_one"}, strata)
-    return ranked.withColumn(alias, F.col("n_before") / F.col("n_all")).drop(
-        "_u", "_one", "n_before", "n_ties", "n_all"
-    )
+    df = with_buckets(df.withColumn("_u", hash_share(df, seed)), "_u")
+    keys = [*strata, BUCKET]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    over = W.partitionBy(*strata) if strata else W.partitionBy(F.lit(0))
+    earlier = over.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    carried = sizes.select(*keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(over).alias(f"{alias}_size"))
+    plain = [c for c in df.columns if c not in (BUCKET, "_u") and dict(df.dtypes)[c] in ("string", "int", "bigint", "double")]
+    inside = F.row_number().over(W.partitionBy(*keys).orderBy("_u", *plain)) - 1
+    return df.withColumn("_inside", inside).join(carried, keys) \
+        .withColumn(alias, F.col("_before") + F.col("_inside")).drop(BUCKET, "_u", "_inside", "_before")
+
+
+def add_rank_share(df: DataFrame, strata: Sequence[str] = (), seed: int = 42, alias: str = "_share") -> DataFrame:
+    """Hash rank of a row inside its stratum as a share in [0, 1): ``share < 0.8`` keeps 80 % of every stratum."""
+    ranked = row_index(df, strata, seed)
+    return ranked.withColumn(alias, F.col("_index") / F.col("_index_size")).drop("_index", "_index_size")
 
 
 def stratified_folds(df: DataFrame, strata: Sequence[str], folds: int, seed: int = 42, alias: str = "fold") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -43,16 +45,31 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: no lineage, survives lost executors.
 
     A parquet table is used rather than an RDD checkpoint because the planner then knows the
-    true size of the result and can still prune its columns.
+    true size of the result and can still prune its columns. ``by`` lays the table out in one
+    folder per value, so that a job on one value reads only its rows; the rebalance hint keeps
+    the files even when one value owns most rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cargolens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def fit_all(spark: SparkSession, jobs: dict, threads: int = 8) -> dict:
+    """Run independent fits at the same time; each thread submits its own Spark jobs.
+
+    Slow fits do not hold up the others when the cluster schedules jobs fairly.
+    """
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        running = {key: pool.submit(inheritable_thread_target(spark)(job)) for key, job in jobs.items()}
+        return {key: r.result() for key, r in running.items()}
 
 
 def sized(df: DataFrame) -> DataFrame:
