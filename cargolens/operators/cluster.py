@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
-from cargolens.operators.features import minmax_scale
-from cargolens.session import sized
+from cargolens.operators.clean import sample_rows
+from cargolens.operators.density import dbscan
+from cargolens.operators.features import minmax_scale, standard_scale
+from cargolens.operators.panel import drift_flags, quarterly_regions
+from cargolens.operators.scale import attach
+from cargolens.schema import present
+from cargolens.session import cut, fit_all, sized
 
 # Weights of the resilience index.
 RESILIENCE_WEIGHTS = {
@@ -30,3 +42,182 @@ def resilience_index(metrics: DataFrame, label: str = "cluster_label") -> DataFr
         .withColumn("resilience_tier", X.cut_tiers("resilience_index", edges, labels, include_lowest=True)) \
         .withColumn("tier_order", X.tier_order("resilience_tier", labels))
     return out.drop(*[f"{m}_scaled" for m in measures]).orderBy(F.desc("resilience_index"), label)
+
+
+# --- K-Means -----------------------------------------------------------------------------
+
+CLUSTER_FEATURES = [
+    "latitude", "longitude", "shipping_distance_km", "days_real", "sales", "quantity", "late_risk",
+    "weather_risk", "region_late_rate", "region_avg_order_value",
+]
+
+
+def cluster_features(df: DataFrame, candidates: Sequence[str] = CLUSTER_FEATURES) -> tuple[DataFrame, list[str]]:
+    """Complete rows with z-scored features (``*_z``) of those candidates that exist."""
+    names = present(df, candidates)
+    out = standard_scale(df.dropna(subset=names), names)
+    return out, [f"{c}_z" for c in names]
+
+
+def with_vector(df: DataFrame, features: Sequence[str], alias: str = "features") -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol=alias).transform(df)
+
+
+def kmeans_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42) -> tuple[DataFrame, dict]:
+    """Inertia and silhouette per k. Returns the table (one row per k) and the fitted models.
+
+    The silhouette uses squared distances, which Spark computes in one linear pass over all rows.
+    """
+    vectors = vectors.select("features").persist()
+    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", metricName="silhouette")
+
+    def job(k: int):
+        def run():
+            model = KMeans(k=k, seed=seed, maxIter=300, featuresCol="features", predictionCol="prediction").fit(vectors)
+            return model, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(vectors)))
+        return run
+
+    found = fit_all(vectors.sparkSession, {k: job(k) for k in ks})
+    vectors.unpersist()
+    best = max(found, key=lambda k: (found[k][2], -k))
+    rows = [(k, inertia, sil, int(k == best)) for k, (_, inertia, sil) in found.items()]
+    table = vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, is_best int")
+    return table.orderBy("k"), {k: m for k, (m, _, _) in found.items()}
+
+
+def attach_labels(df: DataFrame, model, features: Sequence[str], alias: str = "kmeans_cluster", missing: int = 0) -> DataFrame:
+    """Cluster label on every row; incomplete rows get ``missing``."""
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull()
+    done = model.transform(with_vector(df.where(whole), features)).drop("features").withColumnRenamed("prediction", alias)
+    rest = df.where(~whole).withColumn(alias, F.lit(missing))
+    return done.unionByName(rest)
+
+
+def sampled_silhouette(df: DataFrame, features: Sequence[str], label: str, sample: int = 10_000) -> DataFrame:
+    """Euclidean silhouette on a fixed sample, which is how the measure is defined for large data.
+
+    The sample (at most ``sample`` short rows) is sent to all tasks; each task compares its own rows.
+    """
+    rows = sample_rows(df.select(*features, label), sample)
+    local = rows.toPandas()
+    spark = df.sparkSession
+    data = spark.sparkContext.broadcast((local[list(features)].to_numpy(float), local[label].to_numpy()))
+
+    def score(batches):
+        x, y = data.value
+        levels, sizes = np.unique(y, return_counts=True)
+        for batch in batches:
+            out = []
+            for i in batch["id"]:
+                d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+                sums = np.array([d[y == v].sum() for v in levels])
+                own = int(np.flatnonzero(levels == y[i])[0])
+                if sizes[own] < 2 or len(levels) < 2:
+                    out.append(0.0)
+                    continue
+                a = sums[own] / (sizes[own] - 1)
+                b = np.delete(sums / sizes, own).min()
+                out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
+            yield pd.DataFrame({"s": out})
+
+    ids = spark.range(len(local)).repartition(max(1, min(len(local) // 500, 256)))
+    return ids.mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette"), F.count("s").alias("rows"))
+
+
+def davies_bouldin(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Mean over clusters of the worst (spread + spread) / centre distance."""
+    centres = df.groupBy(label).agg(*[F.avg(f).alias(f"_c{i}") for i, f in enumerate(features)])
+    joined = attach(df.select(label, *features), centres, label)
+    d2 = sum(((F.col(f) - F.col(f"_c{i}")) * (F.col(f) - F.col(f"_c{i}")) for i, f in enumerate(features)), F.lit(0.0))
+    stats = sized(joined.groupBy(label).agg(F.avg(F.sqrt(d2)).alias("s"), *[F.first(f"_c{i}").alias(f"_c{i}") for i in range(len(features))]))
+    other = stats.select(F.col(label).alias("_o"), F.col("s").alias("so"), *[F.col(f"_c{i}").alias(f"_o{i}") for i in range(len(features))])
+    gap2 = sum(((F.col(f"_c{i}") - F.col(f"_o{i}")) * (F.col(f"_c{i}") - F.col(f"_o{i}")) for i in range(len(features))), F.lit(0.0))
+    worst = stats.join(other, F.col(label) != F.col("_o")).groupBy(label).agg(
+        F.max((F.col("s") + F.col("so")) / F.sqrt(gap2)).alias("r"))
+    return worst.agg(F.avg("r").alias("davies_bouldin"), F.count(F.lit(1)).alias("clusters"))
+
+
+# Radii tried by the density sweep.
+EPS_GRID = (0.3, 0.5, 0.7, 1.0, 1.5)
+
+
+def dbscan_sweep(points: DataFrame, features: Sequence[str], grid: Sequence[float] = EPS_GRID, min_samples: int = 10,
+                 tune_rows: int = 20_000, silhouette_rows: int = 5_000) -> DataFrame:
+    """Clusters, noise and silhouette of the non-noise rows per radius, on a fixed tuning sample.
+
+    Radii with fewer than two clusters or eleven clustered rows have no silhouette. The best one is marked;
+    without any, 0.5 is.
+    """
+    sample = cut(sample_rows(points.select("id", *features), tune_rows))
+    rows = []
+    for eps in grid:
+        labels = cut(dbscan(sample, features, eps, min_samples))
+        facts = labels.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("k"),
+                           F.count_if(F.col("label") < 0).alias("noise"), F.count_if(F.col("label") >= 0).alias("m")).first()
+        sil = None
+        if facts["k"] >= 2 and facts["m"] > 10:
+            inner = sample.join(labels.where("label >= 0"), "id")
+            sil = sampled_silhouette(inner, features, "label", silhouette_rows).first()["silhouette"]
+        rows.append((float(eps), int(facts["k"]), int(facts["noise"]), sil))
+    scored = [r for r in rows if r[3] is not None and r[3] > -1]
+    best = max(scored, key=lambda r: r[3])[0] if scored else 0.5
+    return points.sparkSession.createDataFrame(
+        [(*r, int(r[0] == best)) for r in rows], "eps double, clusters int, noise int, silhouette double, is_best int")
+
+
+def region_segments(df: DataFrame, features: Sequence[str] = CLUSTER_FEATURES, key: str = "macro_region") -> DataFrame:
+    """Regions grouped by their mean features into at most four segments, split from the top down.
+
+    Nothing is returned for fewer than three regions.
+    """
+    names = present(df, features)
+    means = sized(df.groupBy(key).agg(*[F.avg(f).alias(f) for f in names]).dropna())
+    n = means.count()
+    if n < 3:
+        return means.select(key, F.lit(0).alias("segment")).limit(0)
+    vectors = with_vector(standard_scale(means, names), [f"{c}_z" for c in names])
+    model = BisectingKMeans(k=min(4, n - 1), seed=42, featuresCol="features", predictionCol="segment").fit(vectors)
+    return model.transform(vectors).select(key, "segment")
+
+
+# --- Quarterly clusters ------------------------------------------------------------------
+
+
+def _quarter_labels(k: int):
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        """Lloyd iterations over the regions of one quarter, best of several seeded starts."""
+        x = part[["late_rate", "demand_vol", "avg_sales"]].fillna(0.0).to_numpy(float)
+        order = np.lexsort(x.T)
+        draw = np.random.default_rng(42)
+        best = None
+        for _ in range(10):
+            centres = x[draw.choice(order, size=min(k, len(x)), replace=False)]
+            for _ in range(300):
+                near = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+                moved = np.array([x[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(len(centres))])
+                if np.allclose(moved, centres):
+                    break
+                centres = moved
+            cost = ((x - centres[near]) ** 2).sum()
+            if best is None or cost < best[0] - 1e-12:
+                best = (cost, near, centres)
+        _, near, centres = best
+        rank = np.argsort(np.lexsort((centres[:, 2], centres[:, 0])))  # label 0 has the lowest late rate
+        return part.assign(cluster_label=rank[near].astype("int32"))
+
+    return fit
+
+
+def quarterly_clusters(quarters: DataFrame, k: int = 5) -> DataFrame:
+    """Cluster the regions of each quarter; labels are ordered by late rate so that quarters compare.
+
+    One group holds one row per region of a quarter, already aggregated.
+    """
+    schema = ", ".join(f"{c} {t}" for c, t in quarters.dtypes) + ", cluster_label int"
+    return quarters.groupBy("quarter").applyInPandas(_quarter_labels(k), schema)
+
+
+def cluster_drift(df: DataFrame, k: int = 5) -> DataFrame:
+    return drift_flags(cut(quarterly_clusters(quarterly_regions(df, k), k)))

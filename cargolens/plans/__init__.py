@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "reports", "panels", "tests_stat", "risk_finance", "verification", "models")
+MODULES = ("cleaning", "reports", "panels", "tests_stat", "risk_finance", "verification", "models", "clusters")
 
 
 def load_all() -> None:
