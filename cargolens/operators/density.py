@@ -11,29 +11,69 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.operators.scale import running_totals
+from cargolens.operators.scale import attach, running_totals
 from cargolens.session import cut
 
 # Two boxes with more point pairs than this are split further before points are compared.
 SPLIT_ABOVE = 100_000
 _KEEP_DIMS = 3
+# Cells per block; two blocks are compared in memory at once.
+_BLOCK = 1000
 
 
-def _gap2(alo: str, ahi: str, blo: str, bhi: str, far: bool) -> Column:
-    """Squared smallest (or largest) distance between two boxes."""
+def _gap2(dims: int, far: bool) -> Column:
+    """Squared smallest (or largest) distance between the boxes (alo, ahi) and (blo, bhi).
+
+    Written out per dimension: element access is compiled, array lambdas are interpreted.
+    """
     if far:
-        sides = f"zip_with(zip_with({ahi}, {blo}, (p, q) -> abs(p - q)), zip_with({bhi}, {alo}, (p, q) -> abs(p - q)), (p, q) -> greatest(p, q))"
+        sides = [f"greatest(abs(ahi[{i}] - blo[{i}]), abs(bhi[{i}] - alo[{i}]))" for i in range(dims)]
     else:
-        sides = (f"zip_with(zip_with({alo}, {bhi}, (p, q) -> p - q), zip_with({blo}, {ahi}, (p, q) -> p - q), "
-                 "(p, q) -> greatest(p, q, 0D))")
-    return F.expr(f"aggregate({sides}, 0D, (s, v) -> s + v * v)")
-
-
-def _dist2(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (p, q) -> (p - q) * (p - q)), 0D, (s, v) -> s + v)")
+        sides = [f"greatest(alo[{i}] - bhi[{i}], blo[{i}] - ahi[{i}], 0D)" for i in range(dims)]
+    return F.expr(" + ".join(f"({v}) * ({v})" for v in sides))
+
+
+def _dist2(a: str, b: str, dims: int) -> Column:
+    return F.expr(" + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(dims)))
+
+
+def _near_boxes(dims: int, eps: float):
+    """Compare two blocks of boxes: pairs of different cells within reach of each other."""
+    e2 = eps * eps
+
+    def compare(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                alo, ahi = (np.asarray(v, float).reshape(-1, dims) for v in (row.a_lo, row.a_hi))
+                blo, bhi = (np.asarray(v, float).reshape(-1, dims) for v in (row.b_lo, row.b_hi))
+                acell, bcell = np.asarray(row.a_cell), np.asarray(row.b_cell)
+                # A few dimensions for all pairs, then the others for the pairs still within reach.
+                p, q = None, None
+                near = np.zeros((len(alo), len(blo)))
+                for i in range(dims):
+                    if p is None:
+                        gap = np.maximum(alo[:, None, i] - bhi[None, :, i], blo[None, :, i] - ahi[:, None, i])
+                    else:
+                        gap = np.maximum(alo[p, i] - bhi[q, i], blo[q, i] - ahi[p, i])
+                    near += np.square(np.maximum(gap, 0.0, out=gap), out=gap)
+                    if p is None and (i == 3 or i == dims - 1):
+                        p, q = np.nonzero((near <= e2) & (acell[:, None] != bcell[None, :]))
+                        near = near[p, q]
+                    elif p is not None:
+                        keep = near <= e2
+                        p, q, near = p[keep], q[keep], near[keep]
+                if not len(p):
+                    continue
+                far = np.square(np.maximum(np.abs(ahi[p] - blo[q]), np.abs(bhi[q] - alo[p]))).sum(axis=1)
+                an, ap, bn, bp = (np.asarray(v) for v in (row.a_n, row.a_places, row.b_n, row.b_places))
+                yield pd.DataFrame({"a": acell[p], "b": bcell[q], "an": an[p], "bn": bn[q], "ap": ap[p], "bp": bp[q], "full": far <= e2})
+
+    return compare
 
 
 def _grid(x: str, side: float) -> Column:
@@ -70,6 +110,8 @@ class _Cells:
 
         Cells meet through a coarse grid of side >= eps. Dimensions whose occupied coarse cells are never
         adjacent join the key as they are; of the others the most varied few are searched in both directions.
+        The cells under one key are packed into blocks of limited size, and blocks (not cells) are sent to
+        the neighbouring keys: a crowded key becomes many blocks that are compared in many tasks.
         """
         step = math.ceil(math.sqrt(self.dims))
         coarse = [F.floor(F.col("g")[i] / step).cast("bigint").alias(f"k{i}") for i in range(self.dims)]
@@ -81,25 +123,25 @@ class _Cells:
             seen = held.agg(*[F.sort_array(F.collect_set(f"k{i}")).alias(f"k{i}") for i in few]).first()
             alone = [i for i in few if all(b - a > 1 for a, b in zip(seen[f"k{i}"], seen[f"k{i}"][1:]))]
         spread = sorted((i for i in range(self.dims) if i not in alone), key=lambda i: -counts[f"k{i}"])[:_KEEP_DIMS]
-        ask = held.select(F.col("cell").alias("a"), F.col("n").alias("an"), F.col("places").alias("ap"),
-                          F.col("lo").alias("alo"), F.col("hi").alias("ahi"), *[f"k{i}" for i in range(self.dims)])
+        keys = [f"k{i}" for i in sorted([*alone, *spread])]
+        sizes = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+        part = F.pmod(F.xxhash64("cell"), F.ceil(F.col("_m") / _BLOCK))
+        blocks = cut(attach(held, sizes, keys).groupBy(*keys, part.alias("part")).agg(
+            *[F.collect_list(c).alias(c) for c in ("cell", "n", "places")],
+            F.flatten(F.collect_list("lo")).alias("lo"), F.flatten(F.collect_list("hi")).alias("hi")))
+        names = ("cell", "n", "places", "lo", "hi")
+        ask = blocks.select(*keys, *[F.col(c).alias(f"a_{c}") for c in names])
         for i in spread:
             ask = ask.withColumn(f"k{i}", F.explode(F.expr(f"array(k{i} - 1, k{i}, k{i} + 1)")))
-        keys = [f"k{i}" for i in sorted([*alone, *spread])]
-        ask = ask.select("a", "an", "ap", "alo", "ahi", *keys)
-        other = held.select(F.col("cell").alias("b"), F.col("n").alias("bn"), F.col("places").alias("bp"),
-                            F.col("lo").alias("blo"), F.col("hi").alias("bhi"), *keys)
-        near = ask.join(other, keys).where(F.col("a") != F.col("b")) \
-            .where(_gap2("alo", "ahi", "blo", "bhi", far=False) <= self.eps * self.eps)
-        full = _gap2("alo", "ahi", "blo", "bhi", far=True) <= self.eps * self.eps
-        return near.select("a", "b", "an", "bn", "ap", "bp", full.alias("full"))
+        meet = ask.join(blocks.select(*keys, *[F.col(c).alias(f"b_{c}") for c in names]), keys).drop(*keys)
+        return meet.mapInPandas(_near_boxes(self.dims, self.eps), "a bigint, b bigint, an bigint, bn bigint, ap bigint, bp bigint, full boolean")
 
     def close_points(self, cell_pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
         """Joined (left point, right point) rows within eps for the given cell pairs; meant to be aggregated at once."""
         l = left.select(F.col("cell").alias("a"), F.col("pid").alias("p"), F.col("x").alias("px"))
         keep = [c for c in right.columns if c not in ("cell", "x")]
         r = right.select(F.col("cell").alias("b"), F.col("x").alias("qx"), *keep)
-        return cell_pairs.join(l, "a").join(r, "b").where(_dist2("px", "qx") <= self.eps * self.eps)
+        return cell_pairs.join(l, "a").join(r, "b").where(_dist2("px", "qx", self.dims) <= self.eps * self.eps)
 
 
 def neighbour_counts(points: DataFrame, features: Sequence[str], eps: float) -> DataFrame:
@@ -163,8 +205,8 @@ def _touching(c: _Cells, core: DataFrame) -> DataFrame:
             joined = joined.alias("w").join(side.alias("s"), same).select(
                 "w.*", *[F.col(f"s.{name}{t}") for t in ("k", "n", "lo", "hi")])
         e2 = c.eps * c.eps
-        tested = joined.withColumn("near2", _gap2("alo", "ahi", "blo", "bhi", far=False)) \
-            .withColumn("far2", _gap2("alo", "ahi", "blo", "bhi", far=True)).where(F.col("near2") <= e2)
+        tested = joined.withColumn("near2", _gap2(c.dims, far=False)) \
+            .withColumn("far2", _gap2(c.dims, far=True)).where(F.col("near2") <= e2)
         tested = cut(tested.select("a", "b", "ak", "bk", "an", "bn", (F.col("far2") <= e2).alias("hit")))
         found = cut(found.unionByName(tested.where("hit").select("a", "b")).distinct())
         left = tested.where("not hit").join(found, ["a", "b"], "left_anti")
@@ -180,7 +222,7 @@ def _touching(c: _Cells, core: DataFrame) -> DataFrame:
         l = keyed.select(F.col("cell").alias("a"), F.col("k").alias("ak"), F.col("x").alias("px"))
         r = keyed.select(F.col("cell").alias("b"), F.col("k").alias("bk"), F.col("x").alias("qx"))
         todo = small.where(F.col("level") == level).join(found, ["a", "b"], "left_anti")
-        hit = todo.join(l, ["a", "ak"]).join(r, ["b", "bk"]).where(_dist2("px", "qx") <= c.eps * c.eps)
+        hit = todo.join(l, ["a", "ak"]).join(r, ["b", "bk"]).where(_dist2("px", "qx", c.dims) <= c.eps * c.eps)
         found = cut(found.unionByName(hit.select("a", "b")).distinct())
     return found
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "reports", "panels", "tests_stat", "risk_finance", "verification", "models", "clusters")
+MODULES = ("cleaning", "reports", "panels", "tests_stat", "risk_finance", "verification", "models", "clusters", "causal")
 
 
 def load_all() -> None:

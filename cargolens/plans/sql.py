@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def R(expr: str, places: int = 6) -> str:
     """The rounding of ``functions.columns.rnd``."""
-    return f"(round(({expr}) + {0.00123 * 10.0 ** -places:.12f}::DOUBLE, {places}) + 0.0)"
+    return f"(round(({expr}) + {0.00123 * 10.0 ** -places:.18f}::DOUBLE, {places}) + 0.0)"
 
 
 OI = """
