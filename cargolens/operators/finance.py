@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,8 +41,9 @@ def cost_curve(scored: DataFrame, cost_fn: float, cost_fp: float = FALSE_ALARM_C
     leaves one small row per step, over which a running sum gives all error counts.
     """
     grid = list(grid or threshold_grid())
-    passed = F.size(F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: F.col(score) >= t))
-    steps = scored.groupBy(passed.alias("step")).agg(
+    splits = [float("-inf"), *grid, float("inf")]
+    known = Bucketizer(splits=splits, inputCol=score, outputCol="_step").transform(scored.where(F.col(score).isNotNull()))
+    steps = known.groupBy(F.col("_step").cast("int").alias("step")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     every = scored.sparkSession.range(len(grid) + 1).select(F.col("id").cast("int").alias("step"))
     filled = every.join(steps, "step", "left").fillna(0)

@@ -149,6 +149,16 @@ ORDER_ITEM_COLUMNS = (
 )
 
 
+def _spread(lines: DataFrame) -> DataFrame:
+    """Give every core a share of a small input.
+
+    A file with one row group is read by one task, and broadcast joins would keep all further work in
+    that task. Inputs that already come in as many splits as there are cores are left alone.
+    """
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores, "l_orderkey") if lines.rdd.getNumPartitions() < cores else lines
+
+
 def order_items(spark: SparkSession, folder: str, columns: Iterable[str] | None = None) -> DataFrame:
     """Order lines of a star schema (lineitem, orders, customer, part, supplier, nation, region).
 
@@ -163,7 +173,7 @@ def order_items(spark: SparkSession, folder: str, columns: Iterable[str] | None
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    df = table("lineitem")
+    df = _spread(table("lineitem"))
     if "orders" in need:
         df = df.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "customer" in need:
