@@ -199,13 +199,15 @@ def ate_ci(rows: DataFrame, covariates: Sequence[str] = LATE_COVARIATES, replica
     """
     table = cut(add_propensity(cut(cells(rows, covariates)), covariates))
     kinds = F.array(*[
-        F.struct(F.lit(t).alias("t"), F.lit(y).alias("y"), (F.col(f"y{t}") if y else F.col(f"n{t}") - F.col(f"y{t}")).alias("c"))
+        F.struct(F.lit(t).alias("_t"), F.lit(y).alias("_y"), (F.col(f"y{t}") if y else F.col(f"n{t}") - F.col(f"y{t}")).alias("_c"))
         for t in (0, 1) for y in (0, 1)])
-    long = table.select("score", *covariates, F.inline(kinds)).where("c > 0")
-    runs = long.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    drawn = runs.withColumn("w", _poisson(F.col("c").cast("long"), F.pmod(F.xxhash64(F.lit(seed), "replicate", "t", "y", *covariates), F.lit(1 << 52)) / float(1 << 52)))
-    arm = lambda t, y: F.sum(F.when((F.col("t") == t) & (F.col("y") >= y), F.col("w")).otherwise(0))
-    again = drawn.groupBy("replicate", "score").agg(arm(1, 0).alias("n1"), arm(1, 1).alias("y1"), arm(0, 0).alias("n0"), arm(0, 1).alias("y0"))
+    long = table.select("score", *covariates, F.inline(kinds)).where("_c > 0")
+    runs = long.withColumn("_run", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    share = F.pmod(F.xxhash64(F.lit(seed), "_run", "_t", "_y", *covariates), F.lit(1 << 52)) / float(1 << 52)
+    drawn = runs.withColumn("_w", _poisson(F.col("_c").cast("long"), share))
+    arm = lambda t, y: F.sum(F.when((F.col("_t") == t) & (F.col("_y") >= y), F.col("_w")).otherwise(0))
+    again = drawn.groupBy(F.col("_run").alias("replicate"), "score").agg(
+        arm(1, 0).alias("n1"), arm(1, 1).alias("y1"), arm(0, 0).alias("n0"), arm(0, 1).alias("y0"))
     effects = match_ate(nearest_score_match(cut(again), ["replicate"]), ["replicate"])
     limits = exact_quantiles(cut(effects), ["ate"], {"ci_low": 0.025, "median": 0.5, "ci_high": 0.975})
     return limits.select("ci_low", "median", "ci_high", F.lit(replicates).alias("replicates"))
