@@ -82,9 +82,7 @@ REGIONAL_COLUMNS = [
 ]
 
 
-def regional_stats(df: DataFrame, key: str = "macro_region") -> DataFrame:
-    """Per region: late rate, shipping days mean and deviation, sales mean, sum and count, mean discount."""
-    have = set(df.columns)
+def _regional_measures(have: set[str]) -> list[Column]:
     aggs: list[Column] = []
     if "late_risk" in have:
         aggs.append(F.avg("late_risk").alias("region_late_rate"))
@@ -95,7 +93,12 @@ def regional_stats(df: DataFrame, key: str = "macro_region") -> DataFrame:
                  F.count("sales").alias("region_total_orders")]
     if "discount_rate" in have:
         aggs.append(F.avg("discount_rate").alias("region_avg_discount"))
-    return df.groupBy(key).agg(*aggs)
+    return aggs
+
+
+def regional_stats(df: DataFrame, key: str = "macro_region") -> DataFrame:
+    """Per region: late rate, shipping days mean and deviation, sales mean, sum and count, mean discount."""
+    return df.groupBy(key).agg(*_regional_measures(set(df.columns)))
 
 
 def regional_stats_ext(df: DataFrame, key: str = "macro_region") -> DataFrame:
@@ -123,8 +126,22 @@ def add_regional(df: DataFrame, key: str = "macro_region", train: Column | None
 
 
 def build_features(df: DataFrame) -> DataFrame:
-    """The full feature table: geography, calendar and regional aggregates."""
-    return add_regional(add_calendar(add_geography(df)))
+    """The full feature table: geography, calendar and regional aggregates.
+
+    Country centres and regional statistics come out of one pass over the rows (grouping sets), so the
+    joins behind ``df`` run twice in all: once for both summaries, once for the table itself.
+    """
+    if not {"order_country", "latitude", "longitude"} <= set(df.columns):
+        return add_regional(add_calendar(add_geography(df)))
+    base = add_calendar(add_cross_border(add_macro_region(df)))
+    measures = _regional_measures(set(base.columns))
+    both = sized(base.groupingSets([["order_country"], ["macro_region"]], "order_country", "macro_region").agg(
+        F.grouping("order_country").alias("_by_region"), F.avg("latitude").alias("dest_lat"),
+        F.avg("longitude").alias("dest_lon"), *measures))
+    centres = both.where("_by_region = 0").select("order_country", "dest_lat", "dest_lon")
+    regions = both.where("_by_region = 1").select("macro_region", *[c for c in REGIONAL_COLUMNS if c in both.columns])
+    out = base.join(centres, "order_country", "left").join(regions, "macro_region", "left")
+    return out.withColumn("shipping_distance_km", X.haversine_km("latitude", "longitude", "dest_lat", "dest_lon"))
 
 
 # --- Encodings and scalings --------------------------------------------------------------

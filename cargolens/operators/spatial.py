@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cargolens.functions.pvalues import t_pvalue
-from cargolens.operators.scale import BUCKET, with_buckets
+from cargolens.operators.scale import BUCKET, row_index, with_buckets
 from cargolens.session import cut, num_shuffle_partitions
 
 _DEPTH = 24  # halvings of the square around all points; 2 * 24 bits of cell code fit a double exactly
@@ -133,19 +133,19 @@ def morans_i(points: DataFrame, k: int = 8) -> DataFrame:
 def moran_permutation(points: DataFrame, replicates: int = 99, k: int = 8, seed: int = 42) -> DataFrame:
     """Permutation p-value of Moran's I: values are dealt out anew over fixed edges.
 
-    Each replicate orders the points by a hash and hands the value of position p to the point with
-    id position p; one aggregation over (replicate, edge) gives all statistics together.
+    Points are numbered once; each replicate numbers them again in a hash order of its own and hands the
+    value with number p to the point with number p. Numbers come from ordered buckets, so no task holds all
+    points of a replicate; one aggregation over (replicate, edge) gives all statistics together. Replicate 0
+    keeps the values where they are.
     """
     edges = cut(knn_join(points.select("id", "x", "y"), k))
     m = points.agg(F.struct(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).alias("v")).scalar()
     z = points.select("id", ((F.col("value") - m.getField("m")) / m.getField("s")).alias("z"))
-    runs = z.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    place = F.row_number().over(W.partitionBy("run").orderBy("id"))
-    deal = F.row_number().over(W.partitionBy("run").orderBy(
-        F.when(F.col("run") == 0, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "run", "id")), "id"))
-    both = runs.select("run", "id", "z", place.alias("place"), deal.alias("deal"))
-    dealt = both.select("run", "id", "place").join(
-        both.select("run", F.col("deal").alias("place"), "z"), ["run", "place"]).select("run", "id", "z")
+    numbered = cut(row_index(z, seed=seed, alias="place").select("id", "z", "place"))
+    runs = numbered.select("z", "place").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+    deal = F.when(F.col("run") == 0, F.col("place")).otherwise(F.col("deal"))
+    given = row_index(runs, ["run"], seed, alias="deal").select("run", deal.alias("place"), "z")
+    dealt = cut(given.join(numbered.select("id", "place"), "place").select("run", "id", "z"))
     pairs = edges.join(dealt.withColumnRenamed("id", "src").withColumnRenamed("z", "zs"), "src") \
         .join(dealt.withColumnRenamed("id", "dst").withColumnRenamed("z", "zd"), ["dst", "run"])
     stats = pairs.groupBy("run").agg((F.sum(F.col("zs") * F.col("zd")) / F.count(F.lit(1))).alias("i"))

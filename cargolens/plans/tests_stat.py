@@ -186,7 +186,7 @@ c AS (SELECT order_region, q, d.v, (SELECT count(*) FROM b WHERE b.order_region
 k AS (SELECT p.order_region, p.q, max(abs(x.f - y.f)) AS ks FROM p JOIN c x ON x.order_region = p.order_region AND x.q = p.q
  JOIN c y ON y.order_region = p.order_region AND y.q = p.pq AND y.v = x.v GROUP BY 1, 2)
 SELECT order_region, q::VARCHAR AS quarter_start, {R('ks')} AS ks_distance,
- {R('(n1+n0)*greatest(abs(a1*(n0-a0)-a0*(n1-a1)) - (n1+n0)/2.0, 0)^2/((a1+a0)*(n1+n0-a1-a0)*n1*n0)', 5)} AS late_chi2 FROM p JOIN k USING (order_region, q)""")
+ {R('(n1+n0)*greatest(abs(a1*(n0-a0)-a0*(n1-a1)) - (n1+n0)/2.0, 0)^2/nullif(((a1+a0)*(n1+n0-a1-a0)*n1*n0)::DOUBLE, 0)', 5)} AS late_chi2 FROM p JOIN k USING (order_region, q)""")
 def q_shift(spark, sf):
     out = stats.distribution_shift(items(spark, sf, "order_region", "order_date", "days_real", "late_risk"))
     out = _round(_round(out, 6, "ks_distance"), 5, "late_chi2")

@@ -89,3 +89,13 @@ def test_scenario_costs_and_empty_scenarios(spark, fitted, rows):
     df = spark.createDataFrame([("Standard Class", 10.0), ("Same Day", 5.0)], "shipping_mode string, profit double")
     out = causal.whatif_cost(df, "profit > 0", "First Class").first()
     assert (out["orders_affected"], out["shipping_cost_delta"], out["baseline_profit"]) == (2, -2.0, 15.0)
+
+
+def test_whole_pipeline_runs_on_small_data(spark, folder):
+    from cargolens.plans.inputs import FEATURE_INPUTS
+    from cargolens.plans.pipeline import Sizes, run
+    from cargolens.sources.orders import order_items
+
+    out = run(order_items(spark, folder, FEATURE_INPUTS), Sizes(2, 1, 3, 2, 2, range(2, 4)))
+    assert {"kmeans", "demand", "risk", "effect", "pareto", "esg", "resilience", "drift", "cost_threshold"} <= set(out)
+    assert out["risk"].count() == order_items(spark, folder, ["sales"]).count()
