@@ -335,6 +335,16 @@ def q_save(spark, sf):
     return again.groupBy("macro_region").agg(F.max(F.abs(F.col("first") - F.col("second"))).alias("largest_difference"), F.count(F.lit(1)).alias("rows"))
 
 
+@query("load_models")
+def q_load(spark, sf):
+    """A stored late-delivery model read back by its index and applied to the test rows."""
+    path = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    save_models({"late": {"global": late_classifier(spark, sf)}}, path)
+    rows, _ = late_rows(spark, sf)
+    model = load_models(spark, path)["late"]["global"]
+    return classify.classifier_metrics(classify.predict_probability(model, rows.where("is_train = 0")))
+
+
 @query("metrics_table")
 def q_metrics(spark, sf):
     path = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
