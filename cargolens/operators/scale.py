@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cargolens.session import num_shuffle_partitions, sized
+from cargolens.session import cut, num_shuffle_partitions, sized
 
 BUCKET = "_bucket"
 
@@ -84,7 +84,9 @@ def running_totals(
     numeric = value if dict(df.dtypes)[value] == "double" else "_order"
     if numeric != value:
         df = df.withColumn(numeric, F.col(value).cast("double"))
-    df = with_buckets(df, numeric)
+    # The counts are read for the cut points, for the bucket totals and for the rows: they are written
+    # once, so that the scan and the joins behind them do not run again for each.
+    df = with_buckets(cut(df), numeric)
     keys = [*by, BUCKET]
     sums = [F.sum(m).alias(f"{out}_in_bucket") for out, m in totals.items()]
     borders = df.groupBy(*keys).agg(*sums)
