@@ -26,11 +26,11 @@ from cargolens.llm.common import need, own_name, runs
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHED, LONGEST = 250_000, 64
+CACHED, LONGEST = 150_000, 64
 #: Words up to this length are merged together, so many at once.
 SHORT, TOGETHER = 30, 4096
 #: Characters of the texts whose words are looked up together.
-RUN = 1 << 21
+RUN = 1 << 20
 _NEVER = float("inf")
 #: Of this many texts of a batch, one is encoded by the library as well.
 CHECK_EVERY = 16
@@ -60,13 +60,14 @@ class Encoder:
         joined = "".join(re.escape(c) for c in sorted({c for p in merged for c in p} - {SPACE}))
         # Spaces with the word after them; spaces alone; a character that no merge touches.
         self.chunks = re.compile(f"{SPACE}*[{joined}]+|{SPACE}+|[^{joined}{SPACE}]", re.S).findall
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.young: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.old: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # Symbols as numbers: the id of a piece, or for another character the number of pieces plus its code point.
         self.pieces = len(model.pieces)
         self.pad = self.pieces + 0x110000
         self.shift = self.pad + 1
+        self.kind = np.uint16 if self.pieces <= 1 << 16 else np.uint32
         self.text = [str(i) for i in range(self.pieces)]
         self.single = np.arange(self.pieces, self.pad, dtype=np.int32)
         for piece, i in self.ids.items():
@@ -111,16 +112,16 @@ class Encoder:
                 enter(before[a], a)
         return [s for s in symbol if s]
 
-    def chunk_ids(self, chunk: str) -> tuple[str, tuple[int, ...]]:
+    def chunk_ids(self, chunk: str) -> bytes:
         out: list[int] = []
         for piece in self.merge(chunk):
             if piece in self.ids:
                 out.append(self.ids[piece])
             else:
                 out += [self.bytes[b] for b in piece.encode("utf-8")]
-        found = (",".join(map(str, out)), tuple(out))
+        found = np.array(out, self.kind).tobytes()
         if len(chunk) <= LONGEST:
-            if len(self.known) >= CACHED:
+            if len(self.known) >= CACHED // 8:
                 self.known.clear()
             self.known[chunk] = found
         return found
@@ -131,7 +132,7 @@ class Encoder:
         at = np.searchsorted(self.pair_keys, wanted)
         return np.where(self.pair_keys[at] == wanted, at, len(self.pair_keys) - 1).astype(np.int32)
 
-    def merge_together(self, words: list[str]) -> list[tuple[str, tuple[int, ...]]]:
+    def merge_together(self, words: list[str]) -> list[bytes]:
         """Ids of many words, each with a space before it: their agendas are the rows of one matrix.
 
         In a step every word merges its best pair, the leftmost of equals, and looks up the two new pairs.
@@ -143,44 +144,42 @@ class Encoder:
         symbol[:, :width][np.arange(width) < size[:, None]] = self.single[code]
         place = self._pairs(symbol[:, :-1], symbol[:, 1:])
         last = len(self.pair_keys) - 1
-        order = self.pair_order[place]
         live = np.arange(len(words))
         done = np.empty((len(words), width), np.int32)
         column = np.arange(width)
         while len(live):
+            order = self.pair_order[place]
             at = order.argmin(axis=1)
-            row = np.arange(len(live))
-            more = order[row, at] < _NEVER
-            if not more.all():
+            more = order[np.arange(len(live)), at] < _NEVER
+            row = np.flatnonzero(more)
+            if len(row) <= 0.6 * len(live):
                 done[live[~more]] = symbol[~more, :width]
-                live, symbol, order, place, at = live[more], symbol[more], order[more], place[more], at[more]
-                row = np.arange(len(live))
-                if not len(live):
-                    break
+                live, symbol, place = live[row], symbol[row], place[row]
+                continue
+            behind = column > np.where(more, at, width)[:, None]
+            at = at[row]
             merged = self.pair_piece[place[row, at]]
-            behind = column >= at[:, None] + 1
             symbol[:, :width] = np.where(behind, symbol[:, 1:], symbol[:, :width])
             symbol[:, width] = self.pad
             symbol[row, at] = merged
             place[:, :-1] = np.where(behind[:, :-1], place[:, 1:], place[:, :-1])
-            place[:, -1] = last
+            place[row, -1] = last
             place[row, at] = self._pairs(merged, symbol[row, at + 1])
             some = at > 0
             place[row[some], at[some] - 1] = self._pairs(symbol[row[some], at[some] - 1], merged[some])
-            order = self.pair_order[place]
-        out = []
         kept = done != self.pad
-        count, flat = kept.sum(axis=1).tolist(), done[kept].tolist()
-        start = 0
-        for n in count:
-            ids = flat[start:start + n]
-            start += n
-            if max(ids) >= self.pieces:
-                ids = [x for i in ids for x in ([i] if i < self.pieces else [self.bytes[b] for b in chr(i - self.pieces).encode("utf-8")])]
-            out.append((",".join([self.text[i] for i in ids]), tuple(ids)))
+        ends = np.cumsum(kept.sum(axis=1))
+        flat = done[kept]
+        data, wide = flat.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        stops = (ends * wide).tolist()
+        out = [data[a:b] for a, b in zip([0, *stops], stops)]
+        for i in np.flatnonzero((done >= self.pieces).any(axis=1, where=kept)):
+            ids = (x for x in done[i][kept[i]].tolist())
+            flat_ids = [y for x in ids for y in ([x] if x < self.pieces else [self.bytes[b] for b in chr(x - self.pieces).encode("utf-8")])]
+            out[i] = np.array(flat_ids, self.kind).tobytes()
         return out
 
-    def prepare(self, words: set[str]) -> dict[str, tuple[str, tuple[int, ...]]]:
+    def prepare(self, words: set[str]) -> dict[str, bytes]:
         """Ids of all ``words``: known ones, and the others merged in groups of like length."""
         old, young = self.old, self.young
         found, new = {}, []
@@ -198,8 +197,7 @@ class Encoder:
         while start < len(new):
             if len(new[start]) > SHORT:
                 for w in new[start:]:
-                    parts = [self.chunk_ids(c) for c in self.chunks(SPACE + w)]
-                    found[w] = (",".join([f[0] for f in parts]), tuple(chain.from_iterable([f[1] for f in parts])))
+                    found[w] = b"".join([self.chunk_ids(c) for c in self.chunks(SPACE + w)])
                 break
             end = start
             while end < len(new) and end < start + TOGETHER and len(new[end]) <= min(SHORT, len(new[start]) + 2):
@@ -213,8 +211,8 @@ class Encoder:
             self.old, self.young = young, {}
         return found
 
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """(ids joined by commas, ids) of every text; words of a run of texts are merged together."""
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of every text; words of all of them are merged together."""
         simple = [bool(self.prefix) and bool(t) and t[0] != " " and "  " not in t and SPACE not in t for t in texts]
         words = set()
         for t, ok in zip(texts, simple):
@@ -226,7 +224,7 @@ class Encoder:
                 found = [known[w] for w in t.split(" ")]
             else:
                 found = [plain.get(c) or make(c) for c in self.chunks(self.prefix + t.replace(" ", SPACE))] if t else []
-            yield ",".join([f[0] for f in found]), list(chain.from_iterable([f[1] for f in found]))
+            yield np.frombuffer(b"".join(found), self.kind).tolist()
 
 
 def encoder(proto: bytes) -> Encoder:
@@ -258,12 +256,13 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", check_e
             count, digest, back, all_ids, texts = [], [], [], [], []
             values = [t or "" for t in batch.to_pylist()]
             coded = chain.from_iterable(e.encode_all(values[a:b]) for a, b in runs(values, RUN))
-            for i, (t, (joined, ids)) in enumerate(zip(values, coded)):
+            text_of = e.text
+            for i, (t, ids) in enumerate(zip(values, coded)):
                 if check_every and i % check_every == 0 and e.library.encode(t) != ids:
                     raise ValueError(f"the library encodes this text in another way: {t[:200]!r}")
                 decoded = e.library.decode(ids) if ids else ""
                 count.append(len(ids))
-                digest.append(hashlib.sha256(joined.encode()).hexdigest())
+                digest.append(hashlib.sha256(",".join([text_of[x] for x in ids]).encode()).hexdigest())
                 back.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                 if lists:
                     all_ids.append(ids)

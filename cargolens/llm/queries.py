@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm import jaccard_join, langid, mixing, pieces, pii
+from cargolens.llm import html_text, jaccard_join, langid, lm, mixing, pieces, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_log_bilinear")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op2_language_id")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -35,6 +40,24 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_share").alias("share"))
 
 
+#: Equal payloads by SHA-1; base32 from the hexadecimal digest, five digits (20 bits) to four letters.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY sha1(html)) AS last FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * g, 5))::BIGINT >> (5 * (3 - k))) & 31)::INT, 1)
+    for k in range(4)], '') for g in range(8)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM d
+"""
+
+
+@query("op4_warc_round_trip", WARC_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    files = warc.write(table(spark, folder, "pages"), warc.archive_folder(spark))
+    return warc.read(files).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 @query("op6_pii_pseudonyms")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -104,3 +127,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(table(spark, folder, "documents").select("doc_id", "text")).drop("row")
+
+
+@query("op10_main_text")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.main_text(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
