@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm import html_text, jaccard_join, langid, lm, mixing, pieces, pii, warc
+from cargolens.llm import html_text, jaccard_join, langid, lm, mixing, near_vectors, pieces, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_share").alias("share"))
 
 
+@query("op3_quality_rules")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    rated = quality.rate(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 #: Equal payloads by SHA-1; base32 from the hexadecimal digest, five digits (20 bits) to four letters.
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -133,3 +139,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = html_text.main_text(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op5_near_vectors")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.link(table(spark, folder, "embeddings"))
