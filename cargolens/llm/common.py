@@ -11,11 +11,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -34,6 +35,17 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"columns missing: {missing}; there are {df.columns}")
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of some megabytes: texts can be long, and every batch is held several times over.
+
+    A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def own_name(df: DataFrame, wanted: str) -> str:
     """A helper column name that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargolens.llm.common import need
+from cargolens.llm.common import lean_batches, need
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
@@ -194,4 +194,5 @@ def main_text(pages: DataFrame, html_column: str = "html", into: str = "text") -
     rows agree and an empty table stays empty.
     """
     need(pages, html_column)
+    lean_batches(pages.sparkSession)
     return pages.withColumn(into, text_column(F.col(html_column).cast("string")))

@@ -36,7 +36,8 @@ BRANCH = 1.43
 #: Chance that a run brings such a pair together, taken low: the survival of that branching walk.
 RUN_RECALL = 0.37
 DEPTH = 8
-BLOCK = 256
+#: Classes of a large node that are compared with a few others at once; classes and shingles of a block.
+CHUNK, BLOCK, BLOCK_SHINGLES = 256, 1024, 1 << 21
 _SEEDS = np.random.default_rng(9).integers(1, 1 << 63, (2, TOKENS), dtype=np.uint64)
 
 
@@ -113,11 +114,18 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1) >= ENOUGH
 
 
+@F.arrow_udf(T.BinaryType())
+def _sketch(sig: pa.Array) -> pa.Array:
+    """A byte of every token: enough to compare classes, a quarter of the size."""
+    low = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).astype(np.uint8).reshape(-1, TOKENS)
+    return pa.array([x.tobytes() for x in low], pa.binary())
+
+
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the similar pairs of every small node."""
     for table, at in whole_groups(batches, "node"):
         cls = table["cls"].to_pylist()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, TOKENS)
+        sig = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
         a, b = [], []
         for s, e in zip(at[:-1], at[1:]):
             if e - s < 2:
@@ -131,6 +139,29 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
+def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In every chunk of a large node: one near partner for each class that is far from the node's first."""
+    for table, at in whole_groups(batches, "node", "chunk"):
+        cls, far = table["cls"].to_pylist(), np.asarray(table["far"])
+        sig = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
+        a, b = [], []
+        for s, e in zip(at[:-1], at[1:]):
+            all_, few = s + np.flatnonzero(~far[s:e]), s + np.flatnonzero(far[s:e])
+            for i in few:
+                hit = [j for j in all_[_near(sig[i], sig[all_])] if cls[j] != cls[i]]
+                if hit:
+                    a.append(cls[i])
+                    b.append(cls[hit[0]])
+        # Far classes near each other meet as well: each is also among all classes of some chunk.
+        for s, e in zip(at[:-1], at[1:]):
+            few = s + np.flatnonzero(far[s:e])
+            for k, i in enumerate(few):
+                for j in few[k + 1:][_near(sig[i], sig[few[k + 1:]])]:
+                    a.append(cls[i])
+                    b.append(cls[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
 @F.arrow_udf(T.BooleanType())
 def _alike(x: pa.Array, y: pa.Array) -> pa.Array:
     a, b = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(-1, TOKENS) for v in (x, y))
@@ -140,31 +171,43 @@ def _alike(x: pa.Array, y: pa.Array) -> pa.Array:
 def candidates(classes: DataFrame, runs: int) -> DataFrame:
     """(a, b): pairs of classes that put all candidate pairs of the walks into one group.
 
-    A large node whose members are all near its smallest one is a group already and needs no more splitting.
-    A large node that is still mixed at the greatest depth becomes one group as a whole: the exact
-    comparison then does what brute force would have done there.
+    In a large node, classes near its smallest one are in that one's group. If only a few others are left, those
+    are compared with the whole node, and it is done. Else the node is split further. A large node that is still
+    mixed at the greatest depth becomes one group as a whole: the exact comparison then does what brute
+    force would have done there.
     """
     spark = classes.sparkSession
+    parts = num_shuffle_partitions(spark)
+    sketches = classes.select("cls", _sketch("sig").alias("sketch"))
     edges = None
     rows = classes.select("cls", "sig").mapInArrow(_walk(runs), "node bigint, cls binary")
     for depth in range(1, DEPTH + 1):
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = cut(rows.join(counts, "node").join(classes.select("cls", "sig"), "cls").select("node", "cls", "n", "sig"))
-        small = met.where(F.col("n") <= SMALL).select("node", "cls", "sig").repartition(num_shuffle_partitions(spark), "node") \
+        met = cut(rows.join(counts, "node").select("node", "cls", "n"))
+        small = met.where(F.col("n") <= SMALL).select("node", "cls").join(sketches, "cls").repartition(parts, "node") \
             .sortWithinPartitions("node").mapInArrow(_brute, "a binary, b binary")
-        large = met.where(F.col("n") > SMALL)
+        large = met.where(F.col("n") > SMALL).join(classes.select("cls", "sig"), "cls")
         lead = large.groupBy("node").agg(F.min(F.struct("cls", "sig")).alias("lead"))
-        judged = large.join(lead, "node").select("node", "cls", "sig", F.col("lead.cls").alias("a"), _alike("sig", "lead.sig").alias("near"))
+        judged = large.join(lead, "node").select("node", "cls", "sig", "n", F.col("lead.cls").alias("a"), _alike("sig", "lead.sig").alias("near"))
         if depth < DEPTH:
             judged = cut(judged)
             star = judged.where("near").select("a", F.col("cls").alias("b"))
         else:
             star = judged.select("a", F.col("cls").alias("b"))
-        found = cut(small.unionByName(star).where("a != b").distinct())
+        found = small.unionByName(star)
+        if depth < DEPTH:
+            left = cut(judged.where("NOT near").groupBy("node").agg(F.count(F.lit(1)).alias("others")))
+            few = judged.join(left.where(F.col("others") <= SMALL), "node").withColumn("sketch", _sketch("sig"))
+            chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+            whole = few.select("node", F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), "cls", "sketch", F.lit(False).alias("far"))
+            sent = few.where("NOT near").select("node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "cls", "sketch", F.lit(True).alias("far"))
+            found = found.unionByName(whole.unionByName(sent).repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk")
+                                      .mapInArrow(_against, "a binary, b binary"))
+        found = cut(found.where("a != b").distinct())
         edges = found if edges is None else edges.unionByName(found)
         if depth == DEPTH:
             break
-        mixed = judged.groupBy("node").agg(F.min("near").alias("all")).where("NOT all").select("node")
+        mixed = left.where(F.col("others") > SMALL).select("node")
         if mixed.isEmpty():
             break
         rows = judged.join(mixed, "node").select("node", "cls", "sig").mapInArrow(_walk(runs), "node bigint, cls binary")
@@ -234,20 +277,21 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: float
     """
     need(docs, text, key)
     spark = docs.sparkSession
+    common.lean_batches(spark)
     rows = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     signed = cut(rows.mapInArrow(_signed, f"row bigint, key {kind}, size bigint, cls binary, sig binary"))
     classes = cut(signed.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("row").alias("row"), F.count(F.lit(1)).alias("members"), F.first("sig").alias("sig")))
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("sig").alias("sig")))
     edges = cut(candidates(classes, runs_for(recall)))
     met = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"))
     groups = cut(connected_components(met, edges))
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    wanted = groups.join(sizes, "root").join(classes.select("cls", "row", "members"), F.col("node") == F.col("cls")) \
-        .select("row", "cls", "members", F.col("root").alias("group"), "n")
+    sized = groups.join(classes.select("cls", "row", "members", "size"), F.col("node") == F.col("cls")).select("row", "cls", "members", "size", F.col("root").alias("group"))
+    sizes = sized.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
+    wanted = sized.join(sizes, "group").select("row", "cls", "members", "group", "n")
     one = rows.select("row", "text").join(wanted, "row").groupBy("row", "cls", "members", "group", "n").agg(F.first("text").alias("text"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    sets = one.select("cls", "group", "n", "members", "text").mapInArrow(_shingled, "cls binary, group binary, n bigint, members bigint, shingles array<bigint>") \
+    blocks = F.col("n")
+    sets = one.select("cls", "group", "n", "members", "text").mapInArrow(_shingled, "cls binary, group binary, n int, members bigint, shingles array<bigint>") \
         .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     paired = sets.select("*", other.alias("o")).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})

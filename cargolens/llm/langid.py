@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import id_mod, mix, need, runs
+from cargolens.llm.common import id_mod, lean_batches, mix, need, runs
 from cargolens.session import cut
 
 SIZE = 3
@@ -149,6 +149,7 @@ def _counted():
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     """Filters from every labelled row. Rows without text or label teach nothing; without rows there are no languages."""
     need(docs, text, lang)
+    lean_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counted = rows.mapInArrow(_counted(), "lang string, gram bigint, n bigint") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -178,6 +179,7 @@ def predict_column(spark: SparkSession, filters: Filters):
     a lettered text that no language knows gets the first language with score 0.
     """
     sent = spark.sparkContext.broadcast(filters)
+    lean_batches(spark)
 
     @F.arrow_udf(RESULT)
     def predict(column: pa.Array) -> pa.Array:

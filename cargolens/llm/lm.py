@@ -325,6 +325,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """
     need(docs, text, key)
     spark = docs.sparkSession
+    common.lean_batches(spark)
     train = id_mod(key, HELD_PARTS) != HELD
     scorer = learn(docs.where(train), text)
     sent = spark.sparkContext.broadcast(scorer)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import Forest, need, whole_groups
+from cargolens.llm.common import Forest, lean_batches, need, whole_groups
 from cargolens.operators.density import connected_components
 from cargolens.session import cut, num_shuffle_partitions
 
@@ -181,6 +181,7 @@ def link(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", seed:
     """
     need(rows, vector, key)
     spark = rows.sparkSession
+    lean_batches(spark)
     kind = rows.schema[key].dataType.simpleString()
     noded = cut(rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(
         _noded, f"id {kind}, node bigint, dims int, unit binary"))

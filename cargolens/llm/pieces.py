@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from cargolens.llm.common import need, own_name, runs
+from cargolens.llm.common import lean_batches, need, own_name, runs
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -244,6 +244,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", check_e
     the executors. Rows are handled one by one, so repeated rows agree and an empty table stays empty.
     """
     need(docs, text)
+    lean_batches(docs.sparkSession)
     with open(path or public_tokenizers.path(MODEL), "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
     made = own_name(docs, "_made")

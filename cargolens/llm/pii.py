@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import need, own_name
+from cargolens.llm.common import lean_batches, need, own_name
 
 ROUNDS = 8
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "date")
@@ -254,6 +254,7 @@ def mask(docs: DataFrame, key: bytes = TRIAL_KEY, text: str = "text", counts: bo
     so. Input columns named like a count are replaced; ``counts=False`` adds none. Every row is handled alone, so repeated rows agree.
     """
     need(docs, text)
+    lean_batches(docs.sparkSession)
     made = own_name(docs, "_made")
     out = docs.withColumn(made, pseudonym_column(F.col(text).cast("string"), key)).withColumn(text, F.col(f"{made}.text"))
     if counts:

@@ -121,6 +121,7 @@ def base_failed() -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text but with its counts; input columns of their names are replaced."""
     need(docs, text)
+    common.lean_batches(docs.sparkSession)
     made = common.own_name(docs, "_made")
     out = docs.withColumn(made, feature_column(F.col(text)))
     return out.withColumns({f: F.col(f"{made}.{f}") for f in FEATURES}).drop(made, text)

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import need
+from cargolens.llm.common import lean_batches, need
 from cargolens.session import cut, num_shuffle_partitions, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
@@ -95,6 +95,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     page is an empty payload. Payloads are told apart by their SHA-1, as WARC does.
     """
     need(pages, key, url, html)
+    lean_batches(pages.sparkSession)
     rows = pages.select(F.col(key).cast("bigint").alias("page"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"),
                         F.sha1(F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")).alias("sum"))
     first = rows.groupBy("sum").agg(F.max("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
