@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cargolens.functions import columns as X
 from cargolens.operators.features import add_codes, level_codes, one_hot_drop_first
 from cargolens.operators.risk import map_cancel_rate
-from cargolens.operators.scale import add_rank_share, row_index, stratified_folds
+from cargolens.operators.scale import add_rank_share, row_index, stratified_folds, with_row_id
 from cargolens.operators.verify import confusion, ranking_scores, regression_metrics
 from cargolens.session import cut, fit_all
 
@@ -49,7 +49,8 @@ def late_inputs(df: DataFrame, levels: Mapping[str, Sequence[str]] | None = None
     """Numeric inputs that exist plus 0/1 columns per category level (first level dropped)."""
     numeric = [c for c in LATE_NUMERIC if c in df.columns]
     categories = [c for c in LATE_CATEGORIES if c in df.columns]
-    known = df.where(F.col("late_risk").isNotNull())
+    # Rows without a label can't teach, but with the levels of a fitted model they are coded and scored.
+    known = df.where(F.col("late_risk").isNotNull()) if levels is None else df
     coded, dummies, levels = one_hot_drop_first(known, categories, levels)
     return coded.withColumn("label", F.col("late_risk").cast("int")), [*numeric, *dummies], levels
 
@@ -119,13 +120,15 @@ def late_regional_performance(models: Mapping[str, PipelineModel], rows: DataFra
         part = predict_probability(model, rows.where((F.col(REGION) == region) & (F.col("is_train") == 0)))
         part = part.select(REGION, "label", "score", "predicted")
         scored = part if scored is None else scored.unionByName(part)
+    if scored is None:  # no region has a model
+        scored = rows.where("false").select(REGION, "label", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     sizes = rows.groupBy(REGION).agg(F.count(F.lit(1)).alias("samples"), F.sum("label").alias("late_count"))
     return classifier_metrics(scored, [REGION]).join(sizes, REGION)
 
 
 def predict_late(global_model: PipelineModel, models: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame:
     """Probability from the row's regional model if there is one, else from the global model."""
-    rest = df.where(~F.col(REGION).isin(*models)) if models else df
+    rest = df.where(~F.coalesce(F.col(REGION).isin(*models), F.lit(False))) if models else df
     out = predict_probability(global_model, rest)
     for region, model in models.items():
         out = out.unionByName(predict_probability(model, df.where(F.col(REGION) == region)))
@@ -254,7 +257,7 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequ
     That is one join per repeat for all columns together, and one model pass for everything.
     """
     base = rows.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("_y"))
-    numbered = row_index(base.withColumn("_x", F.array(*features)), seed=seed)
+    numbered = row_index(with_row_id(base.withColumn("_x", F.array(*features))), seed=seed, key=["_row"])
     numbered = cut(numbered.select("_y", "_x", "_index", "_index_size"))
     shift = F.pmod(F.xxhash64(F.lit(seed), F.col("_repeat")), F.col("_index_size") - 1) + 1
     asks = numbered.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))) \

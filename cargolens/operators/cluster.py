@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
-from cargolens.operators.clean import sample_rows
 from cargolens.operators.density import dbscan
 from cargolens.operators.features import minmax_scale, standard_scale
 from cargolens.operators.panel import drift_flags, quarterly_regions
@@ -95,35 +94,21 @@ def attach_labels(df: DataFrame, model, features: Sequence[str], alias: str = "k
     return done.unionByName(rest)
 
 
-def sampled_silhouette(df: DataFrame, features: Sequence[str], label: str, sample: int = 10_000) -> DataFrame:
-    """Euclidean silhouette on a fixed sample, which is how the measure is defined for large data.
+def label_all(df: DataFrame, scaled: DataFrame, model, names: Sequence[str], candidates: Sequence[str] = CLUSTER_FEATURES,
+              alias: str = "kmeans_cluster", missing: int = 0) -> DataFrame:
+    """``df`` with a cluster label on every row; rows that ``cluster_features`` left out as incomplete get ``missing``."""
+    done = attach_labels(scaled, model, names, alias, missing).drop(*names)
+    whole = F.lit(True)
+    for c in present(df, candidates):
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return done.unionByName(df.where(~whole).withColumn(alias, F.lit(missing)))
 
-    The sample (at most ``sample`` short rows) is sent to all tasks; each task compares its own rows.
-    """
-    rows = sample_rows(df.select(*features, label), sample)
-    local = rows.toPandas()
-    spark = df.sparkSession
-    data = spark.sparkContext.broadcast((local[list(features)].to_numpy(float), local[label].to_numpy()))
-
-    def score(batches):
-        x, y = data.value
-        levels, sizes = np.unique(y, return_counts=True)
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
-                sums = np.array([d[y == v].sum() for v in levels])
-                own = int(np.flatnonzero(levels == y[i])[0])
-                if sizes[own] < 2 or len(levels) < 2:
-                    out.append(0.0)
-                    continue
-                a = sums[own] / (sizes[own] - 1)
-                b = np.delete(sums / sizes, own).min()
-                out.append((b - a) / max(a, b) if max(a, b) > 0 else 0.0)
-            yield pd.DataFrame({"s": out})
-
-    ids = spark.range(len(local)).repartition(max(1, min(len(local) // 500, 256)))
-    return ids.mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette"), F.count("s").alias("rows"))
+
+def silhouette(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """Silhouette over all rows, by squared distances, which need one linear pass instead of all pairs."""
+    vectors = with_vector(df.select(*features, F.col(label).cast("double").alias(label)), features)
+    value = ClusteringEvaluator(featuresCol="features", predictionCol=label, metricName="silhouette").evaluate(vectors)
+    return df.agg(F.lit(float(value)).alias("silhouette"), F.count(F.lit(1)).alias("rows"))
 
 
 def davies_bouldin(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -143,23 +128,21 @@ def davies_bouldin(df: DataFrame, features: Sequence[str], label: str) -> DataFr
 EPS_GRID = (0.3, 0.5, 0.7, 1.0, 1.5)
 
 
-def dbscan_sweep(points: DataFrame, features: Sequence[str], grid: Sequence[float] = EPS_GRID, min_samples: int = 10,
-                 tune_rows: int = 20_000, silhouette_rows: int = 5_000) -> DataFrame:
-    """Clusters, noise and silhouette of the non-noise rows per radius, on a fixed tuning sample.
+def dbscan_sweep(points: DataFrame, features: Sequence[str], grid: Sequence[float] = EPS_GRID, min_samples: int = 10) -> DataFrame:
+    """Clusters, noise and silhouette of the non-noise rows per radius, over all points.
 
     Radii with fewer than two clusters or eleven clustered rows have no silhouette. The best one is marked;
     without any, 0.5 is.
     """
-    sample = cut(sample_rows(points.select("id", *features), tune_rows))
+    points = cut(points.select("id", *features))
     rows = []
     for eps in grid:
-        labels = cut(dbscan(sample, features, eps, min_samples))
+        labels = cut(dbscan(points, features, eps, min_samples))
         facts = labels.agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("k"),
                            F.count_if(F.col("label") < 0).alias("noise"), F.count_if(F.col("label") >= 0).alias("m")).first()
         sil = None
         if facts["k"] >= 2 and facts["m"] > 10:
-            inner = sample.join(labels.where("label >= 0"), "id")
-            sil = sampled_silhouette(inner, features, "label", silhouette_rows).first()["silhouette"]
+            sil = silhouette(points.join(labels.where("label >= 0"), "id"), features, "label").first()["silhouette"]
         rows.append((float(eps), int(facts["k"]), int(facts["noise"]), sil))
     scored = [r for r in rows if r[3] is not None and r[3] > -1]
     best = max(scored, key=lambda r: r[3])[0] if scored else 0.5

@@ -265,7 +265,7 @@ def dbscan(points: DataFrame, features: Sequence[str], eps: float, min_samples:
     roots = connected_components(home.select(F.col("cell").alias("node")), _touching(c, core))
     grouped = cut(home.join(roots, F.col("cell") == F.col("node")).select("cell", "first", "root"))
     clusters = grouped.groupBy("root").agg(F.min("first").alias("first")).withColumn("one", F.lit(1))
-    numbered = running_totals(clusters.withColumn("_f", F.col("first").cast("double")), "_f", {"k": "one"})
+    numbered = running_totals(clusters, "first", {"k": "one"})
     labels = cut(grouped.join(numbered.select("root", F.col("k_before").alias("label")), "root").select("cell", "label"))
     core_labels = core.join(labels, "cell").select("pid", "cell", "x", "label")
     open_points = c.points.join(core.select("pid"), "pid", "left_anti")

@@ -14,7 +14,7 @@ from cargolens.functions import columns as X
 from cargolens.operators.panel import REGION
 from cargolens.operators.scale import hash_share
 from cargolens.operators.verify import regression_metrics
-from cargolens.session import fit_all
+from cargolens.session import cut, fit_all
 
 # Share of the regional model in the ensemble, ridge penalty of the stack.
 REGIONAL_SHARE = 0.7
@@ -66,7 +66,7 @@ def fit_regional(rows: DataFrame, features: Sequence[str], trees: int = REGIONAL
 
 def predict_regional(models: Mapping[str, PipelineModel], df: DataFrame, alias: str = "regional_prediction") -> DataFrame:
     """Prediction of the row's own region; null where the region has no model."""
-    out = df.where(~F.col(REGION).isin(*models)).withColumn(alias, F.lit(None).cast("double")) if models else \
+    out = df.where(~F.coalesce(F.col(REGION).isin(*models), F.lit(False))).withColumn(alias, F.lit(None).cast("double")) if models else \
         df.withColumn(alias, F.lit(None).cast("double"))
     for region, model in models.items():
         out = out.unionByName(predict(model, df.where(F.col(REGION) == region), alias))
@@ -90,9 +90,11 @@ def evaluate_ensemble(global_model: PipelineModel, models: Mapping[str, Pipeline
 
 def predict_all_regions(global_model: PipelineModel, models: Mapping[str, PipelineModel], rows: DataFrame) -> DataFrame:
     """Every row scored once for every region that has a model."""
-    base = predict(global_model, rows, "global_prediction").drop(REGION)
-    every = base.withColumn(REGION, F.explode(F.array(*[F.lit(r) for r in models])))
-    return ensemble_forecast(predict_regional(models, every))
+    base = cut(predict(global_model, rows, "global_prediction").drop(REGION))
+    scored = base.withColumns({REGION: F.lit(""), "regional_prediction": F.lit(0.0)}).where("false")
+    for region, model in models.items():  # one pass over the rows per model
+        scored = scored.unionByName(predict(model, base.withColumn(REGION, F.lit(region)), "regional_prediction"))
+    return ensemble_forecast(scored)
 
 
 def oof_predictions(rows: DataFrame, features: Sequence[str], folds: int = 5, trees: int = GLOBAL_TREES,

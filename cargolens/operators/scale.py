@@ -60,7 +60,7 @@ def with_buckets(df: DataFrame, value: str, parts: int | None = None) -> DataFra
     The cut points come from one mergeable quantile sketch; they only balance the work and
     never change a result.
     """
-    parts = parts or max(2, min(num_shuffle_partitions(df.sparkSession), 2000))
+    parts = parts or max(2, num_shuffle_partitions(df.sparkSession))
     steps = [i / parts for i in range(1, parts)]
     if not steps:
         return df.withColumn(BUCKET, F.lit(0))
@@ -100,9 +100,10 @@ def running_totals(
         *[F.sum(f"{out}_in_bucket").over(over).alias(f"{out}_all") for out in totals],
     )
     inside = W.partitionBy(*keys)
-    direction = F.col(numeric).desc() if descending else F.col(numeric).asc()
+    # Buckets go by the number, order and ties by the value itself: large integers can share a double.
+    direction = F.col(value).desc() if descending else F.col(value).asc()
     upto = inside.orderBy(direction).rangeBetween(W.unboundedPreceding, W.currentRow)
-    same = W.partitionBy(*keys, numeric)
+    same = W.partitionBy(*keys, value)
     local = df.select(
         "*",
         *[F.sum(m).over(upto).alias(f"{out}_upto") for out, m in totals.items()],
@@ -167,12 +168,20 @@ def hash_share(df: DataFrame, seed: int = 42) -> Column:
     return F.pmod(row_hash(df, seed), F.lit(1 << 52)) / float(1 << 52)
 
 
-def row_index(df: DataFrame, strata: Sequence[str] = (), seed: int = 42, alias: str = "_index") -> DataFrame:
+def with_row_id(df: DataFrame, alias: str = "_row") -> DataFrame:
+    """Number the rows of a written copy of ``df``, so that equal rows can be told apart and keep their numbers."""
+    return cut(cut(df).withColumn(alias, F.monotonically_increasing_id()))
+
+
+def row_index(df: DataFrame, strata: Sequence[str] = (), seed: int = 42, alias: str = "_index", key: Sequence[str] = ()) -> DataFrame:
     """Number the rows of each stratum 0, 1, ... in the order of their hashes, and add the stratum's size.
 
-    Ordered by bucket, so a stratum with most of the rows is spread over all tasks.
+    Ordered by bucket, so a stratum with most of the rows is spread over all tasks. The hash covers ``key``, or
+    else all columns; equal rows then stand side by side, and many of them in one bucket, so give a key
+    where rows repeat or where the order has to be a random deal.
     """
-    df = with_buckets(df.withColumn("_u", hash_share(df, seed)), "_u")
+    share = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)) / float(1 << 52) if key else hash_share(df, seed)
+    df = with_buckets(df.withColumn("_u", share), "_u")
     keys = [*strata, BUCKET]
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     over = W.partitionBy(*strata) if strata else W.partitionBy(F.lit(0))

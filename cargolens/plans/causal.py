@@ -110,7 +110,7 @@ def q_fraud(spark, sf):
 
 @query("ate_ci")
 def q_ci(spark, sf):
-    return causal.ate_ci(prepared(spark, sf), replicates=50)
+    return causal.ate_ci(prepared(spark, sf), replicates=100)
 
 
 @query("whatif_cost", f"""

@@ -58,7 +58,7 @@ def q_attach(spark, sf):
 
 @query("kmeans_silhouette")
 def q_silhouette(spark, sf):
-    return cluster.sampled_silhouette(best_labels(spark, sf), scaled(spark, sf)[1], "kmeans_cluster")
+    return cluster.silhouette(best_labels(spark, sf), scaled(spark, sf)[1], "kmeans_cluster")
 
 
 @query("kmeans_davies_bouldin")
@@ -120,6 +120,11 @@ def q_dbscan(spark, sf):
     return density.dbscan(product_points(spark, sf), ["a", "b", "c"], 0.2, 10)
 
 
+@query("dbscan_sweep")
+def q_dbscan_sweep(spark, sf):
+    return cluster.dbscan_sweep(product_points(spark, sf), ["a", "b", "c"])
+
+
 @query("dbscan_order_lines")
 def q_dbscan_rows(spark, sf):
     rows, names = scaled(spark, sf)

@@ -240,7 +240,7 @@ def q_curve(spark, sf):
 @query("permutation_importance")
 def q_perm(spark, sf):
     rows, names = late_rows(spark, sf)
-    return classify.permutation_importance(late_classifier(spark, sf), rows.where("is_train = 0"), names, "classification", repeats=2)
+    return classify.permutation_importance(late_classifier(spark, sf), rows.where("is_train = 0"), names, "classification")
 
 
 # --- Fraud, cancellation, composite ------------------------------------------------------
@@ -310,7 +310,7 @@ def q_cancel_score(spark, sf):
 def q_composite(spark, sf):
     """The three fitted models scored in one chain over one table: no join back by position or key."""
     df = table(spark, sf)
-    coded, late_names, _ = classify.late_inputs(df)
+    coded, _, _ = classify.late_inputs(df, classify.late_inputs(df)[2])  # with levels, rows without a label stay
     out = classify.predict_probability(late_classifier(spark, sf), coded, "p_late", flag=None)
     coded, _, _ = classify.fraud_inputs(out)
     out = classify.predict_probability(fraud_model(spark, sf), coded, "p_fraud", flag=None)

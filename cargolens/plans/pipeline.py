@@ -31,12 +31,14 @@ def run(orders: DataFrame, sizes: Sizes | None = None, sample: int | None = None
     """Run every phase on cleaned order items. ``sample`` keeps a fixed random sample after the features."""
     sizes = sizes or Sizes()
     out: dict[str, DataFrame] = {}
+    failed: list[tuple[str, str]] = []
 
     def phase(name: str, build: Callable[[], DataFrame]) -> None:
         try:
             out[name] = build()
-        except Exception as problem:  # one failing phase must not stop the others
+        except Exception as problem:  # one failing phase must not stop the others; the caller gets its reason
             log.warning("%s left out: %s", name, problem)
+            failed.append((name, f"{type(problem).__name__}: {problem}"))
 
     table = features.build_features(orders)
     table = cut(table if sample is None else clean.sample_rows(table, sample))
@@ -46,7 +48,7 @@ def run(orders: DataFrame, sizes: Sizes | None = None, sample: int | None = None
     scaled = cut(scaled)
     found, models = cluster.kmeans_sweep(cluster.with_vector(scaled, names), sizes.clusters)
     best = found.where("is_best = 1").first()["k"]
-    table = cut(cluster.attach_labels(scaled, models[best], names).drop(*names).withColumn("cluster_label", F.col("kmeans_cluster")))
+    table = cut(cluster.label_all(table, scaled, models[best], names).withColumn("cluster_label", F.col("kmeans_cluster")))
     out["kmeans"] = found
     phase("regional_stats", lambda: features.regional_stats(table))
     phase("anova", lambda: stats.anova_oneway(table))
@@ -69,10 +71,11 @@ def run(orders: DataFrame, sizes: Sizes | None = None, sample: int | None = None
     phase("demand", demand)
 
     def order_risk() -> DataFrame:
-        coded, inputs, _ = classify.late_inputs(table)
-        marked = cut(classify.stratified_split(coded))
-        scored = classify.predict_probability(classify.fit_late(marked, inputs, sizes.forest), marked, "p_late", flag=None)
-        coded, inputs, _ = classify.fraud_inputs(scored.drop("label", "is_train"))
+        coded, inputs, levels = classify.late_inputs(table)
+        model = classify.fit_late(cut(classify.stratified_split(coded)), inputs, sizes.forest)
+        everything, _, _ = classify.late_inputs(table, levels)  # orders without a label are scored too
+        scored = classify.predict_probability(model, everything, "p_late", flag=None)
+        coded, inputs, _ = classify.fraud_inputs(scored.drop("label"))
         coded = cut(coded)
         scored = classify.predict_probability(classify.fit_fraud(coded, inputs, sizes.fraud), coded, "p_fraud", flag=None)
         coded, inputs, _ = classify.cancel_inputs(scored.drop("label", *[f"{c}_code" for c in classify.FRAUD_CATEGORIES]))
@@ -92,4 +95,5 @@ def run(orders: DataFrame, sizes: Sizes | None = None, sample: int | None = None
     phase("drift", lambda: cluster.cluster_drift(table))
     phase("hotspots", lambda: aggregate.insight_hotspots(table))
     phase("top_share", lambda: aggregate.insight_top_share(table))
+    out["failures"] = orders.sparkSession.createDataFrame(failed, "phase string, reason string")
     return out
