@@ -90,8 +90,19 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(train: DataFrame, text: str) -> Vocabulary:
     rows = train.select(F.col(text).cast("string").alias("text")).mapInArrow(_common, "h bigint, first int, n bigint")
-    top = rows.groupBy("h").agg(F.first("first").alias("first"), F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
+    # The least count of a common word is read from a small histogram, 64 steps to an octave; nothing is ranked.
+    level = F.floor(F.log2("n") * 64).cast("int")
+    counted = cut(rows.groupBy("h").agg(F.first("first").alias("first"), F.sum("n").alias("n")).withColumn("level", level))
+    least, words = None, 0
+    for row in sorted(counted.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):  # a few thousand levels at most
+        words += row["words"]
+        if words > HEAD:
+            break
+        least = row["level"]
+    top = counted.where(F.col("level") >= (1 << 30 if least is None else least)).select("h", "first", "n").toArrow()  # at most HEAD words
     h, first, n = (np.asarray(top[c].combine_chunks()) for c in ("h", "first", "n"))
+    order = np.lexsort((h, -n))
+    h, first, n = h[order], first[order], n[order]
     tokens = np.bincount(first[OWN:], n[OWN:], minlength=1 << 16)
     ranked = [int(i) for i in np.lexsort((np.arange(1 << 16), -tokens)) if tokens[i] > 0][:CLASSES - 1]
     class_of = np.full(1 << 16, CLASSES - 1, np.int16)
