@@ -29,6 +29,11 @@ def once(spark, folder, name, build):
     return _shared[key]
 
 
+def forget():
+    """Drop everything that queries share."""
+    _shared.clear()
+
+
 def table(spark, sf):
     return once(spark, sf, "features", lambda: cut(feature_table(spark, sf)))
 
