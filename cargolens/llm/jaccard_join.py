@@ -30,7 +30,8 @@ NUM, DEN = 4, 5  # a link: Jaccard similarity of at least 4/5, compared in whole
 TOKENS = 64
 #: Tokens shared by a pair of similarity 0.8 in all but about 2 of 10,000 cases (3.5 standard deviations).
 ENOUGH = 40
-SMALL = 64
+#: Nodes compared by brute force; classes of a larger node that are far from its first and still compared with all of it.
+SMALL, FEW = 512, 1024
 #: Coordinates sampled per node, in the mean: above 1 / 0.8, so that a pair at the threshold lives on.
 BRANCH = 1.43
 #: Chance that a run brings such a pair together, taken low: the survival of that branching walk.
@@ -130,12 +131,19 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in zip(at[:-1], at[1:]):
             if e - s < 2:
                 continue
-            part, forest = sig[s:e], Forest(e - s)
-            for i in range(e - s - 1):
-                for j in np.flatnonzero(_near(part[i], part[i + 1:])) + i + 1:
-                    if forest.join(i, int(j)):
-                        a.append(cls[s + i])
-                        b.append(cls[s + int(j)])
+            # A walk over the similar pairs: every class is compared with those not reached yet.
+            left, queue = np.arange(s + 1, e), [s]
+            while len(left):
+                if not queue:
+                    queue, left = [int(left[0])], left[1:]
+                    continue
+                i = queue.pop()
+                hit = _near(sig[i], sig[left])
+                for j in left[hit]:
+                    a.append(cls[i])
+                    b.append(cls[j])
+                    queue.append(int(j))
+                left = left[~hit]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
@@ -197,7 +205,7 @@ def candidates(classes: DataFrame, runs: int) -> DataFrame:
         found = small.unionByName(star)
         if depth < DEPTH:
             left = cut(judged.where("NOT near").groupBy("node").agg(F.count(F.lit(1)).alias("others")))
-            few = judged.join(left.where(F.col("others") <= SMALL), "node").withColumn("sketch", _sketch("sig"))
+            few = judged.join(left.where(F.col("others") <= FEW), "node").withColumn("sketch", _sketch("sig"))
             chunks = F.ceil(F.col("n") / CHUNK).cast("int")
             whole = few.select("node", F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), "cls", "sketch", F.lit(False).alias("far"))
             sent = few.where("NOT near").select("node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "cls", "sketch", F.lit(True).alias("far"))
@@ -207,7 +215,7 @@ def candidates(classes: DataFrame, runs: int) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         if depth == DEPTH:
             break
-        mixed = left.where(F.col("others") > SMALL).select("node")
+        mixed = left.where(F.col("others") > FEW).select("node")
         if mixed.isEmpty():
             break
         rows = judged.join(mixed, "node").select("node", "cls", "sig").mapInArrow(_walk(runs), "node bigint, cls binary")

@@ -74,6 +74,7 @@ def test_join_equals_brute_force(frame, group):
 
 def test_join_of_large_mixed_nodes(frame, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    monkeypatch.setattr(jaccard_join, "FEW", 4)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     same_join(frame, copies(400, 90), recall=0.999)
     monkeypatch.setattr(jaccard_join, "DEPTH", 1)
