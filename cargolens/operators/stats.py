@@ -137,15 +137,20 @@ def residual_histogram(scored: DataFrame, bins: int = 60, actual: str = "y", pre
     return histogram(scored.select((F.col(actual) - F.col(predicted)).alias("residual")), "residual", bins)
 
 
+TIES_AT_ONCE = 4096
+
+
 def qq_points(scored: DataFrame, actual: str = "y", predicted: str = "prediction") -> DataFrame:
     """Ordered residuals against normal quantiles at the uniform order-statistic medians."""
     e = scored.select((F.col(actual) - F.col(predicted)).alias("residual")).where("residual is not null")
     counts = e.groupBy("residual").agg(F.count(F.lit(1)).alias("c"))
     ranked = running_totals(counts, "residual", {"n": "c"})
-    each = ranked.select(
-        "residual", F.col("n_all").cast("double").alias("n"),
-        F.explode(F.sequence(F.col("n_before") + 1, F.col("n_before") + F.col("n_ties"))).alias("rank"),
-    )
+    # Ranks of a value with many ties are written out in stretches, dealt over all tasks.
+    begins = F.sequence(F.col("n_before") + 1, F.col("n_before") + F.col("n_ties"), F.lit(TIES_AT_ONCE).cast("bigint"))
+    stretches = ranked.select("residual", F.col("n_all").cast("double").alias("n"), (F.col("n_before") + F.col("n_ties")).alias("last"), F.explode(begins).alias("begin")) \
+        .repartition("begin")
+    upto = F.least(F.col("last"), F.col("begin") + (TIES_AT_ONCE - 1))
+    each = stretches.select("residual", "n", F.explode(F.sequence(F.col("begin"), upto)).alias("rank"))
     tail = F.pow(F.lit(0.5), 1 / F.col("n"))
     p = F.when(F.col("rank") == 1, 1 - tail).when(F.col("rank") == F.col("n"), tail) \
         .otherwise((F.col("rank") - 0.3175) / (F.col("n") + 0.365))

@@ -9,7 +9,7 @@ from cargolens.operators import cluster, density, panel
 from cargolens.plans.inputs import KEYS, items
 from cargolens.plans.models import once, table
 from cargolens.plans.registry import query
-from cargolens.plans.sql import OI, R
+from cargolens.plans.sql import FEAT, OI, R
 from cargolens.session import cut
 
 
@@ -25,10 +25,13 @@ def scaled(spark, sf):
     return once(spark, sf, "cluster_rows", build)
 
 
-@query("cluster_features")
+Z = ", ".join(f"{R(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()', 5)} AS {c}_z" for c in cluster.CLUSTER_FEATURES)
+
+
+@query("cluster_features", f"WITH {FEAT} SELECT {', '.join(KEYS)}, {Z} FROM feat")
 def q_features(spark, sf):
     rows, names = scaled(spark, sf)
-    return rows.select(*KEYS, *names)
+    return rows.select(*KEYS, *[X.rnd(c, 5).alias(c) for c in names])
 
 
 def sweep(spark, sf):

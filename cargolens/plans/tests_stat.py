@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cargolens.functions.pvalues import NORMAL_FAR, NORMAL_MIDDLE, NORMAL_SIDE
 from cargolens.functions import columns as X
 from cargolens.operators import features, spatial, stats
 from cargolens.plans.inputs import items, regional, rule_scores, KEYS
@@ -163,9 +164,25 @@ def q_qq(spark, sf):
     return out.select("rank", X.rnd("residual", 4).alias("residual"), X.rnd("p", 8).alias("p"))
 
 
-@query("qq_normal_quantiles")
+def _horner(parts, x):
+    def value(coefficients):
+        out = f"{coefficients[-1]!r}::DOUBLE"
+        for c in reversed(coefficients[:-1]):
+            out = f"({out}*({x})+{c!r}::DOUBLE)"
+        return out
+
+    return f"({value(parts[0])}/{value(parts[1])})"
+
+
+@query("qq_normal_quantiles", f"""
+WITH {RES}, o AS (SELECT e, row_number() OVER (ORDER BY e) AS rank, (count(*) OVER ())::DOUBLE AS n FROM er),
+pp AS (SELECT rank, e, CASE WHEN rank=1 THEN 1-0.5::DOUBLE^(1.0/n) WHEN rank=n THEN 0.5::DOUBLE^(1.0/n) ELSE (rank-0.3175)/(n+0.365) END AS p FROM o),
+qr AS (SELECT *, p - 0.5 AS q, sqrt(-ln(least(p, 1 - p))) AS r FROM pp)
+SELECT rank, {R('e', 4)} AS residual, {R(f"""CASE WHEN abs(q) <= 0.425 THEN q*{_horner(NORMAL_MIDDLE, '0.180625::DOUBLE-q*q')}
+ WHEN r <= 5 THEN sign(q)*{_horner(NORMAL_SIDE, 'r-1.6::DOUBLE')} ELSE sign(q)*{_horner(NORMAL_FAR, 'r-5')} END""")} AS normal_quantile FROM qr""")
 def q_qq_normal(spark, sf):
-    return stats.qq_points(residual_rows(spark, sf)).select("rank", "residual", "normal_quantile")
+    out = stats.qq_points(residual_rows(spark, sf))
+    return out.select("rank", X.rnd("residual", 4).alias("residual"), X.rnd("normal_quantile", 6).alias("normal_quantile"))
 
 
 @query("iqr_stability", f"""

@@ -91,3 +91,22 @@ def test_silhouette_and_density_sweep_use_all_rows(spark):
     assert found["rows"] == 60 and found["silhouette"] > 0.99
     sweep = {r["eps"]: r for r in cluster.dbscan_sweep(df, ["a", "b"], (1.5,)).collect()}
     assert sweep[1.5]["clusters"] == 2 and sweep[1.5]["noise"] == 0 and sweep[1.5]["is_best"] == 1
+
+
+def test_normal_quantile_equals_the_library(spark):
+    from statistics import NormalDist
+
+    from cargolens.functions.pvalues import normal_quantile
+
+    p = [0.0, 1.0, 1e-300, 1e-12, 0.001, 0.07, 0.0749999, 0.3, 0.5, 0.9, 0.925, 0.9999999]
+    got = spark.createDataFrame([(x,) for x in p], "p double").select("p", normal_quantile("p").alias("q")).collect()
+    for r in got:
+        assert r["q"] is None if r["p"] in (0.0, 1.0) else abs(r["q"] - NormalDist().inv_cdf(r["p"])) < 1e-9
+
+
+def test_many_ties_have_all_their_ranks(spark):
+    from cargolens.operators import stats
+
+    df = spark.range(10_000).select((F.col("id") % 10 == 0).cast("double").alias("y"), F.lit(0.0).alias("prediction"))
+    points = stats.qq_points(df).collect()
+    assert sorted(r["rank"] for r in points) == list(range(1, 10_001)) and sum(r["residual"] for r in points) == 1000
