@@ -32,7 +32,8 @@ _NUMBERS = re.compile(
     rf"|(?P<date>{_EDGE}(?:\d{{4}}-\d\d-\d\d|\d{{1,2}}(?P<sep>[./-])\d{{1,2}}(?P=sep)\d{{4}})(?!\w|[./-]\d))"
     rf"|(?P<ssn>{_EDGE}\d{{3}}-\d\d-\d{{4}}(?!\w|-\w))"
     r"|(?P<card>(?<!\w)(?:\d{13,19}|\d{4}(?P<four>[ -])\d{4}(?P=four)\d{4}(?P=four)\d{4}|\d{4}(?P<six>[ -])\d{6}(?P=six)\d{5})(?!\w))"
-    r"|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)"
+    r"|(?P<phone>(?<!\w)\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)"
+    r"|(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w|\.\d)"
     r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}(?P<three>[.-])\d{3}(?P=three)\d{4}(?!\w|[.-]\w))")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")

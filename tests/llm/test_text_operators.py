@@ -154,6 +154,12 @@ def test_pseudonyms_keep_format_checks_and_links():
     assert day("2021-02-28") == day("28.02.2021") == day("2/28/2021") != date(2021, 2, 28)
 
 
+def test_values_side_by_side_are_all_found():
+    p = pii.Permutation(b"k")
+    text = "+1 (826) 555-4081 190.137.223.204 +44 20 7946 0958 10.20.30.40 a.1@mail.example.com 4532015112830366 +1 (017) 555-7713!!"
+    assert [k for *_, k, _ in pii.find(text, p)] == ["phone", "ip", "phone", "ip", "email", "card", "phone"]
+
+
 def test_permutation_is_one_to_one():
     p = pii.Permutation(b"k")
     for size in (1, 2, 3, 10, 97, 1000):
