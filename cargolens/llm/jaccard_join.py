@@ -329,10 +329,13 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: f
 
     Rows equal in key and text count as copies too: the ones that repeat pass through a grouping on their hash.
     """
-    row, n = common.own_name(docs, "_row"), common.own_name(docs, "_n")
-    found = join(docs, text, key, recall)
-    kept = cut(found.where("kept").groupBy(F.col("row").alias(row)).agg(F.count(F.lit(1)).alias(n), F.max(F.col("n_shingles")).alias(f"{n}s")))
-    marked = docs.withColumn(row, F.xxhash64(F.col(key).cast("string"), F.col(text))).join(kept, row)
-    once = marked.where((F.col(n) == 1) | (F.col(f"{n}s") == 0))
-    again = marked.where((F.col(n) > 1) & (F.col(f"{n}s") > 0)).dropDuplicates([row])
-    return once.unionByName(again).select(*docs.columns)
+    row = common.own_name(docs, "_row")
+    found = cut(join(docs, text, key, recall).groupBy("row").agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("shingles")))
+    # What goes, and what repeats, is the smaller part: the texts are held against that, not against all that stays.
+    again = (F.col("n") > 1) & (F.col("shingles") > 0)
+    apart = cut(found.where(~F.col("kept") | again).select(F.col("row").alias(row), "kept"))
+    marked = docs.withColumn(row, F.xxhash64(F.col(key).cast("string"), F.col(text)))
+    once = marked.join(apart.select(row), row, "left_anti")
+    one_of = marked.join(apart.where("kept").select(row), row, "left_semi").dropDuplicates([row])
+    return once.unionByName(one_of).select(*docs.columns)
