@@ -122,6 +122,21 @@ def _sketch(sig: pa.Array) -> pa.Array:
     return pa.array([x.tobytes() for x in low], pa.binary())
 
 
+def _reached(sig: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the similar pairs among the rows ``at``: every class is compared with those not reached yet."""
+    left, queue = at[1:], [int(x) for x in at[:1]]
+    while len(left):
+        if not queue:
+            queue, left = [int(left[0])], left[1:]
+            continue
+        i = queue.pop()
+        hit = _near(sig[i], sig[left])
+        for j in left[hit]:
+            yield i, int(j)
+            queue.append(int(j))
+        left = left[~hit]
+
+
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the similar pairs of every small node."""
     for table, at in whole_groups(batches, "node"):
@@ -129,42 +144,31 @@ def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
         a, b = [], []
         for s, e in zip(at[:-1], at[1:]):
-            if e - s < 2:
-                continue
-            # A walk over the similar pairs: every class is compared with those not reached yet.
-            left, queue = np.arange(s + 1, e), [s]
-            while len(left):
-                if not queue:
-                    queue, left = [int(left[0])], left[1:]
-                    continue
-                i = queue.pop()
-                hit = _near(sig[i], sig[left])
-                for j in left[hit]:
-                    a.append(cls[i])
-                    b.append(cls[j])
-                    queue.append(int(j))
-                left = left[~hit]
+            for i, j in _reached(sig, np.arange(s, e)):
+                a.append(cls[i])
+                b.append(cls[j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In every chunk of a large node: one near partner for each class that is far from the node's first."""
+    """In every chunk of a large node: one partner near the node's first class for each class that is far from it.
+
+    The classes near the first are one group already, so one partner among them stands for all. Far classes are
+    in every chunk, none of them counts as such a partner, and the forest of their own pairs is taken in chunk 0.
+    """
     for table, at in whole_groups(batches, "node", "chunk"):
-        cls, far = table["cls"].to_pylist(), np.asarray(table["far"])
+        cls, far, chunk = table["cls"].to_pylist(), np.asarray(table["far"]), np.asarray(table["chunk"])
         sig = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
         a, b = [], []
         for s, e in zip(at[:-1], at[1:]):
-            all_, few = s + np.flatnonzero(~far[s:e]), s + np.flatnonzero(far[s:e])
+            near, few = s + np.flatnonzero(~far[s:e]), s + np.flatnonzero(far[s:e])
             for i in few:
-                hit = [j for j in all_[_near(sig[i], sig[all_])] if cls[j] != cls[i]]
-                if hit:
+                hit = near[_near(sig[i], sig[near])]
+                if len(hit):
                     a.append(cls[i])
                     b.append(cls[hit[0]])
-        # Far classes near each other meet as well: each is also among all classes of some chunk.
-        for s, e in zip(at[:-1], at[1:]):
-            few = s + np.flatnonzero(far[s:e])
-            for k, i in enumerate(few):
-                for j in few[k + 1:][_near(sig[i], sig[few[k + 1:]])]:
+            if chunk[s] == 0:
+                for i, j in _reached(sig, few):
                     a.append(cls[i])
                     b.append(cls[j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -207,7 +211,7 @@ def candidates(classes: DataFrame, runs: int) -> DataFrame:
             left = cut(judged.where("NOT near").groupBy("node").agg(F.count(F.lit(1)).alias("others")))
             few = judged.join(left.where(F.col("others") <= FEW), "node").withColumn("sketch", _sketch("sig"))
             chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-            whole = few.select("node", F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), "cls", "sketch", F.lit(False).alias("far"))
+            whole = few.where("near").select("node", F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), "cls", "sketch", F.lit(False).alias("far"))
             sent = few.where("NOT near").select("node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "cls", "sketch", F.lit(True).alias("far"))
             found = found.unionByName(whole.unionByName(sent).repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk")
                                       .mapInArrow(_against, "a binary, b binary"))

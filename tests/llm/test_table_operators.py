@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,30 @@ def test_join_of_large_mixed_nodes(frame, monkeypatch):
     same_join(frame, copies(200, 50), recall=0.999)
 
 
+def test_far_classes_meet_the_group_of_the_lead(spark, monkeypatch):
+    """One node of 20 classes near its first and 12 far ones, of which the last is also near one class of the first's group."""
+    def sig(shared, tail):
+        return np.array([7] * shared + [tail] * (jaccard_join.TOKENS - shared), np.uint32).tobytes()
+
+    def one_node(runs):
+        def walk(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([1] * len(batch), pa.int64()), batch.column("cls")], names=["node", "cls"])
+        return walk
+
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    monkeypatch.setattr(jaccard_join, "_walk", one_node)
+    near = [(b"a%02d" % i, sig(64, 0)) for i in range(19)] + [(b"z99", sig(44, 9))]  # the last one holds 20 tokens of the far ones
+    far = [(b"b%02d" % i, sig(10, 9)) for i in range(11)] + [(b"b99", sig(30, 9))]
+    assert sum(x == y for x, y in zip(np.frombuffer(sig(44, 9), np.uint32), np.frombuffer(sig(30, 9), np.uint32))) == 50
+    edges = [(bytes(r.a), bytes(r.b)) for r in jaccard_join.candidates(spark.createDataFrame(far + near, "cls binary, sig binary").coalesce(1), 1).collect()]
+    group = {k: k for k, _ in near + far}
+    for _ in range(len(group)):
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    assert set(group.values()) == {b"a00"}
+
+
 def test_join_of_odd_rows(odd, nothing, frame):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     found = same_join(frame, rows)
