@@ -3,7 +3,8 @@
 Every text node has the path of tags from the root. Over all nodes of a path, the text length per node and
 the punctuation per node are taken; both series are smoothed in page order and multiplied, and nodes above the
 threshold (the series' standard deviation) are content. The article is the smallest container around the
-content; of it everything is returned, save subtrees that are marked as something else.
+content; of it everything is returned, save subtrees that are marked as something else. A mark is only a hint: the
+ratios are first taken over all text nodes, and a marked subtree that holds most of the content stays.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*+)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S)
-_MARKED = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？¿¡]")
 _WORDS = re.compile(r"[^a-z0-9]+")
@@ -36,20 +37,31 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
                    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table "
                    "tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("html body div section article main center table tbody tr td blockquote span font".split())
-#: Elements that never belong to an article.
+#: Elements that are no part of an article; those that can wrap a page stay where they hold most of the content.
 OUTSIDE = frozenset("head nav aside footer form button select option optgroup svg math object canvas audio video dialog menu search datalist".split())
+WRAPPERS = frozenset("form dialog search object canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
                   "sidebar aside widget footer header masthead cookie cookies consent notice alert popup modal overlay comment comments reply replies respond "
                   "disqus share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar".split())
+#: Words that make a class one of a layout ("with-sidebar"), or a header the article's own ("entry-header").
+LAYOUT = frozenset("with without no has have hide show is not".split())
+OWN_HEADER = frozenset("entry post article story content hentry".split())
+#: Part of the content that a marked subtree has to hold to stay.
+MOST = 0.5
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class _Node:
-    __slots__ = ("name", "up", "path", "out", "order", "core", "title")
+    __slots__ = ("name", "up", "path", "marked", "out", "order", "core", "title", "article")
 
-    def __init__(self, name: str, up: _Node | None, path: str, out: bool, order: int):
-        self.name, self.up, self.path, self.out, self.order, self.core, self.title = name, up, path, out, order, 0.0, False
+    def __init__(self, name: str, up: _Node | None, path: str, marked: bool, order: int):
+        self.name, self.up, self.path, self.marked, self.order = name, up, path, marked, order
+        self.out, self.core, self.title, self.article = False, 0.0, False, False
+
+    def stays(self, core: float) -> bool:
+        """Whether a marked element stays that holds more of the content than ``core``; a footer or the like only around an article."""
+        return self.core > core and (self.article or self.name not in OUTSIDE or self.name in WRAPPERS)
 
     def within(self, other: _Node) -> bool:
         x = self
@@ -58,14 +70,26 @@ class _Node:
         return x is other
 
 
-def _outside(name: str, rest: str, in_article: bool) -> bool:
+def _names_other(value: str) -> bool:
+    """Whether one of the names in a class or id says that the element is no part of an article."""
+    for token in value.split():
+        words = set(_WORDS.split(token))
+        marks = words & MARKS
+        if words & OWN_HEADER:
+            marks = marks - {"header"}
+        if marks and not words & LAYOUT:
+            return True
+    return False
+
+
+def _is_marked(name: str, rest: str, in_article: bool) -> bool:
     if name in OUTSIDE or (name == "header" and not in_article):
         return True
     if not rest or name in ("html", "body", "article", "main"):
         return False
-    for m in _MARKED.finditer(rest):
+    for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key in ("class", "id") and any(w in MARKS for w in _WORDS.split(value)):
+        if key in ("class", "id") and _names_other(value):
             return True
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
@@ -118,13 +142,12 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, int, str]]]:
             continue
         up = stack[-1]
         inside = any(x.name in ("article", "main") for x in stack) if name == "header" else False
-        out = up.out or _outside(name, rest, inside)
-        node = _Node(name, up, f"{up.path}/{name}", out, len(nodes))
+        node = _Node(name, up, f"{up.path}/{name}", _is_marked(name, rest, inside), len(nodes))
         nodes.append(node)
-        if name == "h1" and not out:
-            x = node
-            while x is not None and not x.title:
-                x.title = True
+        if name in ("article", "main"):
+            x = up
+            while x is not None and not x.article:
+                x.article = True
                 x = x.up
         if not rest.endswith("/") or name in BLOCKS:
             stack.append(node)
@@ -148,16 +171,37 @@ def _core(texts: list[tuple[_Node, int, str]]) -> np.ndarray:
     return np.where(fused >= fused.std(), fused, 0)
 
 
+def _weigh(nodes: list[_Node], said: list[tuple[_Node, int, str]]) -> None:
+    """Length of the content in every element."""
+    for node in nodes:
+        node.core = 0.0
+    for (node, _, text), value in zip(said, _core(said)):
+        if value > 0:
+            while node is not None:
+                node.core += len(text)
+                node = node.up
+
+
 def extract(page: str) -> str:
     nodes, texts = _read(page)
-    texts = [x for x in texts if not x[0].out]
     said = [x for x in texts if x[2].strip()]
     if not said:
         return ""
-    for (node, _, text), value in zip(said, _core(said)):
-        if value > 0:
-            while node is not None:
-                node.core += len(text)
+    _weigh(nodes, said)
+    if any(node.marked for node in nodes):
+        whole = nodes[0].core
+        for node in nodes[1:]:  # parents first
+            node.out = node.up.out or node.marked and not node.stays(MOST * whole)
+        if all(x[0].out for x in said):  # several marked parts share the content: they are all there is
+            for node in nodes[1:]:
+                node.out = node.up.out or node.marked and not node.stays(0)
+        texts = [x for x in texts if not x[0].out]
+        said = [x for x in said if not x[0].out]
+        _weigh(nodes, said)
+    for node in nodes:
+        if node.name == "h1" and not node.out:
+            while node is not None and not node.title:
+                node.title = True
                 node = node.up
     # From the root towards the content, as long as one container holds nearly all of it.
     children: dict[int, list[_Node]] = {}

@@ -221,3 +221,27 @@ def test_main_text_without_an_article_element(frame):
     got = sorted((r.page_id, r.text) for r in html_text.main_text(frame(rows, "page_id long, html string, text string")).collect())
     assert got[:4] == [(1, want), (1, want), (2, ""), (3, "")] and got[5] == (5, "Only text") and len(got) == 8
     assert html_text.extract("<div>" * 3000 + "deep text, here." + "</div>" * 3000) == "deep text, here."
+
+
+WORDY = "<h1>The head line</h1><p>Some long text, with points.  And more of it, really.</p><p>A second part, as long, with points. It goes on, too.</p>"
+WORDY_TEXT = "The head line Some long text, with points. And more of it, really. A second part, as long, with points. It goes on, too."
+
+
+@pytest.mark.parametrize("wrap", ['<div class="layout with-sidebar">', '<div class="no-sidebar">', '<div id="page-widget">', "<form action='/'>", "<div hidden>",
+                                  '<form><div class="menu-open">'])
+def test_main_text_in_marked_wrappers(wrap):
+    rest = '<nav><a href="/">Home</a></nav><div class="sidebar">More, here.</div>'
+    assert html_text.extract(f"<body>{rest}{wrap}<article>{WORDY}</article>") == WORDY_TEXT
+    assert html_text.extract(f"<body>{wrap}{rest}<div>{WORDY}</div>") == WORDY_TEXT
+
+
+def test_main_text_keeps_what_only_sounds_marked():
+    page = WORDY.replace("<h1>", '<div class="entry-header"><h1>').replace("</h1>", "</h1></div>").replace("Some long", '<a href="/blog/hidden-costs">Some</a> long')
+    page = page.replace("<p>A second", '<p title="a hidden gem" data-role="menu" data-class=\'ad\'>A second')
+    assert html_text.extract(f"<body><nav>Home</nav><div>{page}</div>") == WORDY_TEXT
+    assert html_text.extract(f'<body><div>{page}<p hidden>Not, shown.</p><p class="x ad">Buy, now.</p></div>') == WORDY_TEXT
+
+
+def test_main_text_shared_by_marked_parts():
+    part = "<p>Some long text, with points.</p>"
+    assert html_text.extract(f'<body><div class="promo">{part}</div><div class="banner">{part}</div>') == "Some long text, with points. Some long text, with points."
