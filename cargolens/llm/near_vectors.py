@@ -3,9 +3,10 @@
 Equal vectors form one node. A neighbour graph starts from random-hyperplane buckets and is refined: around every
 pivot its neighbours and those that list it are compared with each other, because neighbours of neighbours are
 likely neighbours. A list of the best few is kept per node; one whose entries all reach the threshold is
-saturated and kept longer. Every comparison also returns a spanning forest of the pairs at the threshold. An audit of fixed size compares
-sampled nodes with all nodes and starts more rounds if too many of their partners are missing. Within the groups found,
-every pair is then compared exactly in blocks, which takes the place of ever longer lists.
+saturated and kept longer. Every comparison also returns a spanning forest of the pairs at the threshold. An audit of fixed size, with
+nodes from groups of every size, compares them with all nodes and starts rounds from more tables if nodes with few or with many partners
+miss too large a part of them. If the last try falls short as well, the nodes from groups of the sizes that miss partners are compared
+with all nodes exactly. Within the groups found, every pair is then compared exactly in blocks, which takes the place of ever longer lists.
 """
 
 from __future__ import annotations
@@ -28,7 +29,12 @@ COSINE = 0.9
 LIST, LONG_LIST = 10, 40
 TOGETHER = 40
 TABLES, ROUNDS, SETTLED = 4, 4, 0.02
-AUDIT, RECALL, TRIES = 256, 0.98, 3
+#: Nodes audited per class of group sizes, part of its partners that a node has to find in the mean over the nodes of every class, tries.
+AUDIT, RECALL, TRIES = 512, 0.98, 3
+#: Least sizes of the classes: of groups found, for the sample, and of the number of partners, for the recall.
+SIZES = (1, 2, 4, 32)
+#: Nodes that are sent to all tasks at once in the exact search, and rows compared with them at once.
+SENT, ROWS = 1 << 15, 256
 BLOCK = 512
 
 
@@ -126,35 +132,109 @@ def _best(edges: DataFrame) -> DataFrame:
     return ranked.where((F.col("place") <= LIST) | (F.col("cosine") >= COSINE)).drop("place")
 
 
-def _audited(sent):
+def _near(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Which rows of ``y`` are linked with the rows of ``x``, by (first row, table) for a few rows of ``x`` at a time."""
+    for i in range(0, len(x), ROWS):
+        yield i, x[i:i + ROWS] @ y.T >= COSINE
+
+
+def _asked(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By dimensions: unit vectors, groups, nodes and row numbers."""
+    dims = np.asarray(rows["dims"]) if rows.num_rows else np.zeros(0)
+    out = {}
+    for d in np.unique(dims):
+        at = np.flatnonzero(dims == d)
+        part = rows.take(pa.array(at))
+        out[int(d)] = _matrix(part["unit"]), np.asarray(part["group"]), np.asarray(part["node"]), at
+    return out
+
+
+def _audited(sent, n: int):
     def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        there = found = 0
+        there, found = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for batch in batches:
             dims, group, node = np.asarray(batch.column("dims")), np.asarray(batch.column("group")), np.asarray(batch.column("node"))
-            for d, (x, own_group, own_node) in asked.items():
+            for d, (x, own_group, own_node, number) in sent.value.items():
                 at = np.flatnonzero(dims == d)
                 if len(at):
-                    near = _matrix(batch.column("unit").take(pa.array(at))) @ x.T >= COSINE
-                    near &= node[at][:, None] != own_node[None, :]
-                    there += int(near.sum())
-                    found += int((near & (group[at][:, None] == own_group[None, :])).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([there]), pa.array([found])], names=["there", "found"])
+                    for i, near in _near(_matrix(batch.column("unit").take(pa.array(at))), x):
+                        some = at[i:i + ROWS]
+                        near &= node[some][:, None] != own_node[None, :]
+                        there[number] += near.sum(axis=0)
+                        found[number] += (near & (group[some][:, None] == own_group[None, :])).sum(axis=0)
+        some = np.flatnonzero(there)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(there[some]), pa.array(found[some])], names=["number", "there", "found"])
 
     return audit
 
 
-def _recall(vectors: DataFrame, groups: DataFrame, turn: int) -> float:
-    """Part of the partners of sampled nodes, found by comparing them with all nodes, that are in the node's group."""
-    whole = vectors.join(groups, "node").select("node", "dims", "unit", "group")
-    rows = whole.orderBy(F.xxhash64("node", F.lit(turn))).limit(AUDIT).toArrow()  # a fixed number of nodes
-    asked, dims = {}, np.asarray(rows["dims"].combine_chunks()) if rows.num_rows else np.zeros(0)
-    for d in np.unique(dims):
-        part = rows.take(pa.array(np.flatnonzero(dims == d)))
-        asked[int(d)] = (_matrix(part["unit"]), np.asarray(part["group"].combine_chunks()), np.asarray(part["node"].combine_chunks()))
-    sent = vectors.sparkSession.sparkContext.broadcast(asked)
-    there, found = whole.mapInArrow(_audited(sent), "there bigint, found bigint").agg(F.sum("there"), F.sum("found")).first()
-    return found / there if there else 1.0
+def _placed(vectors: DataFrame, groups: DataFrame) -> DataFrame:
+    """Nodes with their group and the class of its size."""
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    size_class = sum((F.col("n") >= k).cast("int") for k in SIZES[1:])
+    return cut(vectors.join(groups, "node").join(sizes, "group").select("node", "dims", "unit", "group", size_class.alias("size_class")))
+
+
+def _recall(placed: DataFrame, turn: int) -> tuple[float, list[int]]:
+    """The worst recall of nodes with few or many partners, and the classes of group sizes where partners are missing.
+
+    Sampled nodes of every class of group sizes are compared with all nodes. A node's recall is the part of its partners that is in its own
+    group; the mean over nodes counts a sampled node for as many as it stands for, so a large group has no more weight than its nodes.
+    """
+    spark = placed.sparkSession
+    totals = {r.size_class: r.n for r in placed.groupBy("size_class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not totals:
+        return 1.0, []
+    parts = [placed.where(F.col("size_class") == c).orderBy(F.xxhash64("node", F.lit(turn)), "node").limit(AUDIT).toArrow() for c in sorted(totals)]
+    rows = pa.concat_tables(parts).combine_chunks()  # a fixed number of nodes
+    sent = spark.sparkContext.broadcast(_asked(rows))
+    counts = placed.mapInArrow(_audited(sent, rows.num_rows), "number bigint, there bigint, found bigint") \
+        .groupBy("number").agg(F.sum("there").alias("there"), F.sum("found").alias("found")).toArrow()
+    number, there, found = (np.asarray(counts[c]) for c in ("number", "there", "found"))
+    own = np.asarray(rows["size_class"])
+    weight = np.array([totals[c] / np.sum(own == c) for c in own])[number]
+    many = np.searchsorted(SIZES, there, "right")
+    means = [np.average((found / there)[many == k], weights=weight[many == k]) for k in np.unique(many)]
+    return float(min(means, default=1.0)), sorted({int(c) for c in own[number][found < there]})
+
+
+def _bridging(sent):
+    def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            dims, group, node = np.asarray(batch.column("dims")), np.asarray(batch.column("group")), np.asarray(batch.column("node"))
+            a, b = [], []
+            for d, (x, own_group, own_node, _) in sent.value.items():
+                at = np.flatnonzero(dims == d)
+                if len(at):
+                    for i, near in _near(_matrix(batch.column("unit").take(pa.array(at))), x):
+                        some = at[i:i + ROWS]
+                        near &= group[some][:, None] != own_group[None, :]
+                        for p, q in zip(*np.nonzero(near)):
+                            pair = int(group[some[p]]), int(own_group[q])
+                            if pair not in seen:
+                                seen.add(pair)
+                                a.append(int(node[some[p]]))
+                                b.append(int(own_node[q]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return bridge
+
+
+def _searched(placed: DataFrame, classes: list[int]) -> DataFrame | None:
+    """Exact search: links (a, b) between groups, of all nodes in groups of these classes of sizes with all nodes.
+
+    The nodes go to all tasks in parts of a fixed size; of the links between two groups a task keeps one.
+    """
+    rest = placed.where(F.col("size_class").isin(classes))
+    parts, out = math.ceil(rest.count() / SENT), None
+    for part in range(parts):
+        rows = rest.where(F.pmod(F.xxhash64(F.lit("part"), "node"), F.lit(parts)) == part).toArrow().combine_chunks()
+        sent = placed.sparkSession.sparkContext.broadcast(_asked(rows))
+        found = cut(placed.mapInArrow(_bridging(sent), "a bigint, b bigint"))
+        sent.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +271,7 @@ def link(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", seed:
     bits = max(1, min(40, math.ceil(math.log2(max(2, n / 24)))))
     lists = trees = None
     for attempt in range(TRIES):
-        start = vectors.select("node", "dims", "unit").mapInArrow(_buckets(TABLES, bits, seed + attempt), "pivot bigint, node bigint")
+        start = vectors.select("node", "dims", "unit").mapInArrow(_buckets(TABLES << attempt, bits, seed + attempt), "pivot bigint, node bigint")
         found = _met(start, vectors, None, attempt)
         for turn in range(ROUNDS):
             fresh = found.where("NOT tree").select("a", "b", "cosine")
@@ -209,8 +289,13 @@ def link(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", seed:
                 break
         trees = cut(trees.unionByName(found.where("tree").select("a", "b")).distinct())
         groups = cut(connected_components(vectors.select("node"), trees).select("node", F.col("root").alias("group")))
-        if _recall(vectors, groups, attempt) >= RECALL:
+        placed = _placed(vectors, groups)
+        recall, short = _recall(placed, attempt)
+        if recall >= RECALL:
             break
+    else:
+        more = _searched(placed, short)
+        groups = cut(connected_components(vectors.select("node"), trees.unionByName(more)).select("node", F.col("root").alias("group")))
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     inside = groups.join(sizes, "group").join(vectors.select("node", "members", "unit"), "node") \

@@ -158,6 +158,23 @@ def test_vectors_equal_brute_force(frame, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found)
 
 
+def test_pairs_beside_a_hot_group_are_found(frame, monkeypatch):
+    """Weighted by pairs, a hot group meets any recall; the pairs beside it are missed by a single table of one round."""
+    monkeypatch.setattr(near_vectors, "TABLES", 1)
+    monkeypatch.setattr(near_vectors, "ROUNDS", 1)
+    monkeypatch.setattr(near_vectors, "TRIES", 1)
+    monkeypatch.setattr(near_vectors, "SENT", 300)
+    draw = np.random.default_rng(11)
+    hot, rows = draw.normal(size=16), []
+    rows += [hot + draw.normal(size=16) * 0.01 for _ in range(300)]
+    for _ in range(200):
+        base = draw.normal(size=16)
+        rows += [base + draw.normal(size=16) * 0.2 for _ in range(2)]
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(rows)]
+    found = near_vectors.link(frame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == sorted(brute_vectors(rows))
+
+
 def test_vectors_of_odd_tables(frame):
     schema = "vec_id long, embedding array<float>"
     assert near_vectors.link(frame([], schema)).count() == 0
