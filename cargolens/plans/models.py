@@ -1,7 +1,7 @@
 """Queries that fit and apply models.
 
 Each model is fitted once per session and folder and shared by the queries that need it. The
-registered queries fit small ensembles on all rows (``TRIAL``); the operators default to full size.
+registered queries fit the full sizes on all rows, which are the operators' defaults.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from cargolens.plans.registry import query
 from cargolens.session import cut, shared_dir
 from cargolens.sources.models import load_metrics, load_models, save_models
 
-TRIAL = {"forecast": 10, "regional_forecast": 4, "forest": 20, "regional_forest": 8, "fraud": 6, "cancel": 6, "cv": 4, "curve": 3}
+# Ensembles of the learning curves, as published.
+CURVE_BOOSTED, CURVE_FOREST = 100, 50
 
 _shared: dict = {}
 
@@ -64,13 +65,13 @@ def region_split(spark, sf):
 
 def global_forecaster(spark, sf):
     rows = global_split(spark, sf)
-    return once(spark, sf, "global_forecaster", lambda: forecast.fit_global(rows, panel_features(rows), TRIAL["forecast"]))
+    return once(spark, sf, "global_forecaster", lambda: forecast.fit_global(rows, panel_features(rows)))
 
 
 def regional_forecasters(spark, sf):
     rows = region_split(spark, sf)
     return once(spark, sf, "regional_forecasters",
-                lambda: forecast.fit_regional(rows, panel_features(rows), TRIAL["regional_forecast"]))
+                lambda: forecast.fit_regional(rows, panel_features(rows)))
 
 
 def scored_test(spark, sf):
@@ -100,7 +101,7 @@ def q_ensemble(spark, sf):
 @query("oof_predictions")
 def q_oof(spark, sf):
     rows = panel_rows(spark, sf)
-    out = forecast.oof_predictions(rows, panel_features(rows), trees=TRIAL["cv"])
+    out = forecast.oof_predictions(rows, panel_features(rows))
     return out.select("macro_region", F.col("date").cast("string").alias("date"), "fold", "sales", "prediction")
 
 
@@ -132,7 +133,7 @@ def q_importance(spark, sf):
 def q_cv_forecast(spark, sf):
     rows = panel_rows(spark, sf)
     folded = cut(panel.walk_forward_folds(rows))
-    return once(spark, sf, "cv_forecast", lambda: cut(forecast.cv_forecast(folded, panel_features(rows), trees=TRIAL["cv"])))
+    return once(spark, sf, "cv_forecast", lambda: cut(forecast.cv_forecast(folded, panel_features(rows))))
 
 
 @query("cv_forecast_summary")
@@ -153,7 +154,7 @@ def q_curve_forecast(spark, sf):
     names = panel_features(rows)
     return classify.learning_curve(
         rows.select(*names, F.col("sales").alias("y_sales")), names,
-        lambda: forecast.boosted_trees(names, TRIAL["curve"], 5, "y_sales", rate=0.1), "regression", target="y_sales")
+        lambda: forecast.boosted_trees(names, CURVE_BOOSTED, 5, "y_sales", rate=0.1), "regression", target="y_sales")
 
 
 @query("permutation_importance_forecast")
@@ -176,7 +177,7 @@ def late_rows(spark, sf):
 
 def late_classifier(spark, sf):
     rows, names = late_rows(spark, sf)
-    return once(spark, sf, "late_classifier", lambda: classify.fit_late(rows, names, TRIAL["forest"]))
+    return once(spark, sf, "late_classifier", lambda: classify.fit_late(rows, names))
 
 
 def late_regional_rows(spark, sf):
@@ -189,7 +190,7 @@ def late_regional_rows(spark, sf):
 
 def late_regional(spark, sf):
     rows, names = late_regional_rows(spark, sf), late_rows(spark, sf)[1]
-    return once(spark, sf, "late_regional", lambda: classify.fit_late_regional(rows, names, TRIAL["regional_forest"]))
+    return once(spark, sf, "late_regional", lambda: classify.fit_late_regional(rows, names))
 
 
 def late_scored(spark, sf):
@@ -227,7 +228,7 @@ def q_top_features(spark, sf):
 @query("cv_classifier")
 def q_cv_classifier(spark, sf):
     rows, names = late_rows(spark, sf)
-    return classify.cv_classifier(rows, names, trees=TRIAL["cv"])
+    return classify.cv_classifier(rows, names)
 
 
 @query("overfit_classifier")
@@ -239,7 +240,7 @@ def q_overfit_classifier(spark, sf):
 @query("learning_curve")
 def q_curve(spark, sf):
     rows, names = late_rows(spark, sf)
-    return classify.learning_curve(rows.drop("is_train"), names, lambda: classify.forest(names, TRIAL["curve"], 6), "classification")
+    return classify.learning_curve(rows.drop("is_train"), names, lambda: classify.forest(names, CURVE_FOREST, 6), "classification")
 
 
 @query("permutation_importance")
@@ -261,7 +262,7 @@ def fraud_rows(spark, sf):
 
 def fraud_model(spark, sf):
     rows, names = fraud_rows(spark, sf)
-    return once(spark, sf, "fraud_model", lambda: classify.fit_fraud(rows, names, TRIAL["fraud"]))
+    return once(spark, sf, "fraud_model", lambda: classify.fit_fraud(rows, names))
 
 
 def cancel_rows(spark, sf):
@@ -274,13 +275,13 @@ def cancel_rows(spark, sf):
 
 def cancel_model(spark, sf):
     rows, names = cancel_rows(spark, sf)
-    return once(spark, sf, "cancel_model", lambda: classify.fit_cancel(rows, names, TRIAL["cancel"]))
+    return once(spark, sf, "cancel_model", lambda: classify.fit_cancel(rows, names))
 
 
 @query("fraud_model")
 def q_fraud(spark, sf):
     rows, names = fraud_rows(spark, sf)
-    return classify.fraud_cv_auc(rows, names, trees=TRIAL["cv"])
+    return classify.fraud_cv_auc(rows, names)
 
 
 @query("fraud_score")
