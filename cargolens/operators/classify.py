@@ -207,13 +207,15 @@ def cv_classifier(rows: DataFrame, features: Sequence[str], folds: int = 5, tree
 
 
 def learning_curve(rows: DataFrame, features: Sequence[str], estimator, task: str, folds: int = 3,
-                   max_samples: int = 5000, steps: int = 8, target: str = "label") -> DataFrame:
-    """Train and validation score for growing shares of the training rows, on a fixed sample of rows.
+                   max_samples: int | None = 5000, steps: int = 8, target: str = "label") -> DataFrame:
+    """Train and validation score for growing shares of the training rows, on a fixed sample of rows or, without ``max_samples``, on all.
 
-    The sample of ``max_samples`` rows is part of the method: it shows how the score grows with size.
+    For a classifier the sample is part of the method: it bounds the labelled rows of many fits.
     ``estimator`` is called for each fit; ``task`` is 'regression' (R2) or 'classification' (F1).
     """
-    indexed = row_index(rows).where(F.col("_index") < max_samples)
+    indexed = row_index(rows)
+    if max_samples is not None:
+        indexed = indexed.where(F.col("_index") < max_samples)
     sample = cut(indexed.withColumn("fold", (F.col("_index") % folds).cast("int")).drop("_index", "_index_size"))
     sample = cut(add_rank_share(sample, ["fold"], seed=7, alias="_share"))
     shares = [0.1 + 0.9 * i / (steps - 1) for i in range(steps)]

@@ -62,9 +62,13 @@ def with_vector(df: DataFrame, features: Sequence[str], alias: str = "features")
     return VectorAssembler(inputCols=list(features), outputCol=alias).transform(df)
 
 
-def kmeans_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42) -> tuple[DataFrame, dict]:
+STARTS = 10
+
+
+def kmeans_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42, starts: int = STARTS) -> tuple[DataFrame, dict]:
     """Inertia and silhouette per k. Returns the table (one row per k) and the fitted models.
 
+    Of ``starts`` fits per k from different seeds the one with the lowest inertia is kept.
     The silhouette uses squared distances, which Spark computes in one linear pass over all rows.
     """
     vectors = vectors.select("features").persist()
@@ -72,7 +76,8 @@ def kmeans_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 11), seed: int
 
     def job(k: int):
         def run():
-            model = KMeans(k=k, seed=seed, maxIter=300, featuresCol="features", predictionCol="prediction").fit(vectors)
+            fits = [KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="features", predictionCol="prediction").fit(vectors) for i in range(starts)]
+            model = min(fits, key=lambda m: m.summary.trainingCost)
             return model, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(vectors)))
         return run
 

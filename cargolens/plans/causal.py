@@ -200,8 +200,8 @@ def q_surrogate(spark, sf):
 
 @query("batch_explain")
 def q_batch(spark, sf):
-    """Every order with a late probability of 0.7 or more, explained from 100 copies each; the 20 riskiest listed."""
+    """Every order with a late probability of 0.7 or more, explained from the default number of copies each; the 20 riskiest listed."""
     rows, names = late_rows(spark, sf)
     scored = rows.join(late_scored(spark, sf).select(*KEYS, "score"), list(KEYS))
-    explained = explain.batch_explain(late_classifier(spark, sf), rows, scored, names, KEYS, copies=100)
+    explained = explain.batch_explain(late_classifier(spark, sf), rows, scored, names, KEYS)
     return explain.riskiest(explained, KEYS)

@@ -154,7 +154,7 @@ def q_curve_forecast(spark, sf):
     names = panel_features(rows)
     return classify.learning_curve(
         rows.select(*names, F.col("sales").alias("y_sales")), names,
-        lambda: forecast.boosted_trees(names, CURVE_BOOSTED, 5, "y_sales", rate=0.1), "regression", target="y_sales")
+        lambda: forecast.boosted_trees(names, CURVE_BOOSTED, 5, "y_sales", rate=0.1), "regression", max_samples=None, target="y_sales")
 
 
 @query("permutation_importance_forecast")

@@ -1,9 +1,14 @@
 """Registered queries do the whole job: full ensembles, all rows, all starts."""
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
 
-from cargolens.operators import classify, forecast
-from cargolens.plans import models
+from cargolens.operators import classify, cluster, explain, forecast
+from cargolens.plans import causal, models
 
 
 @pytest.mark.parametrize("build,module,fit", [
@@ -22,3 +27,48 @@ def test_registered_fits_use_the_default_sizes(monkeypatch, build, module, fit):
     getattr(models, build)(None, None)
     (positional, named), = given
     assert len(positional) == 2 and not named
+
+
+def test_regression_curve_takes_all_rows(spark, monkeypatch):
+    rows = spark.range(6000).select(F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("sales"))
+    monkeypatch.setattr(models, "panel_rows", lambda spark, sf: rows)
+    monkeypatch.setattr(models, "panel_features", lambda rows: ["x"])
+    monkeypatch.setattr(forecast, "boosted_trees", lambda names, trees, depth, target, rate: Pipeline(stages=[
+        VectorAssembler(inputCols=names, outputCol="features"), LinearRegression(labelCol=target, predictionCol="_prediction")]))
+    out = models.q_curve_forecast(spark, None).collect()
+    assert max(r["train_rows"] for r in out) == 4000
+
+
+def test_batch_explain_uses_the_default_copies(monkeypatch):
+    given = []
+    monkeypatch.setattr(explain, "batch_explain", lambda *a, **k: given.append((a, k)))
+    monkeypatch.setattr(explain, "riskiest", lambda *a: None)
+
+    class Rows:
+        def select(self, *a):
+            return self
+
+        def join(self, *a):
+            return self
+
+    monkeypatch.setattr(causal, "late_rows", lambda spark, sf: (Rows(), []))
+    monkeypatch.setattr(causal, "late_scored", lambda spark, sf: Rows())
+    monkeypatch.setattr(causal, "late_classifier", lambda spark, sf: None)
+    causal.q_batch(None, None)
+    assert "copies" not in given[0][1] and len(given[0][0]) == 5
+
+
+def test_sweep_keeps_the_best_of_ten_starts(spark, monkeypatch):
+    rows = spark.range(300).select(F.rand(1).alias("a"), F.rand(2).alias("b"))
+    costs = []
+
+    class Recorded(KMeans):
+        def fit(self, data):
+            model = super().fit(data)
+            costs.append((self.getSeed(), model.summary.trainingCost))
+            return model
+
+    monkeypatch.setattr(cluster, "KMeans", Recorded)
+    table, _ = cluster.kmeans_sweep(cluster.with_vector(rows, ["a", "b"]), [7])
+    assert len({seed for seed, _ in costs}) == 10
+    assert table.first()["inertia"] == min(cost for _, cost in costs) < costs[0][1]
