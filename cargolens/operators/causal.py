@@ -7,8 +7,8 @@ with the orders.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,6 @@ from cargolens.session import cut
 
 # Fixed value: discounts above this share count as high.
 HIGH_DISCOUNT = 0.20
-_NORMAL = NormalDist()
 LATE_COVARIATES = ["order_region_code", "market_code", "planar_distance_km", "customer_segment_code"]
 FRAUD_COVARIATES = ["order_region_code", "customer_segment_code"]
 
@@ -176,25 +175,20 @@ def refute_random_cause(rows: DataFrame, covariates: Sequence[str] = LATE_COVARI
 
 @F.pandas_udf(T.LongType())
 def _poisson(count: pd.Series, share: pd.Series) -> pd.Series:
-    """Poisson draw with mean ``count`` at the uniform number ``share``: by inversion, or rounded normal for large means."""
+    """Poisson draw with mean ``count`` at the uniform number ``share``, by inversion.
+
+    The distribution function is summed up over 12 standard deviations and 40 on either side of the mean; what lies
+    beyond is less than a step of ``share``.
+    """
     c, u = count.to_numpy(float), share.to_numpy(float)
     out = np.zeros(len(c), dtype="int64")
-    large = c > 200
-    if large.any():
-        z = np.array([_NORMAL.inv_cdf(min(max(v, 1e-12), 1 - 1e-12)) for v in u[large]])
-        out[large] = np.maximum(np.rint(c[large] + np.sqrt(c[large]) * z), 0)
-    left = np.flatnonzero(~large)
-    term = np.exp(-c[left])
-    total, k = term.copy(), 0
-    while len(left):
-        above = (u[left] >= total) & (term > 0)
-        left, term, total = left[above], term[above], total[above]
-        k += 1
-        out[left] = k
-        term = term * c[left] / k
-        total = total + term
-        if k > 600:
-            break
+    for mean in np.unique(c[c > 0]):
+        at = np.flatnonzero(c == mean)
+        reach = 12 * np.sqrt(mean) + 40
+        k = np.arange(max(0, int(mean - reach)), int(mean + reach) + 1)
+        first = k[0] * math.log(mean) - mean - math.lgamma(k[0] + 1)
+        log = first + np.concatenate([[0.0], np.cumsum(np.log(mean / k[1:]))])
+        out[at] = k[np.minimum(np.searchsorted(np.cumsum(np.exp(log)), u[at], "right"), len(k) - 1)]
     return pd.Series(out)
 
 

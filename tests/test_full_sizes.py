@@ -1,5 +1,8 @@
 """Registered queries do the whole job: full ensembles, all rows, all starts."""
 
+import math
+
+import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
@@ -7,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from cargolens.operators import causal as effects
 from cargolens.operators import classify, cluster, explain, forecast
 from cargolens.plans import causal, models
 
@@ -72,3 +76,12 @@ def test_sweep_keeps_the_best_of_ten_starts(spark, monkeypatch):
     table, _ = cluster.kmeans_sweep(cluster.with_vector(rows, ["a", "b"]), [7])
     assert len({seed for seed, _ in costs}) == 10
     assert table.first()["inertia"] == min(cost for _, cost in costs) < costs[0][1]
+
+
+@pytest.mark.parametrize("mean", [1, 7, 200, 201, 230])
+def test_bootstrap_draws_are_poisson_at_every_size(mean):
+    shares = [0.0005, 0.003, 0.02, 0.31, 0.5, 0.77, 0.98, 0.997, 0.9995]
+    got = effects._poisson.func(pd.Series([mean] * len(shares)), pd.Series(shares)).tolist()
+    below = lambda n: math.fsum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(n))
+    assert all(below(n) <= u < below(n + 1) for n, u in zip(got, shares))
+    assert effects._poisson.func(pd.Series([0]), pd.Series([0.9])).tolist() == [0]
