@@ -112,10 +112,10 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         row = upto
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word of a block; words never cross rows."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word of a block; words never cross rows. ``outside`` marks the bytes between words."""
     inside = np.zeros(len(data) + 1, bool)
-    np.logical_not(IS_SPACE[data], out=inside[:-1])
+    np.logical_not(outside[data], out=inside[:-1])
     first = inside[:-1].copy()
     first[1:] &= ~inside[:-2]
     borders = offsets[(offsets < len(data)) & (offsets >= 0)]
@@ -184,6 +184,13 @@ def list_array(values: np.ndarray, rows: np.ndarray, n_rows: int, kind: pa.DataT
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
+def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of spans as a binary column."""
+    size = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
