@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm import html_text, jaccard_join, langid, lm, mixing, near_vectors, phrases, pieces, pii, quality, warc
+from cargolens.llm import html_text, jaccard_join, langid, lm, mixing, near_vectors, phrases, pieces, pii, quality, ranked_search, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +170,34 @@ FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 @query("op11_phrase_collocations", PHRASE_SQL)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.mine(table(spark, folder, "documents").select("text", "lang"))
+
+
+SEARCH_SQL = r"""
+WITH q AS (SELECT DISTINCT item_id, text FROM benchmark),
+lists AS (SELECT item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM q),
+qt AS (SELECT item_id, text, term, count(*) AS repeats FROM (SELECT item_id, text, unnest(ts) AS term FROM lists) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS row_, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+sized AS (SELECT row_, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+tf AS (SELECT row_, term, count(*) AS tf FROM (SELECT row_, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term),
+p AS (SELECT tf.row_, doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l)))) AS impact
+  FROM tf JOIN sized ON tf.row_ = sized.row_ JOIN w ON tf.term = w.term, c),
+s AS (SELECT item_id, text, row_, doc_id, sum(repeats * impact)::BIGINT AS score FROM qt JOIN p ON qt.term = p.term GROUP BY ALL HAVING score > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s QUALIFY rank <= 10
+"""
+
+
+@query("op12_ranked_search", SEARCH_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return ranked_search.rank(docs, table(spark, folder, "benchmark"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs.where(~toxicity.held_out()), table(spark, folder, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model)
