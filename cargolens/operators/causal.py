@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,6 +25,7 @@ from cargolens.operators.classify import late_inputs, predict_probability
 from cargolens.operators.clean import override_columns, query_filter
 from cargolens.operators.features import add_label_codes, add_planar_distance
 from cargolens.operators.scale import BUCKET, exact_quantiles, row_index, with_buckets, with_row_id
+from cargolens.operators.trees import Ensemble
 from cargolens.session import cut
 
 # Fixed value: discounts above this share count as high.
@@ -221,7 +221,7 @@ def shipping_cost_delta(new_mode: str) -> Column:
     return F.lit(X.WHATIF_MODE_COST.get(new_mode, 0.0)) - X.lookup("shipping_mode", X.WHATIF_MODE_COST, 0.0)
 
 
-def scenario_rows(df: DataFrame, name: str, condition: str, changes: Mapping, model: PipelineModel,
+def scenario_rows(df: DataFrame, name: str, condition: str, changes: Mapping, model: Ensemble,
                   levels: Mapping[str, Sequence[str]]) -> DataFrame:
     """Affected orders with their late probability before and after the change.
 
@@ -248,7 +248,7 @@ def scenario_summary(rows: DataFrame) -> DataFrame:
     return out.withColumn("net_profit", F.col("baseline_profit") - F.col("shipping_cost_delta"))
 
 
-def whatif_compare(df: DataFrame, scenarios: Sequence[tuple[str, str, Mapping]], model: PipelineModel,
+def whatif_compare(df: DataFrame, scenarios: Sequence[tuple[str, str, Mapping]], model: Ensemble,
                    levels: Mapping[str, Sequence[str]]) -> DataFrame:
     """One row per scenario that affects any order, in one aggregation."""
     rows = None

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
+from cargolens.operators import trees as T
 from cargolens.operators.features import add_codes, level_codes, one_hot_drop_first
 from cargolens.operators.risk import map_cancel_rate
 from cargolens.operators.scale import add_rank_share, row_index, stratified_folds, with_row_id
+from cargolens.operators.trees import Ensemble, Plan
 from cargolens.operators.verify import confusion, ranking_scores, regression_metrics
-from cargolens.session import cut, fit_all
+from cargolens.session import cut
 
 REGION = "macro_region"
 
@@ -52,7 +50,9 @@ def late_inputs(df: DataFrame, levels: Mapping[str, Sequence[str]] | None = None
     # Rows without a label can't teach, but with the levels of a fitted model they are coded and scored.
     known = df.where(F.col("late_risk").isNotNull()) if levels is None else df
     coded, dummies, levels = one_hot_drop_first(known, categories, levels)
-    return coded.withColumn("label", F.col("late_risk").cast("int")), [*numeric, *dummies], levels
+    if "late_risk" in df.columns:
+        coded = coded.withColumn("label", F.col("late_risk").cast("int"))
+    return coded, [*numeric, *dummies], levels
 
 
 def stratified_split(df: DataFrame, strata: Sequence[str] = ("label",), train: float = TRAIN_SHARE, seed: int = 42) -> DataFrame:
@@ -60,33 +60,23 @@ def stratified_split(df: DataFrame, strata: Sequence[str] = ("label",), train: f
     return add_rank_share(df, strata, seed).withColumn("is_train", (F.col("_share") < train).cast("int")).drop("_share")
 
 
-def forest(features: Sequence[str], trees: int, depth: int) -> Pipeline:
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_features"),
-        RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=42,
-                               probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction"),
-    ])
+def forest(trees: int, depth: int) -> Plan:
+    return Plan("forest", trees, depth)
 
 
-def boosted(features: Sequence[str], trees: int, depth: int, weight: str, max_bins: int = 32) -> Pipeline:
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_features"),
-        GBTClassifier(featuresCol="_features", labelCol="label", weightCol=weight, maxIter=trees, maxDepth=depth,
-                      stepSize=BOOST_RATE, maxBins=max_bins, seed=42, predictionCol="_prediction")
-        .setProbabilityCol("_probability").setRawPredictionCol("_raw"),
-    ])
+def boosted(trees: int, depth: int) -> Plan:
+    return Plan("logistic", trees, depth, BOOST_RATE)
 
 
-def predict_probability(model: PipelineModel, df: DataFrame, alias: str = "score", cut_at: float = 0.5,
-                        flag: str | None = "predicted") -> DataFrame:
-    """Probability of the positive class on every row."""
-    out = model.transform(df).withColumn(alias, vector_to_array("_probability")[1])
-    out = out.drop("_features", "_probability", "_raw", "_prediction")
+def predict_probability(model: Ensemble, df: DataFrame, alias: str = "score", cut_at: float = 0.5, flag: str | None = "predicted",
+                        key: Column | None = None) -> DataFrame:
+    """Probability of the positive class on every row; with a key, by the model of the row's key."""
+    out = df.withColumn(alias, model.score(key=key))
     return out if flag is None else out.withColumn(flag, (F.col(alias) >= cut_at).cast("int"))
 
 
-def fit_late(rows: DataFrame, features: Sequence[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> PipelineModel:
-    return forest(features, trees, depth).fit(rows.where("is_train = 1"))
+def fit_late(rows: DataFrame, features: Sequence[str], trees: int = FOREST_TREES, depth: int = FOREST_DEPTH) -> Ensemble:
+    return T.fit(rows.where("is_train = 1"), features, forest(trees, depth), "label")
 
 
 def classifier_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -98,41 +88,31 @@ def classifier_metrics(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return joined.select(*by, "precision", "recall", "f1", "auc", "avg_precision")
 
 
-def late_regions(rows: DataFrame) -> list[str]:
+def late_regions(rows: DataFrame) -> DataFrame:
+    """Regions with enough rows of both classes for a forest of their own."""
     sizes = rows.groupBy(REGION).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("late"))
     fit = (F.col("n") >= MIN_REGION_ROWS) & (F.col("late") >= MIN_CLASS_ROWS) & (F.col("n") - F.col("late") >= MIN_CLASS_ROWS)
-    return [r[0] for r in sizes.where(fit).select(REGION).orderBy(REGION).collect()]
+    return sizes.where(fit).select(REGION)
 
 
 def fit_late_regional(rows: DataFrame, features: Sequence[str], trees: int = REGIONAL_FOREST_TREES,
-                      depth: int = REGIONAL_FOREST_DEPTH) -> dict[str, PipelineModel]:
-    """A forest per region with enough rows of both classes; ``rows`` is split inside (region, class)."""
-    def job(region: str):
-        part = rows.where((F.col(REGION) == region) & (F.col("is_train") == 1))
-        return lambda: forest(features, trees, depth).fit(part)
-
-    return fit_all(rows.sparkSession, {r: job(r) for r in late_regions(rows)})
-
-
-def late_regional_performance(models: Mapping[str, PipelineModel], rows: DataFrame) -> DataFrame:
-    scored = None
-    for region, model in models.items():
-        part = predict_probability(model, rows.where((F.col(REGION) == region) & (F.col("is_train") == 0)))
-        part = part.select(REGION, "label", "score", "predicted")
-        scored = part if scored is None else scored.unionByName(part)
-    if scored is None:  # no region has a model
-        scored = rows.where("false").select(REGION, "label", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+                      depth: int = REGIONAL_FOREST_DEPTH) -> Ensemble:
+    """A forest per region with enough rows of both classes, all in one job; ``rows`` is split inside (region, class)."""
+    train = rows.where("is_train = 1").join(late_regions(rows), REGION, "left_semi")
+    return T.fit(train, features, forest(trees, depth), "label", F.col(REGION))
+
+
+def late_regional_performance(models: Ensemble, rows: DataFrame) -> DataFrame:
+    """Scores of every region's model on its own test rows."""
+    scored = predict_probability(models, rows.where("is_train = 0"), key=F.col(REGION)).where("score IS NOT NULL")
     sizes = rows.groupBy(REGION).agg(F.count(F.lit(1)).alias("samples"), F.sum("label").alias("late_count"))
-    return classifier_metrics(scored, [REGION]).join(sizes, REGION)
+    return classifier_metrics(scored.select(REGION, "label", "score", "predicted"), [REGION]).join(sizes, REGION)
 
 
-def predict_late(global_model: PipelineModel, models: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame:
+def predict_late(global_model: Ensemble, models: Ensemble, df: DataFrame) -> DataFrame:
     """Probability from the row's regional model if there is one, else from the global model."""
-    rest = df.where(~F.coalesce(F.col(REGION).isin(*models), F.lit(False))) if models else df
-    out = predict_probability(global_model, rest)
-    for region, model in models.items():
-        out = out.unionByName(predict_probability(model, df.where(F.col(REGION) == region)))
-    return out
+    both = df.withColumn("score", F.coalesce(models.score(key=F.col(REGION)), global_model.score()))
+    return both.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 # --- Fraud and cancellation --------------------------------------------------------------
@@ -144,31 +124,38 @@ def fraud_inputs(df: DataFrame, codes: DataFrame | None = None) -> tuple[DataFra
     return coded, [*FRAUD_NUMERIC, *[f"{c}_code" for c in FRAUD_CATEGORIES]], codes
 
 
-def balanced_weights(df: DataFrame, alias: str = "_w") -> DataFrame:
-    """Weight each class by the size of the larger one over its own."""
-    sizes = df.agg(F.struct(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).alias("s")).scalar()
-    p, q = sizes.getField("p"), sizes.getField("q")
-    top = F.greatest(p, q)
-    return df.withColumn(alias, F.when(F.col("label") == 1, top / F.greatest(p, F.lit(1))).otherwise(top / F.greatest(q, F.lit(1))))
+def balanced_weights(df: DataFrame, by: Sequence[str] = (), alias: str = "_w") -> DataFrame:
+    """Weight each class by the size of the larger one over its own, in each group ``by``."""
+    p, q = F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)
+    if by:
+        df = df.join(df.groupBy(*by).agg(p.alias("_p"), q.alias("_q")), list(by))
+    else:
+        sizes = df.agg(F.struct(p.alias("p"), q.alias("q")).alias("s")).scalar()
+        df = df.withColumns({"_p": sizes.getField("p"), "_q": sizes.getField("q")})
+    top = F.greatest("_p", "_q")
+    return df.withColumn(alias, F.when(F.col("label") == 1, top / F.greatest("_p", F.lit(1))).otherwise(top / F.greatest("_q", F.lit(1)))).drop("_p", "_q")
+
+
+def fit_fraud(df: DataFrame, features: Sequence[str], trees: int = FRAUD_TREES, depth: int = FRAUD_DEPTH) -> Ensemble:
+    """Boosted trees on balanced classes."""
+    return T.fit(balanced_weights(df), features, boosted(trees, depth), "label", weight=F.col("_w"))
 
 
-def fit_fraud(df: DataFrame, features: Sequence[str], trees: int = FRAUD_TREES, depth: int = FRAUD_DEPTH, bins: int = 64) -> PipelineModel:
-    """Boosted trees on balanced classes; ``bins`` must reach the number of levels of a category."""
-    return boosted(features, trees, depth, "_w", bins).fit(balanced_weights(df))
+def other_folds(marked: DataFrame, folds: int, alias: str = "_model") -> DataFrame:
+    """Every row once for each fold it teaches the model of: all folds but its own."""
+    return marked.withColumn(alias, F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))))
 
 
 def fraud_cv_auc(df: DataFrame, features: Sequence[str], folds: int = 5, trees: int = FRAUD_TREES, depth: int = FRAUD_DEPTH) -> DataFrame:
-    """Area under the ROC curve per stratified fold."""
+    """Area under the ROC curve per stratified fold; the models of all folds are fitted in one job."""
     marked = cut(stratified_folds(df, ["label"], folds))
-    jobs = {f: (lambda f=f: fit_fraud(marked.where(F.col("fold") != f), features, trees, depth)) for f in range(folds)}
-    scored = None
-    for f, model in fit_all(df.sparkSession, jobs).items():
-        part = predict_probability(model, marked.where(F.col("fold") == f)).select("fold", "label", "score")
-        scored = part if scored is None else scored.unionByName(part)
+    train = balanced_weights(other_folds(marked, folds), ["_model"])
+    models = T.fit(train, features, boosted(trees, depth), "label", F.col("_model"), F.col("_w"))
+    scored = predict_probability(models, marked, key=F.col("fold")).select("fold", "label", "score")
     return ranking_scores(scored, by=["fold"]).select("fold", "auc")
 
 
-def fraud_score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def fraud_score(model: Ensemble, df: DataFrame) -> DataFrame:
     out = predict_probability(model, df, "fraud_probability", flag="fraud_flag")
     edges, labels = X.FRAUD_TIERS
     return out.withColumn("fraud_risk_tier", X.cut_tiers("fraud_probability", edges, labels, include_lowest=False))
@@ -180,15 +167,15 @@ def cancel_inputs(df: DataFrame, rates: DataFrame | None = None, codes: DataFram
     return coded, [*CANCEL_NUMERIC, *[f"{c}_code" for c in CANCEL_CATEGORIES]], codes
 
 
-def fit_cancel(rows: DataFrame, features: Sequence[str], trees: int = CANCEL_TREES, depth: int = CANCEL_DEPTH) -> PipelineModel:
+def fit_cancel(rows: DataFrame, features: Sequence[str], trees: int = CANCEL_TREES, depth: int = CANCEL_DEPTH) -> Ensemble:
     """Boosted trees with the positive class weighted by (1 - p) / p of the training rows."""
     train = rows.where("is_train = 1")
     p = train.agg(F.avg("label")).scalar()
-    weighted = train.withColumn("_w", F.when(F.col("label") == 1, (1 - p) / p).otherwise(F.lit(1.0)))
-    return boosted(features, trees, depth, "_w").fit(weighted)
+    weight = F.when(F.col("label") == 1, (1 - p) / p).otherwise(F.lit(1.0))
+    return T.fit(train.withColumn("_w", weight), features, boosted(trees, depth), "label", weight=F.col("_w"))
 
 
-def cancel_score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def cancel_score(model: Ensemble, df: DataFrame) -> DataFrame:
     return predict_probability(model, df, "cancellation_probability", flag="cancellation_flag")
 
 
@@ -196,43 +183,35 @@ def cancel_score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def cv_classifier(rows: DataFrame, features: Sequence[str], folds: int = 5, trees: int = 100, depth: int = 8) -> DataFrame:
-    """Stratified folds: F1, area under the ROC curve, average precision per fold."""
+    """Stratified folds: F1, area under the ROC curve, average precision per fold; one fit for all."""
     marked = cut(stratified_folds(rows, ["label"], folds))
-    jobs = {f: (lambda f=f: forest(features, trees, depth).fit(marked.where(F.col("fold") != f))) for f in range(folds)}
-    scored = None
-    for f, model in fit_all(rows.sparkSession, jobs).items():
-        part = predict_probability(model, marked.where(F.col("fold") == f)).select("fold", "label", "score", "predicted")
-        scored = part if scored is None else scored.unionByName(part)
+    models = T.fit(other_folds(marked, folds), features, forest(trees, depth), "label", F.col("_model"))
+    scored = predict_probability(models, marked, key=F.col("fold")).select("fold", "label", "score", "predicted")
     return classifier_metrics(scored, ["fold"]).select("fold", "f1", "auc", "avg_precision")
 
 
-def learning_curve(rows: DataFrame, features: Sequence[str], estimator, task: str, folds: int = 3,
+def learning_curve(rows: DataFrame, features: Sequence[str], plan: Plan, task: str, folds: int = 3,
                    max_samples: int | None = 5000, steps: int = 8, target: str = "label") -> DataFrame:
     """Train and validation score for growing shares of the training rows, on a fixed sample of rows or, without ``max_samples``, on all.
 
     For a classifier the sample is part of the method: it bounds the labelled rows of many fits.
-    ``estimator`` is called for each fit; ``task`` is 'regression' (R2) or 'classification' (F1).
+    The models of all folds and shares are fitted in one job. ``task`` is 'regression' (R2) or 'classification' (F1).
     """
     indexed = row_index(rows)
     if max_samples is not None:
         indexed = indexed.where(F.col("_index") < max_samples)
     sample = cut(indexed.withColumn("fold", (F.col("_index") % folds).cast("int")).drop("_index", "_index_size"))
     sample = cut(add_rank_share(sample, ["fold"], seed=7, alias="_share"))
-    shares = [0.1 + 0.9 * i / (steps - 1) for i in range(steps)]
-
-    def train_rows(f: int, s: float) -> DataFrame:
-        return sample.where((F.col("fold") != f) & (F.col("_share") < s))
-
-    jobs = {(f, i): (lambda f=f, s=s: estimator().fit(train_rows(f, s)))
-            for f in range(folds) for i, s in enumerate(shares)}
-    scored = None
-    for (f, i), model in fit_all(rows.sparkSession, jobs).items():
-        both = sample.where((F.col("fold") == f) | (F.col("_share") < shares[i])).withColumn(
-            "split", F.when(F.col("fold") == f, "validation").otherwise("train"))
-        part = model.transform(both).select(
-            F.lit(f).alias("fold"), F.lit(i).alias("step"), "split", F.col(target).alias("y"),
-            F.col("_prediction").alias("prediction"))
-        scored = part if scored is None else scored.unionByName(part)
+    shares = F.array(*[F.lit(0.1 + 0.9 * i / (steps - 1)) for i in range(steps)])
+    each = sample.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))) \
+        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))) \
+        .withColumn("split", F.when(F.col("fold") == F.col("_fold"), "validation").otherwise("train")) \
+        .where((F.col("split") == "validation") | (F.col("_share") < F.get(shares, F.col("step"))))
+    model = F.col("_fold") * steps + F.col("step")
+    models = T.fit(each.where("split = 'train'"), features, plan, target, model, train_rows=T.ALL_ROWS if task == "regression" else T.TRAIN_ROWS)
+    value = models.score(key=model)
+    scored = each.select(F.col("_fold").alias("fold"), "step", "split", F.col(target).alias("y"),
+                         (value if task == "regression" else (value >= 0.5).cast("double")).alias("prediction"))
     keys = ["fold", "step", "split"]
     if task == "regression":
         scores = regression_metrics(scored, by=keys).select(*keys, F.col("r2").alias("score"))
@@ -245,13 +224,13 @@ def learning_curve(rows: DataFrame, features: Sequence[str], estimator, task: st
         F.avg(F.when(F.col("split") == "validation", F.col("score"))).alias("validation_mean"),
         F.stddev_pop(F.when(F.col("split") == "validation", F.col("score"))).alias("validation_std"),
     )
-    share = F.lit(0.1) + F.col("step") * (0.9 / (steps - 1))
+    share = F.get(shares, F.col("step"))
     gap = F.col("train_mean") - F.col("validation_mean")
     verdict = F.when(gap > 0.15, "HIGH VARIANCE").when(F.col("validation_mean") < 0.6, "HIGH BIAS").otherwise("GOOD FIT")
     return out.withColumn("train_rows", F.floor(share * sizes)).withColumn("verdict", verdict).orderBy("step")
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequence[str], task: str, repeats: int = 10,
+def permutation_importance(model: Ensemble, rows: DataFrame, features: Sequence[str], task: str, repeats: int = 10,
                            target: str = "label", seed: int = 42) -> DataFrame:
     """Drop of the score when one column is dealt out to other rows.
 
@@ -270,8 +249,8 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequ
     variants = F.sequence(F.when(F.col("_repeat") == 1, -1).otherwise(0), F.lit(len(features) - 1))
     each = pairs.withColumn("_variant", F.explode(variants))
     mixed = F.transform("_x", lambda v, j: F.when(j == F.col("_variant"), F.element_at("_o", j + 1)).otherwise(v))
-    ready = each.select("_repeat", "_variant", "_y", array_to_vector(mixed).alias("_features"))
-    scored = model.stages[-1].transform(ready).select("_repeat", "_variant", F.col("_y").alias("y"), F.col("_prediction").alias("prediction"))
+    value = model.score(mixed)
+    scored = each.select("_repeat", "_variant", F.col("_y").alias("y"), (value if task == "regression" else (value >= 0.5).cast("double")).alias("prediction"))
     keys = ["_repeat", "_variant"]
     if task == "regression":
         scores = regression_metrics(scored, by=keys).select(*keys, F.col("r2").alias("score"))

@@ -1,20 +1,21 @@
-"""Demand forecasting on the daily panel: boosted trees, ensembles, stacking."""
+"""Demand forecasting on the daily panel: boosted trees, ensembles, stacking.
+
+Models of all regions, or of all folds, are fitted in one job (``trees.fit`` with a key).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
+from cargolens.operators import trees as T
 from cargolens.operators.panel import REGION
 from cargolens.operators.scale import hash_share
+from cargolens.operators.trees import Ensemble, Plan
 from cargolens.operators.verify import regression_metrics
-from cargolens.session import cut, fit_all
 
 # Share of the regional model in the ensemble, ridge penalty of the stack.
 REGIONAL_SHARE = 0.7
@@ -27,53 +28,38 @@ LEARNING_RATE, ROW_SHARE, COLUMN_SHARE = 0.05, 0.8, 0.8
 MIN_REGION_ROWS, MIN_TRAIN_ROWS, MIN_TEST_ROWS = 60, 20, 10
 
 
-def boosted_trees(features: Sequence[str], trees: int, depth: int, target: str = "sales",
-                  rate: float = LEARNING_RATE) -> Pipeline:
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=list(features), outputCol="_features"),
-        GBTRegressor(featuresCol="_features", labelCol=target, predictionCol="_prediction", maxIter=trees, maxDepth=depth,
-                     stepSize=rate, subsamplingRate=ROW_SHARE, featureSubsetStrategy=str(COLUMN_SHARE), seed=42),
-    ])
+def boosted_plan(trees: int, depth: int, rate: float = LEARNING_RATE) -> Plan:
+    return Plan("squared", trees, depth, rate, ROW_SHARE, COLUMN_SHARE)
 
 
-def predict(model: PipelineModel, df: DataFrame, alias: str = "prediction") -> DataFrame:
-    return model.transform(df).drop("_features").withColumnRenamed("_prediction", alias)
+def predict(model: Ensemble, df: DataFrame, alias: str = "prediction") -> DataFrame:
+    return df.withColumn(alias, model.score())
 
 
-def fit_global(rows: DataFrame, features: Sequence[str], trees: int = GLOBAL_TREES, depth: int = GLOBAL_DEPTH) -> PipelineModel:
-    """One model over all regions, from the rows marked as training rows."""
-    return boosted_trees(features, trees, depth).fit(rows.where("is_train = 1"))
+def fit_global(rows: DataFrame, features: Sequence[str], trees: int = GLOBAL_TREES, depth: int = GLOBAL_DEPTH) -> Ensemble:
+    """One model over all regions, from the rows marked as training rows. A panel has a row per region and day, so all of them teach."""
+    return T.fit(rows.where("is_train = 1"), features, boosted_plan(trees, depth), "sales", train_rows=T.ALL_ROWS)
 
 
-def eligible_regions(split: DataFrame) -> list[str]:
-    """Regions with enough rows for a model of their own (one name per region)."""
+def eligible_regions(split: DataFrame) -> DataFrame:
+    """Regions with enough rows for a model of their own."""
     sizes = split.groupBy(REGION).agg(F.max("region_rows").alias("n"), F.max("region_train_rows").alias("t"))
     fit = (F.col("n") >= MIN_REGION_ROWS) & (F.col("t") >= MIN_TRAIN_ROWS) & (F.col("n") - F.col("t") >= MIN_TEST_ROWS)
-    return [r[0] for r in sizes.where(fit).select(REGION).orderBy(REGION).collect()]
-
-
-def fit_regional(rows: DataFrame, features: Sequence[str], trees: int = REGIONAL_TREES,
-                 depth: int = REGIONAL_DEPTH) -> dict[str, PipelineModel]:
-    """One model per region with enough rows, fitted side by side. ``rows`` has the regional split."""
-    spark = rows.sparkSession
+    return sizes.where(fit).select(REGION)
 
-    def job(region: str):
-        part = rows.where((F.col(REGION) == region) & (F.col("is_train") == 1))
-        return lambda: boosted_trees(features, trees, depth).fit(part)
 
-    return fit_all(spark, {r: job(r) for r in eligible_regions(rows)})
+def fit_regional(rows: DataFrame, features: Sequence[str], trees: int = REGIONAL_TREES, depth: int = REGIONAL_DEPTH) -> Ensemble:
+    """One model per region with enough rows, all in one job. ``rows`` has the regional split."""
+    train = rows.where("is_train = 1").join(eligible_regions(rows), REGION, "left_semi")
+    return T.fit(train, features, boosted_plan(trees, depth), "sales", F.col(REGION), train_rows=T.ALL_ROWS)
 
 
-def predict_regional(models: Mapping[str, PipelineModel], df: DataFrame, alias: str = "regional_prediction") -> DataFrame:
+def predict_regional(models: Ensemble, df: DataFrame, alias: str = "regional_prediction") -> DataFrame:
     """Prediction of the row's own region; null where the region has no model."""
-    out = df.where(~F.coalesce(F.col(REGION).isin(*models), F.lit(False))).withColumn(alias, F.lit(None).cast("double")) if models else \
-        df.withColumn(alias, F.lit(None).cast("double"))
-    for region, model in models.items():
-        out = out.unionByName(predict(model, df.where(F.col(REGION) == region), alias))
-    return out
+    return df.withColumn(alias, models.score(key=F.col(REGION)))
 
 
-def regional_performance(models: Mapping[str, PipelineModel], split: DataFrame) -> DataFrame:
+def regional_performance(models: Ensemble, split: DataFrame) -> DataFrame:
     """Errors on each region's own test rows, with its row counts."""
     scored = predict_regional(models, split.where("is_train = 0")).where("regional_prediction is not null")
     errors = regression_metrics(scored, "sales", "regional_prediction", [REGION])
@@ -82,57 +68,42 @@ def regional_performance(models: Mapping[str, PipelineModel], split: DataFrame)
         F.col(REGION).alias("region"), "mae", "rmse", "r2", "samples", "train", F.col("n").alias("test"))
 
 
-def evaluate_ensemble(global_model: PipelineModel, models: Mapping[str, PipelineModel], rows: DataFrame) -> DataFrame:
+def evaluate_ensemble(global_model: Ensemble, models: Ensemble, rows: DataFrame) -> DataFrame:
     """Both predictions and their blend on the test rows of the global split."""
     test = predict(global_model, rows.where("is_train = 0"), "global_prediction")
     return ensemble_forecast(predict_regional(models, test))
 
 
-def predict_all_regions(global_model: PipelineModel, models: Mapping[str, PipelineModel], rows: DataFrame) -> DataFrame:
-    """Every row scored once for every region that has a model."""
-    base = cut(predict(global_model, rows, "global_prediction").drop(REGION))
-    scored = base.withColumns({REGION: F.lit(""), "regional_prediction": F.lit(0.0)}).where("false")
-    for region, model in models.items():  # one pass over the rows per model
-        scored = scored.unionByName(predict(model, base.withColumn(REGION, F.lit(region)), "regional_prediction"))
-    return ensemble_forecast(scored)
+def predict_all_regions(global_model: Ensemble, models: Ensemble, rows: DataFrame) -> DataFrame:
+    """Every row scored once for every region that has a model, in one pass over the rows."""
+    base = predict(global_model, rows, "global_prediction").drop(REGION)
+    regions = models.nodes.select("key").distinct().agg(F.sort_array(F.collect_list("key")).alias("k"))  # as many as there are models
+    asked = base.withColumn(REGION, F.explode(regions.scalar()))
+    return ensemble_forecast(predict_regional(models, asked))
 
 
 def oof_predictions(rows: DataFrame, features: Sequence[str], folds: int = 5, trees: int = GLOBAL_TREES,
                     depth: int = GLOBAL_DEPTH) -> DataFrame:
-    """Each row predicted by a model that never saw it; folds by row hash."""
+    """Each row predicted by a model that never saw it; folds by row hash, their models fitted together."""
     marked = rows.withColumn("fold", F.floor(hash_share(rows) * folds).cast("int"))
-    jobs = {f: (lambda f=f: boosted_trees(features, trees, depth).fit(marked.where(F.col("fold") != f))) for f in range(folds)}
-    out = None
-    for f, model in fit_all(rows.sparkSession, jobs).items():
-        part = predict(model, marked.where(F.col("fold") == f))
-        out = part if out is None else out.unionByName(part)
-    return out
-
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
+    models = T.fit(marked.withColumn("_model", F.explode(others)), features, boosted_plan(trees, depth), "sales", F.col("_model"), train_rows=T.ALL_ROWS)
+    return marked.withColumn("prediction", models.score(key=F.col("fold")))
 
-def importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """Feature importances of a fitted pipeline, largest first (one row per feature)."""
-    from pyspark.sql import SparkSession
 
-    values = model.stages[-1].featureImportances.toArray()
-    rows = [(name, float(v)) for name, v in zip(features, values)]
-    return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(
-        F.desc("importance"), "feature")
+def importance(model: Ensemble, features: Sequence[str] | None = None) -> DataFrame:
+    """Share of every feature in the gains of all splits, largest first (one row per feature)."""
+    return model.importance()
 
 
 def cv_forecast(folded: DataFrame, features: Sequence[str], folds: int = 5, trees: int = GLOBAL_TREES,
                 depth: int = GLOBAL_DEPTH) -> DataFrame:
-    """Walk-forward validation: fold f trains on all rows before its test block. One row per fold."""
-    first = F.col("rows_total") - F.floor(F.col("rows_total") / (folds + 1)) * folds
+    """Walk-forward validation: fold f trains on all rows before its test block. One row per fold, one fit for all."""
     size = F.floor(F.col("rows_total") / (folds + 1))
-
-    def job(f: int):
-        train = folded.where(F.col("row_index") < first + size * (f - 1))
-        return lambda: boosted_trees(features, trees, depth).fit(train)
-
-    out = None
-    for f, model in fit_all(folded.sparkSession, {f: job(f) for f in range(1, folds + 1)}).items():
-        part = predict(model, folded.where(F.col("test_fold") == f))
-        out = part if out is None else out.unionByName(part)
+    first = F.col("rows_total") - size * folds
+    later = F.filter(F.sequence(F.lit(1), F.lit(folds)), lambda f: F.col("row_index") < first + size * (f - 1))
+    models = T.fit(folded.withColumn("_model", F.explode(later)), features, boosted_plan(trees, depth), "sales", F.col("_model"), train_rows=T.ALL_ROWS)
+    out = folded.where("test_fold IS NOT NULL").withColumn("prediction", models.score(key=F.col("test_fold")))
     return regression_metrics(out, "sales", "prediction", ["test_fold"]).withColumnRenamed("test_fold", "fold")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cargolens.functions import columns as X
 from cargolens.operators import causal, classify, explain
 from cargolens.plans.inputs import KEYS, items
-from cargolens.plans.models import late_classifier, late_rows, late_scored, once, table
+from cargolens.plans.models import late_classifier, late_levels, late_rows, late_scored, once, table
 from cargolens.plans.registry import query
 from cargolens.plans.sql import PLANAR, R, OI
 from cargolens.session import cut
@@ -121,10 +121,6 @@ def q_whatif_cost(spark, sf):
     return out.withColumn("baseline_profit", X.rnd("baseline_profit", 2))
 
 
-def levels(spark, sf):
-    return once(spark, sf, "late_levels", lambda: classify.late_inputs(table(spark, sf))[2])
-
-
 SCENARIOS = [
     ("ASIA above 200 by First Class", "market = 'ASIA' and sales > 200", {"shipping_mode": "First Class"}),
     ("NATION_5 by Same Day", "order_region = 'NATION_5'", {"shipping_mode": "Same Day"}),
@@ -135,13 +131,13 @@ SCENARIOS = [
 
 @query("whatif_scenario")
 def q_whatif(spark, sf):
-    rows = causal.scenario_rows(table(spark, sf), *SCENARIOS[0], late_classifier(spark, sf), levels(spark, sf))
+    rows = causal.scenario_rows(table(spark, sf), *SCENARIOS[0], late_classifier(spark, sf), late_levels(spark, sf))
     return causal.scenario_summary(rows)
 
 
 @query("whatif_compare")
 def q_compare(spark, sf):
-    return causal.whatif_compare(table(spark, sf), SCENARIOS, late_classifier(spark, sf), levels(spark, sf))
+    return causal.whatif_compare(table(spark, sf), SCENARIOS, late_classifier(spark, sf), late_levels(spark, sf))
 
 
 # --- Explanations ------------------------------------------------------------------------

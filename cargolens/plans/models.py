@@ -10,11 +10,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cargolens.operators import classify, features, forecast, panel, risk, verify
-from cargolens.plans.inputs import KEYS, feature_table
+from cargolens.operators import classify, features, forecast, panel, risk, scoring, verify
+from cargolens.operators.trees import Plan
+from cargolens.plans.inputs import FEATURE_INPUTS, KEYS, feature_table, items
 from cargolens.plans.registry import query
+from cargolens.plans.sql import OI, PANEL
 from cargolens.session import cut, shared_dir
-from cargolens.sources.models import load_metrics, load_models, save_models
+from cargolens.sources.models import load_bundle, save_bundle
 
 # Ensembles of the learning curves, as published.
 CURVE_BOOSTED, CURVE_FOREST = 100, 50
@@ -107,21 +109,18 @@ def q_oof(spark, sf):
 
 @query("predict_demand")
 def q_predict_demand(spark, sf):
-    """Latest panel row of every region scored by the blend of both models."""
-    rows = panel_rows(spark, sf)
-    latest = rows.groupBy("macro_region").agg(F.max_by(F.struct(*rows.columns), "date").alias("r")).select("r.*")
-    both = forecast.predict(global_forecaster(spark, sf), latest, "global_prediction")
+    """Every panel row scored by the blend of both models."""
+    both = forecast.predict(global_forecaster(spark, sf), panel_rows(spark, sf), "global_prediction")
     out = forecast.ensemble_forecast(forecast.predict_regional(regional_forecasters(spark, sf), both))
-    return out.select("macro_region", "global_prediction", "regional_prediction", "prediction")
+    return out.select("macro_region", F.col("date").cast("string").alias("date"), "global_prediction", "regional_prediction", "prediction")
 
 
 @query("predict_all_regions")
 def q_predict_all(spark, sf):
-    rows = panel_rows(spark, sf)
-    latest = rows.groupBy("macro_region").agg(F.max_by(F.struct(*rows.columns), "date").alias("r")).select(
-        F.col("macro_region").alias("asked_from"), "r.*")
-    out = forecast.predict_all_regions(global_forecaster(spark, sf), regional_forecasters(spark, sf), latest)
-    return out.select("asked_from", "macro_region", "prediction")
+    """Every panel row scored as a row of every region that has a model."""
+    rows = panel_rows(spark, sf).withColumn("asked_from", F.col("macro_region"))
+    out = forecast.predict_all_regions(global_forecaster(spark, sf), regional_forecasters(spark, sf), rows)
+    return out.select("asked_from", F.col("date").cast("string").alias("date"), "macro_region", "prediction")
 
 
 @query("feature_importance")
@@ -154,7 +153,7 @@ def q_curve_forecast(spark, sf):
     names = panel_features(rows)
     return classify.learning_curve(
         rows.select(*names, F.col("sales").alias("y_sales")), names,
-        lambda: forecast.boosted_trees(names, CURVE_BOOSTED, 5, "y_sales", rate=0.1), "regression", max_samples=None, target="y_sales")
+        forecast.boosted_plan(CURVE_BOOSTED, 5, 0.1), "regression", max_samples=None, target="y_sales")
 
 
 @query("permutation_importance_forecast")
@@ -167,6 +166,10 @@ def q_perm_forecast(spark, sf):
 # --- Late delivery -----------------------------------------------------------------------
 
 
+def late_levels(spark, sf):
+    return once(spark, sf, "late_levels", lambda: classify.late_inputs(table(spark, sf))[2])
+
+
 def late_rows(spark, sf):
     def build():
         coded, names, _ = classify.late_inputs(table(spark, sf))
@@ -240,7 +243,7 @@ def q_overfit_classifier(spark, sf):
 @query("learning_curve")
 def q_curve(spark, sf):
     rows, names = late_rows(spark, sf)
-    return classify.learning_curve(rows.drop("is_train"), names, lambda: classify.forest(names, CURVE_FOREST, 6), "classification")
+    return classify.learning_curve(rows.drop("is_train"), names, Plan("forest", CURVE_FOREST, 6), "classification")
 
 
 @query("permutation_importance")
@@ -312,11 +315,10 @@ def q_cancel_score(spark, sf):
     return classify.cancel_score(cancel_model(spark, sf), cancel_rows(spark, sf)[0]).select(*KEYS, "cancellation_probability", "cancellation_flag")
 
 
-@query("composite_model_risk")
-def q_composite(spark, sf):
+def composite(spark, sf):
     """The three fitted models scored in one chain over one table: no join back by position or key."""
     df = table(spark, sf)
-    coded, _, _ = classify.late_inputs(df, classify.late_inputs(df)[2])  # with levels, rows without a label stay
+    coded, _, _ = classify.late_inputs(df, late_levels(spark, sf))  # with levels, rows without a label stay
     out = classify.predict_probability(late_classifier(spark, sf), coded, "p_late", flag=None)
     coded, _, _ = classify.fraud_inputs(out)
     out = classify.predict_probability(fraud_model(spark, sf), coded, "p_fraud", flag=None)
@@ -326,36 +328,60 @@ def q_composite(spark, sf):
     return risk.composite_risk(out.select(*KEYS, "order_region", "market", "p_late", "p_fraud", "p_cancel"))
 
 
+@query("composite_model_risk")
+def q_composite(spark, sf):
+    return composite(spark, sf)
+
+
 # --- Persistence -------------------------------------------------------------------------
 
 
-@query("save_models")
+def bundle_folder(spark):
+    return f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+
+
+def order_bundle(spark, sf):
+    """Folder of a stored bundle that can score raw orders."""
+    def build():
+        path = bundle_folder(spark)
+        models = {"late": late_classifier(spark, sf), "fraud": fraud_model(spark, sf), "cancel": cancel_model(spark, sf)}
+        save_bundle(path, models, scoring.encoders(table(spark, sf), late_levels(spark, sf)))
+        return path
+
+    return once(spark, sf, "order_bundle", build)
+
+
+@query("save_models", f"WITH {PANEL} SELECT macro_region, 0.0::DOUBLE AS largest_difference, count(*) - 30 AS rows FROM panel GROUP BY 1 HAVING count(*) > 30")
 def q_save(spark, sf):
     """Save, load again and score: the loaded models give the same numbers (difference 0)."""
-    path = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
-    rows = global_split(spark, sf).where("is_train = 0")
-    metrics = verify.regression_metrics(forecast.predict(global_forecaster(spark, sf), rows), "sales")
-    save_models({"forecast": {"global": global_forecaster(spark, sf)}, "late": {"global": late_classifier(spark, sf)}}, path, metrics)
-    loaded = load_models(spark, path)
-    again = forecast.predict(loaded["forecast"]["global"], forecast.predict(global_forecaster(spark, sf), rows, "first"), "second")
-    return again.groupBy("macro_region").agg(F.max(F.abs(F.col("first") - F.col("second"))).alias("largest_difference"), F.count(F.lit(1)).alias("rows"))
+    path = bundle_folder(spark)
+    rows = global_split(spark, sf)
+    model, own = global_forecaster(spark, sf), regional_forecasters(spark, sf)
+    save_bundle(path, {"demand/global": model, "demand/regional": own})
+    loaded = load_bundle(spark, path).models
+    again = forecast.predict_regional(loaded["demand/regional"], forecast.predict(loaded["demand/global"], rows, "g2"), "r2")
+    both = forecast.predict_regional(own, forecast.predict(model, again, "g1"), "r1")
+    moved = F.greatest(F.abs(F.col("g1") - F.col("g2")), F.abs(F.coalesce("r1", F.lit(0.0)) - F.coalesce("r2", F.lit(0.0))))
+    return both.groupBy("macro_region").agg(F.max(moved).alias("largest_difference"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("load_models")
+@query("load_models", f"WITH {OI} SELECT order_region, count(*) AS orders, 0.0::DOUBLE AS largest_difference FROM oi GROUP BY 1")
 def q_load(spark, sf):
-    """A stored late-delivery model read back by its index and applied to the test rows."""
-    path = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
-    save_models({"late": {"global": late_classifier(spark, sf)}}, path)
-    rows, _ = late_rows(spark, sf)
-    model = load_models(spark, path)["late"]["global"]
-    return classify.classifier_metrics(classify.predict_probability(model, rows.where("is_train = 0")))
+    """A stored bundle read back scores all raw orders, without their labels, like the models of this session (difference 0)."""
+    bundle = load_bundle(spark, order_bundle(spark, sf))
+    names = ("p_late", "p_fraud", "p_cancel", "composite_risk_score")
+    raw = items(spark, sf, *FEATURE_INPUTS).drop("late_risk")
+    stored = scoring.score_orders(raw, bundle.models, bundle.tables).select(*KEYS, "order_region", *names)
+    own = composite(spark, sf).select(*KEYS, *[F.col(c).alias(f"own_{c}") for c in names])
+    both = stored.join(own, list(KEYS), "left")
+    moved = F.greatest(*[F.coalesce(F.abs(F.col(c) - F.col(f"own_{c}")), F.lit(1.0)) for c in names])
+    return both.groupBy("order_region").agg(F.count(F.lit(1)).alias("orders"), F.max(moved).alias("largest_difference"))
 
 
 @query("metrics_table")
 def q_metrics(spark, sf):
-    path = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
-    perf = forecast.regional_performance(regional_forecasters(spark, sf), region_split(spark, sf))
-    save_models({"forecast": {"global": global_forecaster(spark, sf)}}, path, perf)
-    return load_metrics(spark, path)
-
-
+    """Errors of the regional models, stored with them and read back."""
+    path = bundle_folder(spark)
+    models = regional_forecasters(spark, sf)
+    save_bundle(path, {"demand/regional": models}, {"metrics": forecast.regional_performance(models, region_split(spark, sf))})
+    return load_bundle(spark, path).tables["metrics"]

@@ -3,22 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cargolens.operators import causal, classify, cluster, density, forecast, scale
-
-
-class Model:
-    """Stands for a fitted model: its prediction is a constant."""
-
-    def __init__(self, value, vector=False):
-        self.value, self.vector = value, vector
-
-    def transform(self, df):
-        from pyspark.ml.functions import array_to_vector
-
-        if self.vector:
-            share = array_to_vector(F.array(F.lit(1 - self.value), F.lit(self.value)))
-            df = df.withColumns({"_probability": share, "_raw": F.lit(0)})
-        return df.withColumns({"_features": F.lit(0), "_prediction": F.lit(self.value)})
+from cargolens.operators import causal, classify, cluster, density, forecast, scale, trees
 
 
 def test_placebo_deals_equal_rows_at_random(spark):
@@ -58,17 +43,17 @@ def test_row_index_spreads_repeated_rows(spark):
 @pytest.mark.parametrize("models", [{}, {"r1": 1.0}])
 def test_rows_of_unknown_regions_are_predicted(spark, models):
     df = spark.createDataFrame([("r1", 1), ("r2", 2), (None, 3)], "macro_region string, id int")
-    late = classify.predict_late(Model(0.25, True), {k: Model(v, True) for k, v in models.items()}, df).collect()
+    late = classify.predict_late(trees.constant(spark, {"": 0.25}), trees.constant(spark, models), df).collect()
     assert {r["id"]: r["score"] for r in late} == {1: models.get("r1", 0.25), 2: 0.25, 3: 0.25}
-    own = forecast.predict_regional({k: Model(v) for k, v in models.items()}, df).collect()
+    own = forecast.predict_regional(trees.constant(spark, models), df).collect()
     assert {r["id"]: r["regional_prediction"] for r in own} == {1: models.get("r1"), 2: None, 3: None}
 
 
 def test_no_region_with_a_model(spark):
     df = spark.createDataFrame([("r1", 1, 0, 5.0)], "macro_region string, label int, is_train int, sales double")
-    assert classify.late_regional_performance({}, df).count() == 0
-    assert forecast.predict_all_regions(Model(1.0), {}, df).count() == 0
-    assert forecast.predict_all_regions(Model(1.0), {"a": Model(2.0), "b": Model(3.0)}, df).count() == 2
+    assert classify.late_regional_performance(trees.constant(spark, {}), df).count() == 0
+    assert forecast.predict_all_regions(trees.constant(spark, {"": 1.0}), trees.constant(spark, {}), df).count() == 0
+    assert forecast.predict_all_regions(trees.constant(spark, {"": 1.0}), trees.constant(spark, {"a": 2.0, "b": 3.0}), df).count() == 2
 
 
 def test_unlabelled_orders_are_coded_with_fitted_levels(spark):
