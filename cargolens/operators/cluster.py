@@ -6,19 +6,22 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
+from cargolens.operators import kmeans
 from cargolens.operators.density import dbscan
 from cargolens.operators.features import minmax_scale, standard_scale
+from cargolens.operators.kmeans import STARTS, Centres
 from cargolens.operators.panel import drift_flags, quarterly_regions
 from cargolens.operators.scale import attach
 from cargolens.schema import present
-from cargolens.session import cut, fit_all, sized
+from cargolens.session import cut, sized
 
 # Weights of the resilience index.
 RESILIENCE_WEIGHTS = {
@@ -62,41 +65,27 @@ def with_vector(df: DataFrame, features: Sequence[str], alias: str = "features")
     return VectorAssembler(inputCols=list(features), outputCol=alias).transform(df)
 
 
-STARTS = 10
+def kmeans_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42, starts: int = STARTS) -> tuple[DataFrame, dict[int, Centres]]:
+    """Inertia and silhouette per k. Returns the table (one row per k) and the fitted centres.
 
-
-def kmeans_sweep(vectors: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42, starts: int = STARTS) -> tuple[DataFrame, dict]:
-    """Inertia and silhouette per k. Returns the table (one row per k) and the fitted models.
-
-    Of ``starts`` fits per k from different seeds the one with the lowest inertia is kept.
-    The silhouette uses squared distances, which Spark computes in one linear pass over all rows.
+    Of ``starts`` fits per k the one with the lowest inertia is kept; all fits of all k share their passes over the rows.
+    The silhouette uses squared distances, which need one more pass.
     """
-    vectors = vectors.select("features").persist()
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", metricName="silhouette")
-
-    def job(k: int):
-        def run():
-            fits = [KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="features", predictionCol="prediction").fit(vectors) for i in range(starts)]
-            model = min(fits, key=lambda m: m.summary.trainingCost)
-            return model, float(model.summary.trainingCost), float(evaluator.evaluate(model.transform(vectors)))
-        return run
-
-    found = fit_all(vectors.sparkSession, {k: job(k) for k in ks})
-    vectors.unpersist()
-    best = max(found, key=lambda k: (found[k][2], -k))
-    rows = [(k, inertia, sil, int(k == best)) for k, (_, inertia, sil) in found.items()]
-    table = vectors.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, is_best int")
-    return table.orderBy("k"), {k: m for k, (m, _, _) in found.items()}
+    rows = vectors.select(vector_to_array("features").alias("x")).persist()
+    models, scores = kmeans.sweep(rows, ks, starts, seed)
+    rows.unpersist()
+    best = max(scores, key=lambda k: (scores[k], -k), default=None)
+    table = [(k, models[k].inertia, scores[k], int(k == best)) for k in models]
+    return vectors.sparkSession.createDataFrame(table, "k int, inertia double, silhouette double, is_best int").orderBy("k"), models
 
 
-def attach_labels(df: DataFrame, model, features: Sequence[str], alias: str = "kmeans_cluster", missing: int = 0) -> DataFrame:
+def attach_labels(df: DataFrame, model: Centres, features: Sequence[str], alias: str = "kmeans_cluster", missing: int = 0) -> DataFrame:
     """Cluster label on every row; incomplete rows get ``missing``."""
     whole = F.lit(True)
     for f in features:
         whole = whole & F.col(f).isNotNull()
-    done = model.transform(with_vector(df.where(whole), features)).drop("features").withColumnRenamed("prediction", alias)
-    rest = df.where(~whole).withColumn(alias, F.lit(missing))
-    return done.unionByName(rest)
+    x = F.when(whole, F.array(*[F.col(f).cast("double") for f in features]))
+    return df.withColumn(alias, F.coalesce(model.label(x), F.lit(missing)))
 
 
 def label_all(df: DataFrame, scaled: DataFrame, model, names: Sequence[str], candidates: Sequence[str] = CLUSTER_FEATURES,
