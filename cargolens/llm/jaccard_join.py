@@ -4,7 +4,7 @@ Documents are sets of five-word shingles. Equal sets form one class, and the joi
 class's set is embedded as tokens (i, its smallest shingle under hash i). In every run a class walks down a tree: a node samples one or two coordinates, and
 classes with the same token there meet in a child. Small children are compared by brute force; large ones
 are split again. Runs are repeated until a pair at the threshold is missed at most as often as the target
-recall allows. Pairs that a node brings together only say which classes belong to one candidate group;
+recall allows, and then until an audit, in which sampled classes meet all others, finds that recall. Pairs that a node brings together only say which classes belong to one candidate group;
 within each group every pair is then compared exactly, block by block, so no link inside it is lost and no
 list of pairs is ever written: a block pair returns link counts and a spanning forest.
 """
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,13 +31,16 @@ NUM, DEN = 4, 5  # a link: Jaccard similarity of at least 4/5, compared in whole
 TOKENS = 64
 #: Tokens shared by a pair of similarity 0.8 in all but about 2 of 10,000 cases (3.5 standard deviations).
 ENOUGH = 40
-#: Nodes compared by brute force; classes of a larger node that are far from its first and still compared with all of it.
-SMALL, FEW = 512, 1024
+#: Nodes compared by brute force, with the comparisons a class may have there in the mean; what is left then is split
+#: again. Classes of a larger node that are far from its first and still compared with all of it.
+SMALL, COMPARED, FEW = 1 << 17, 512, 1024
 #: Coordinates sampled per node, in the mean: above 1 / 0.8, so that a pair at the threshold lives on.
 BRANCH = 1.43
 #: Chance that a run brings such a pair together, taken low: the survival of that branching walk.
 RUN_RECALL = 0.37
 DEPTH = 8
+#: Classes drawn for the audit of the recall, tokens shared by a pair that counts there, batches of further runs.
+AUDIT, SURE, TRIES = 256, 52, 8
 #: Classes of a large node that are compared with a few others at once; classes and shingles of a block.
 CHUNK, BLOCK, BLOCK_SHINGLES = 256, 1024, 1 << 21
 _SEEDS = np.random.default_rng(9).integers(1, 1 << 63, (2, TOKENS), dtype=np.uint64)
@@ -81,7 +85,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["row", "key", "size", "cls", "sig"])
 
 
-def _walk(runs: int):
+def _walk(runs: range):
     """Children of the nodes at which classes stand; without a node, of the roots of all runs."""
 
     def children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +107,7 @@ def _walk(runs: int):
             if "node" in batch.schema.names:
                 nodes = [np.asarray(batch.column("node")).view(np.uint64)]
             else:
-                nodes = [np.full(len(batch), r + 1, np.uint64) for r in range(runs)]
+                nodes = [np.full(len(batch), r + 1, np.uint64) for r in runs]
             for node in nodes:
                 child, who = children(node, sig)
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("cls").take(pa.array(who))], names=["node", "cls"])
@@ -122,15 +126,24 @@ def _sketch(sig: pa.Array) -> pa.Array:
     return pa.array([x.tobytes() for x in low], pa.binary())
 
 
-def _reached(sig: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the similar pairs among the rows ``at``: every class is compared with those not reached yet."""
+def _reached(sig: np.ndarray, at: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the similar pairs among the rows ``at``: every class is compared with those not reached yet.
+
+    After ``most`` comparisons it gives back, as pairs (i, -1), the classes whose comparisons are not all done.
+    """
     left, queue = at[1:], [int(x) for x in at[:1]]
+    done = 0
     while len(left):
+        if most is not None and done > most:
+            for i in [*queue, *left]:
+                yield int(i), -1
+            return
         if not queue:
             queue, left = [int(left[0])], left[1:]
             continue
         i = queue.pop()
         hit = _near(sig[i], sig[left])
+        done += len(left)
         for j in left[hit]:
             yield i, int(j)
             queue.append(int(j))
@@ -138,16 +151,17 @@ def _reached(sig: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the similar pairs of every small node."""
+    """A spanning forest of the similar pairs of every small node; classes that are not done, with their node."""
     for table, at in whole_groups(batches, "node"):
-        cls = table["cls"].to_pylist()
+        cls, node = table["cls"].to_pylist(), np.asarray(table["node"])
         sig = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, TOKENS)
-        a, b = [], []
+        a, b, rest = [], [], []
         for s, e in zip(at[:-1], at[1:]):
-            for i, j in _reached(sig, np.arange(s, e)):
+            for i, j in _reached(sig, np.arange(s, e), COMPARED * (e - s)):
                 a.append(cls[i])
-                b.append(cls[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                b.append(cls[j] if j >= 0 else None)
+                rest.append(None if j >= 0 else int(node[i]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(rest, pa.int64())], names=["a", "b", "node"])
 
 
 def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,56 +190,104 @@ def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @F.arrow_udf(T.BooleanType())
 def _alike(x: pa.Array, y: pa.Array) -> pa.Array:
-    a, b = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(-1, TOKENS) for v in (x, y))
+    a, b = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, TOKENS) for v in (x, y))
     return pa.array(_near(a, b))
 
 
-def candidates(classes: DataFrame, runs: int) -> DataFrame:
+def candidates(classes: DataFrame, runs: range) -> DataFrame:
     """(a, b): pairs of classes that put all candidate pairs of the walks into one group.
 
-    In a large node, classes near its smallest one are in that one's group. If only a few others are left, those
-    are compared with the whole node, and it is done. Else the node is split further. A large node that is still
-    mixed at the greatest depth becomes one group as a whole: the exact comparison then does what brute
-    force would have done there.
+    In a node that fits into a task every class is compared with those not reached yet; if that takes too many comparisons,
+    the classes that are not done walk on. In a larger node, classes near its smallest one are in that one's group. If
+    only a few others are left, those are compared with the whole node, and it is done. Else the others walk on. A large
+    node that is still mixed at the greatest depth becomes one group as a whole: the exact comparison then does what
+    brute force would have done there.
     """
     spark = classes.sparkSession
     parts = num_shuffle_partitions(spark)
-    sketches = classes.select("cls", _sketch("sig").alias("sketch"))
     edges = None
     rows = classes.select("cls", "sig").mapInArrow(_walk(runs), "node bigint, cls binary")
     for depth in range(1, DEPTH + 1):
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = cut(rows.join(counts, "node").select("node", "cls", "n"))
-        small = met.where(F.col("n") <= SMALL).select("node", "cls").join(sketches, "cls").repartition(parts, "node") \
-            .sortWithinPartitions("node").mapInArrow(_brute, "a binary, b binary")
-        large = met.where(F.col("n") > SMALL).join(classes.select("cls", "sig"), "cls")
-        lead = large.groupBy("node").agg(F.min(F.struct("cls", "sig")).alias("lead"))
-        judged = large.join(lead, "node").select("node", "cls", "sig", "n", F.col("lead.cls").alias("a"), _alike("sig", "lead.sig").alias("near"))
-        if depth < DEPTH:
-            judged = cut(judged)
-            star = judged.where("near").select("a", F.col("cls").alias("b"))
-        else:
-            star = judged.select("a", F.col("cls").alias("b"))
-        found = small.unionByName(star)
-        if depth < DEPTH:
-            left = cut(judged.where("NOT near").groupBy("node").agg(F.count(F.lit(1)).alias("others")))
-            few = judged.join(left.where(F.col("others") <= FEW), "node").withColumn("sketch", _sketch("sig"))
-            chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-            whole = few.where("near").select("node", F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), "cls", "sketch", F.lit(False).alias("far"))
-            sent = few.where("NOT near").select("node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "cls", "sketch", F.lit(True).alias("far"))
-            found = found.unionByName(whole.unionByName(sent).repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk")
-                                      .mapInArrow(_against, "a binary, b binary"))
-        found = cut(found.where("a != b").distinct())
-        edges = found if edges is None else edges.unionByName(found)
+        small = met.where(F.col("n") <= SMALL).select("node", "cls").join(classes.select("cls", "sketch"), "cls").repartition(parts, "node") \
+            .sortWithinPartitions("node", "cls").mapInArrow(_brute, "a binary, b binary, node bigint")
+        found, onward = cut(small), None
+        star, deeper = _large(met.where(F.col("n") > SMALL), classes, depth == DEPTH)
+        more = found.where("b IS NOT NULL").select("a", "b")
+        # At the greatest depth, what is not done becomes one group.
+        last = found.where("b IS NULL").withColumn("first", F.min("a").over(W.partitionBy("node"))).select(F.col("first").alias("a"), F.col("a").alias("b")) \
+            if depth == DEPTH else None
+        for part in (star, last):
+            more = more if part is None else more.unionByName(part)
+        more = more.where("a != b")
+        edges = more if edges is None else edges.unionByName(more)
         if depth == DEPTH:
             break
-        mixed = left.where(F.col("others") > FEW).select("node")
-        if mixed.isEmpty():
+        onward = found.where("b IS NULL").select("node", F.col("a").alias("cls"))
+        if deeper is not None:
+            onward = onward.unionByName(deeper)
+        onward = cut(onward)
+        if onward.isEmpty():
             break
-        rows = judged.join(mixed, "node").select("node", "cls", "sig").mapInArrow(_walk(runs), "node bigint, cls binary")
+        rows = onward.join(classes.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInArrow(_walk(runs), "node bigint, cls binary")
     return edges.distinct()
 
 
+def _large(met: DataFrame, classes: DataFrame, last: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """Pairs of nodes that are too large for a task, and (node, cls) of the classes that walk on."""
+    if met.isEmpty():
+        return None, None
+    parts = num_shuffle_partitions(met.sparkSession)
+    large = met.join(classes.select("cls", "sketch"), "cls")
+    lead = large.groupBy("node").agg(F.min(F.struct("cls", "sketch")).alias("lead"))
+    judged = large.join(lead, "node").select("node", "cls", "sketch", "n", F.col("lead.cls").alias("a"), _alike("sketch", "lead.sketch").alias("near"))
+    if last:
+        return judged.select("a", F.col("cls").alias("b")), None
+    judged = cut(judged)
+    star = judged.where("near").select("a", F.col("cls").alias("b"))
+    left = cut(judged.where("NOT near").groupBy("node").agg(F.count(F.lit(1)).alias("others")))
+    few = judged.join(left.where(F.col("others") <= FEW), "node")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    whole = few.where("near").select("node", F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), "cls", "sketch", F.lit(False).alias("far"))
+    sent = few.where("NOT near").select("node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "cls", "sketch", F.lit(True).alias("far"))
+    found = whole.unionByName(sent).repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(_against, "a binary, b binary")
+    return star.unionByName(cut(found)), judged.join(left.where(F.col("others") > FEW), "node").select("node", "cls")
+
+
+def _partners(sent):
+    """(sampled class, class): pairs that surely have to be in one group."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, some = sent.value
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
+            cls = batch.column("cls")
+            for name, one in zip(names, some):
+                at = np.flatnonzero((sig == one).sum(axis=1) >= SURE)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.binary()), cls.take(pa.array(at))], names=["one", "cls"])
+
+    return find
+
+
+def audited(classes: DataFrame, groups: DataFrame) -> float:
+    """Share of a class's partners that are in its group, in the mean over the sampled classes that have partners.
+
+    Partners are told from sketches, with all classes compared; small groups count like large ones. 1.0 without partners.
+    """
+    spark = classes.sparkSession
+    sample = classes.orderBy(F.xxhash64("cls", F.lit(5)), "cls").limit(AUDIT).select("cls", "sketch").collect()
+    sent = spark.sparkContext.broadcast(([r["cls"] for r in sample], [np.frombuffer(r["sketch"], np.uint8) for r in sample]))
+    pairs = classes.select("cls", "sketch").mapInArrow(_partners(sent), "one binary, cls binary").where("one != cls")
+    root = groups.select("node", "root")
+    placed = pairs.join(root.withColumnRenamed("node", "cls"), "cls", "left") \
+        .join(root.select(F.col("node").alias("one"), F.col("root").alias("own")), "one", "left")
+    each = placed.groupBy("one").agg(F.avg(F.coalesce(F.col("root") == F.col("own"), F.lit(False)).cast("int")).alias("share"))
+    share = each.agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else share
+
+
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = [common.list_array(h.view(np.int64), row, n, pa.int64()) for n, row, h in _sets(batch.column("text"))]
@@ -277,6 +339,21 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.concatenate([count[some], np.zeros(len(x))]).astype(np.int64))], names=["a", "b", "links"])
 
 
+def grouped(classes: DataFrame, recall: float) -> DataFrame:
+    """(node, root): candidate groups of more than one class. Runs go on until the audit finds the target recall."""
+    edges, done, more = None, 0, runs_for(recall)
+    for _ in range(TRIES):
+        found = cut(candidates(classes, range(done, done + more)))
+        done, more = done + more, max(1, more // 2)
+        edges = found if edges is None else edges.unionByName(found)
+        met = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"))
+        groups = cut(connected_components(met, edges))
+        reached = audited(classes, groups)
+        if reached >= recall:
+            return groups
+    raise RuntimeError(f"recall of {reached:.4f} after {done} runs, {recall} was asked for")
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: float = 0.99) -> DataFrame:
     """One row per row of ``docs``: key, row, n_shingles, class_id, n_links, group_id, kept.
 
@@ -294,10 +371,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: float
     kind = docs.schema[key].dataType.simpleString()
     signed = cut(rows.mapInArrow(_signed, f"row bigint, key {kind}, size bigint, cls binary, sig binary"))
     classes = cut(signed.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("row").alias("row"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("sig").alias("sig")))
-    edges = cut(candidates(classes, runs_for(recall)))
-    met = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"))
-    groups = cut(connected_components(met, edges))
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+        .withColumn("sketch", _sketch("sig")))
+    groups = grouped(classes, recall)
     sized = groups.join(classes.select("cls", "row", "members", "size"), F.col("node") == F.col("cls")).select("row", "cls", "members", "size", F.col("root").alias("group"))
     sizes = sized.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
     wanted = sized.join(sizes, "group").select("row", "cls", "members", "group", "n")

@@ -82,6 +82,25 @@ def test_join_of_large_mixed_nodes(frame, monkeypatch):
     same_join(frame, copies(200, 50), recall=0.999)
 
 
+@pytest.mark.parametrize("compared", [0, 3])
+def test_nodes_that_take_too_many_comparisons_walk_on(frame, monkeypatch, compared):
+    monkeypatch.setattr(jaccard_join, "COMPARED", compared)
+    same_join(frame, copies(300, 40), recall=0.999)
+
+
+def test_runs_go_on_until_the_audit_is_met(spark, frame, monkeypatch):
+    rows = frame(copies(300, 6), "doc_id long, text string")
+    seen = []
+    plain = jaccard_join.candidates
+    monkeypatch.setattr(jaccard_join, "candidates", lambda classes, runs: seen.append(runs) or plain(classes, runs).limit(0 if len(seen) < 3 else 10**9))
+    found = jaccard_join.join(rows)
+    assert found.where("n_links > 0").count() > 0 and len(seen) >= 3
+    assert seen[0].stop == seen[1].start and seen[1].stop == seen[2].start
+    monkeypatch.setattr(jaccard_join, "candidates", lambda classes, runs: plain(classes, runs).limit(0))
+    with pytest.raises(RuntimeError, match="recall"):
+        jaccard_join.join(rows)
+
+
 def test_far_classes_meet_the_group_of_the_lead(spark, monkeypatch):
     """One node of 20 classes near its first and 12 far ones, of which the last is also near one class of the first's group."""
     def sig(shared, tail):
@@ -98,7 +117,7 @@ def test_far_classes_meet_the_group_of_the_lead(spark, monkeypatch):
     near = [(b"a%02d" % i, sig(64, 0)) for i in range(19)] + [(b"z99", sig(44, 9))]  # the last one holds 20 tokens of the far ones
     far = [(b"b%02d" % i, sig(10, 9)) for i in range(11)] + [(b"b99", sig(30, 9))]
     assert sum(x == y for x, y in zip(np.frombuffer(sig(44, 9), np.uint32), np.frombuffer(sig(30, 9), np.uint32))) == 50
-    edges = [(bytes(r.a), bytes(r.b)) for r in jaccard_join.candidates(spark.createDataFrame(far + near, "cls binary, sig binary").coalesce(1), 1).collect()]
+    edges = [(bytes(r.a), bytes(r.b)) for r in jaccard_join.candidates(spark.createDataFrame(far + near, "cls binary, sig binary").coalesce(1).withColumn("sketch", jaccard_join._sketch("sig")), range(1)).collect()]
     group = {k: k for k, _ in near + far}
     for _ in range(len(group)):
         for a, b in edges:
