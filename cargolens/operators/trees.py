@@ -56,7 +56,7 @@ def bin_edges(rows: DataFrame, features: Sequence[str], bins: int = BINS) -> lis
     return [np.unique(np.array([x for x in found[f"e{i}"] or [] if not np.isnan(x)], float)) for i in range(len(features))]
 
 
-def _number(column: pa.Array) -> np.ndarray:
+def number(column: pa.Array) -> np.ndarray:
     """Doubles with missing values below all others."""
     x = np.asarray(column.cast(pa.float64()).fill_null(float("nan")), dtype=float)
     return np.where(np.isnan(x), -np.inf, x)
@@ -67,7 +67,7 @@ def _binned(edges: list[np.ndarray], passed: Sequence[str]):
         for batch in batches:
             x = np.empty((len(batch), len(edges)), np.uint8)
             for i, e in enumerate(edges):
-                v = _number(batch.column(f"f{i}"))
+                v = number(batch.column(f"f{i}"))
                 x[:, i] = np.where(v == -np.inf, 0, 1 + np.searchsorted(e, v, "left"))
             blobs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(edges)), len(batch), [None, pa.py_buffer(x.tobytes())])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], blobs.cast(pa.binary())], names=[*passed, "x"])
@@ -247,7 +247,7 @@ def fit(rows: DataFrame, features: Sequence[str], plan: Plan, target: str, key:
 # --- Scoring -----------------------------------------------------------------------------
 
 
-def _arrays(nodes: pa.Table, depth: int) -> dict[str, list[tuple]]:
+def _arrays(nodes: pa.Table) -> dict[str, list[tuple]]:
     """Trees by key, in order."""
     out: dict[str, list[tuple]] = {}
     nodes = nodes.sort_by([("key", "ascending"), ("tree", "ascending"), ("node", "ascending")])
@@ -259,7 +259,7 @@ def _arrays(nodes: pa.Table, depth: int) -> dict[str, list[tuple]]:
     return out
 
 
-def _sum(x: np.ndarray, trees: list[tuple], depth: int) -> np.ndarray:
+def tree_sum(x: np.ndarray, trees: list[tuple], depth: int) -> np.ndarray:
     out = np.zeros(len(x))
     for feature, threshold, child, value in trees:
         out += value[_walk(x, feature, threshold, child, depth)] if len(value) > 1 else value[0]
@@ -283,24 +283,28 @@ class Ensemble:
     def keys(self) -> list[str]:
         return [r[0] for r in self.nodes.select("key").distinct().orderBy("key").collect()]
 
+    def arrays(self) -> dict[str, list[tuple]]:
+        """(feature, threshold, child, value) of every tree by key: what tasks hold."""
+        return _arrays(self.nodes.toArrow())
+
     def _scorer(self):
         if self._udf is None:
             spark: SparkSession = self.nodes.sparkSession
-            sent = spark.sparkContext.broadcast(_arrays(self.nodes.toArrow(), self.depth))
+            sent = spark.sparkContext.broadcast(self.arrays())
             kind, depth = self.kind, self.depth
 
             @F.arrow_udf(T.DoubleType())
             def score(key: pa.Array, x: pa.Array) -> pa.Array:
                 models = sent.value
                 wide = max(1, len(x.flatten()) // max(1, len(x)))
-                values = _number(x.flatten()).reshape(-1, wide)
+                values = number(x.flatten()).reshape(-1, wide)
                 out = np.full(len(x), np.nan)
                 names = key.dictionary_encode()
                 place = np.asarray(names.indices.fill_null(-1))
                 for i, name in enumerate(names.dictionary.to_pylist()):
                     if name in models:
                         mine = place == i
-                        out[mine] = _link(_sum(values[mine], models[name], depth), len(models[name]), kind)
+                        out[mine] = _link(tree_sum(values[mine], models[name], depth), len(models[name]), kind)
                 return pa.array(out, from_pandas=True)
 
             self._udf = score

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cargolens.functions import columns as X
 from cargolens.operators import causal, classify, explain
 from cargolens.plans.inputs import KEYS, items
-from cargolens.plans.models import late_classifier, late_levels, late_rows, late_scored, once, table
+from cargolens.plans.models import (global_forecaster, global_split, late_classifier, late_levels, late_rows, late_scored, once,
+                                     panel_features, table)
 from cargolens.plans.registry import query
 from cargolens.plans.sql import PLANAR, R, OI
 from cargolens.session import cut
@@ -156,6 +157,13 @@ def q_shapley(spark, sf):
     return shapley(spark, sf)
 
 
+@query("shapley_demand")
+def q_shapley_demand(spark, sf):
+    """The demand model explained on its test rows."""
+    rows = global_split(spark, sf).where("is_train = 0").withColumn("day", F.col("date").cast("string"))
+    return explain.shapley_sample(global_forecaster(spark, sf), rows, panel_features(rows), ["macro_region", "day"])
+
+
 @query("global_attribution_model")
 def q_global_attribution_model(spark, sf):
     return explain.global_attribution(shapley(spark, sf))

@@ -35,7 +35,7 @@ def test_forest_ranks_better_than_chance_and_repeats(fitted):
 
 def test_attributions_sum_to_the_score(fitted):
     split, model = fitted
-    phi = explain.shapley_sample(model, split, ["a", "b"], ["id"], rows=8, background=5, orders=2)
+    phi = explain.shapley_sample(model, split, ["a", "b"], ["id"], rows=8, background=5)
     for r in phi.groupBy("id").agg(F.sum("phi").alias("s"), F.max("f_row").alias("f"), F.max("f_background").alias("g")).collect():
         assert math.isclose(r["s"], r["f"] - r["g"], abs_tol=1e-9)
 
