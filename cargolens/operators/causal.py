@@ -24,7 +24,7 @@ from cargolens.functions import columns as X
 from cargolens.operators.classify import late_inputs, predict_probability
 from cargolens.operators.clean import override_columns, query_filter
 from cargolens.operators.features import add_label_codes, add_planar_distance
-from cargolens.operators.scale import BUCKET, exact_quantiles, row_index, with_buckets, with_row_id
+from cargolens.operators.scale import BUCKET, exact_quantiles, numbered, permuted, with_buckets
 from cargolens.operators.trees import Ensemble
 from cargolens.session import cut
 
@@ -156,20 +156,18 @@ def ate_linear(rows: DataFrame, covariates: Sequence[str] = LATE_COVARIATES) ->
 def refute_placebo(rows: DataFrame, covariates: Sequence[str] = LATE_COVARIATES, seed: int = 42) -> DataFrame:
     """Effect of a treatment dealt out to other rows at random; should be near 0.
 
-    Rows are put in a random order of their own numbers, not of their values: equal rows would stand side by
-    side, and a shift would hand whole blocks of them the treatment of another block.
+    Row i of the numbered rows is given the treatment of the row at place i of a random order. Numbers follow the rows'
+    values, so the deal does not depend on files or partitions.
     """
-    own = with_row_id(rows.select("treated", "outcome", *covariates))
-    numbered = cut(row_index(own, seed=seed, key=["_row"]).drop("_row"))
-    shift = F.pmod(F.xxhash64(F.lit(seed)), F.col("_index_size") - 1) + 1
-    given = numbered.select(F.pmod(F.col("_index") + shift, F.col("_index_size")).alias("_index"), "treated")
-    return ate_psm(numbered.drop("treated", "_index_size").join(given, "_index"), covariates)
+    own = cut(numbered(rows.select("treated", "outcome", *covariates), seed))
+    given = own.select(permuted(F.col("_index"), F.col("_index_size"), F.lit(seed)).alias("_index"), "treated")
+    return ate_psm(own.drop("treated", "_index_size").join(given, "_index"), covariates)
 
 
 def refute_random_cause(rows: DataFrame, covariates: Sequence[str] = LATE_COVARIATES, seed: int = 42) -> DataFrame:
     """Effect with one more confounder that is pure noise; should stay as it was."""
-    own = with_row_id(rows.select("treated", "outcome", *covariates))
-    base = own.withColumn("random_cause", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(1 << 52)) / float(1 << 52))
+    own = cut(numbered(rows.select("treated", "outcome", *covariates), seed))
+    base = own.withColumn("random_cause", F.pmod(F.xxhash64(F.lit(seed), "_index"), F.lit(1 << 52)) / float(1 << 52))
     return ate_psm(base, [*covariates, "random_cause"])
 
 

@@ -11,7 +11,7 @@ from cargolens.functions import columns as X
 from cargolens.operators import trees as T
 from cargolens.operators.features import add_codes, level_codes, one_hot_drop_first
 from cargolens.operators.risk import map_cancel_rate
-from cargolens.operators.scale import add_rank_share, row_index, stratified_folds, with_row_id
+from cargolens.operators.scale import add_rank_share, numbered, permuted, row_index, stratified_folds
 from cargolens.operators.trees import Ensemble, Plan
 from cargolens.operators.verify import confusion, ranking_scores, regression_metrics
 from cargolens.session import cut
@@ -234,16 +234,14 @@ def permutation_importance(model: Ensemble, rows: DataFrame, features: Sequence[
                            target: str = "label", seed: int = 42) -> DataFrame:
     """Drop of the score when one column is dealt out to other rows.
 
-    Rows get a number in hash order once; repeat r hands row i the values of row (i + shift_r) mod n.
+    Rows get their numbers once; repeat r hands row i the values of the row at place i of the r-th random order.
     That is one join per repeat for all columns together, and one model pass for everything.
     """
-    base = rows.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("double").alias("_y"))
-    numbered = row_index(with_row_id(base.withColumn("_x", F.array(*features))), seed=seed, key=["_row"])
-    numbered = cut(numbered.select("_y", "_x", "_index", "_index_size"))
-    shift = F.pmod(F.xxhash64(F.lit(seed), F.col("_repeat")), F.col("_index_size") - 1) + 1
-    asks = numbered.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))) \
-        .withColumn("_from", F.pmod(F.col("_index") + shift, F.col("_index_size")))
-    other = numbered.select(F.col("_index").alias("_from"), F.col("_x").alias("_o"))
+    base = rows.select(F.array(*[F.col(c).cast("double") for c in features]).alias("_x"), F.col(target).cast("double").alias("_y"))
+    dealt = cut(numbered(base, seed))
+    asks = dealt.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))) \
+        .withColumn("_from", permuted(F.col("_index"), F.col("_index_size"), F.col("_repeat") + seed))
+    other = dealt.select(F.col("_index").alias("_from"), F.col("_x").alias("_o"))
     pairs = asks.join(other, "_from")
     # Variant -1 of repeat 1 is the untouched row; variant j takes column j from the other row.
     variants = F.sequence(F.when(F.col("_repeat") == 1, -1).otherwise(0), F.lit(len(features) - 1))

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cargolens.session import cut, num_shuffle_partitions, sized
 
@@ -168,9 +171,56 @@ def hash_share(df: DataFrame, seed: int = 42) -> Column:
     return F.pmod(row_hash(df, seed), F.lit(1 << 52)) / float(1 << 52)
 
 
-def with_row_id(df: DataFrame, alias: str = "_row") -> DataFrame:
-    """Number the rows of a written copy of ``df``, so that equal rows can be told apart and keep their numbers."""
-    return cut(cut(df).withColumn(alias, F.monotonically_increasing_id()))
+#: Rows that one record of equal rows is expanded to at a time.
+EXPAND = 1 << 16
+
+
+def numbered(df: DataFrame, seed: int = 42, alias: str = "_index") -> DataFrame:
+    """All rows of ``df`` with numbers 0, 1, ... in the order of their hashes, and their count as ``<alias>_size``.
+
+    Equal rows are counted before they are ordered, and which of them has which number makes no difference: so the result
+    does not depend on how rows lie in files or partitions, and no repeated row gathers in one task.
+    """
+    columns = df.columns
+    counts = cut(df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+                 .withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / float(1 << 52)))
+    placed = with_buckets(counts, "_u")
+    sizes = placed.groupBy(BUCKET).agg(F.sum("_n").alias("_b"))
+    over = W.partitionBy(F.lit(0))
+    carried = sizes.select(BUCKET, F.coalesce(F.sum("_b").over(over.orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+                           F.sum("_b").over(over).alias(f"{alias}_size"))
+    upto = W.partitionBy(BUCKET).orderBy("_u", *columns).rowsBetween(W.unboundedPreceding, -1)
+    inside = placed.withColumn("_inside", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(carried, BUCKET)
+    first = inside.withColumn("_first", F.col("_before") + F.col("_inside"))
+    pieces = first.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / EXPAND)))) \
+        .withColumns({"_from": F.col("_first") + F.col("_piece") * EXPAND,
+                      "_upto": F.col("_first") + F.least(F.col("_n"), (F.col("_piece") + 1) * EXPAND) - 1})
+    spread = pieces.repartition(num_shuffle_partitions(df.sparkSession), "_from")
+    return spread.select(*columns, F.explode(F.sequence(F.col("_from").cast("long"), F.col("_upto").cast("long"))).alias(alias), f"{alias}_size")
+
+
+@F.arrow_udf(T.LongType())
+def _permuted(index: pa.Array, size: pa.Array, seed: pa.Array) -> pa.Array:
+    i, n, k = (np.asarray(v).astype(np.uint64) for v in (index, size, seed))
+    half = np.zeros(len(i), np.uint64)
+    while ((np.uint64(1) << (half * np.uint64(2))) < n).any():
+        half += ((np.uint64(1) << (half * np.uint64(2))) < n).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    open_ = np.ones(len(i), bool)
+    while open_.any():
+        left, right = (i >> half)[open_], (i & mask)[open_]
+        for turn in range(6):
+            h = (right + k[open_] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((h >> np.uint64(32)) & mask[open_])
+        i[open_] = (left << half[open_]) | right
+        open_ = i >= n  # walk on until the number lies in the range again
+    return pa.array(i.astype(np.int64))
+
+
+def permuted(index: Column, size: Column, seed: Column) -> Column:
+    """Place of ``index`` in a random order of 0 .. size-1 that ``seed`` names: one-to-one, without a sort."""
+    return _permuted(index.cast("long"), size.cast("long"), seed.cast("long"))
 
 
 def row_index(df: DataFrame, strata: Sequence[str] = (), seed: int = 42, alias: str = "_index", key: Sequence[str] = ()) -> DataFrame:

@@ -32,12 +32,33 @@ def test_density_clusters_with_large_ids_stay_apart(spark):
     assert {labels[big + i] for i in range(0, 40, 2)} == {0} and {labels[big + i] for i in range(1, 40, 2)} == {1}
 
 
-def test_row_index_spreads_repeated_rows(spark):
-    rows = scale.with_row_id(spark.range(4000).select((F.col("id") % 2).alias("v")))
-    numbered = scale.row_index(rows, key=["_row"])
-    assert sorted(r["_index"] for r in numbered.collect()) == list(range(4000))
-    firsts = [r["v"] for r in numbered.where("_index < 1000").collect()]
-    assert 350 < sum(firsts) < 650
+def test_numbers_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(scale, "EXPAND", 300)
+    rows = spark.range(4000).select((F.col("id") % 2).alias("v"), F.when(F.col("id") < 10, F.col("id")).alias("w"))
+    found = scale.numbered(rows).collect()
+    assert sorted(r["_index"] for r in found) == list(range(4000)) and {r["_index_size"] for r in found} == {4000}
+    assert sorted((r["v"], r["w"] is None, r["w"] or 0) for r in found) == sorted((i % 2, i >= 10, i if i < 10 else 0) for i in range(4000))
+    assert scale.numbered(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
+def test_random_orders_are_one_to_one(spark, n):
+    at = lambda seed: [r[0] for r in spark.range(n).select(scale.permuted(F.col("id"), F.lit(n), F.lit(seed))).collect()]
+    first = at(1)
+    assert sorted(first) == list(range(n)) and (n < 10 or (first != at(2) and first != sorted(first)))
+    if n == 4097:  # halves mix: about half of the lower numbers land in the upper half
+        assert 900 < sum(v >= n // 2 for v in first[:n // 2]) < 1150
+
+
+def test_deals_do_not_depend_on_the_layout(spark):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("c"), (F.hash("id") % 2 == 0).cast("int").alias("treated"), (F.hash("id") % 3 == 0).cast("int").alias("outcome"))
+    for refute in (causal.refute_placebo, causal.refute_random_cause):
+        found = [refute(rows.repartition(n), ["c"]).first()["ate"] for n in (1, 4, 64, 4)]
+        assert found[0] == pytest.approx(found[1], abs=1e-12) and found[1] == pytest.approx(found[2], abs=1e-12) and found[1] == found[3]
+    df = spark.range(500).select((F.col("id") % 50).cast("double").alias("a"), (F.hash("id") % 5).cast("double").alias("b"), (F.col("id") % 50 > 20).cast("int").alias("label"))
+    model = classify.fit_late(df.withColumn("is_train", F.lit(1)), ["a", "b"], 10, 4)
+    drops = [{tuple(r) for r in classify.permutation_importance(model, df.repartition(n), ["a", "b"], "classification", 3).collect()} for n in (1, 9)]
+    assert drops[0] == drops[1]
 
 
 @pytest.mark.parametrize("models", [{}, {"r1": 1.0}])
