@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
@@ -88,14 +89,47 @@ def attach_labels(df: DataFrame, model: Centres, features: Sequence[str], alias:
     return df.withColumn(alias, F.coalesce(model.label(x), F.lit(missing)))
 
 
-def label_all(df: DataFrame, scaled: DataFrame, model, names: Sequence[str], candidates: Sequence[str] = CLUSTER_FEATURES,
-              alias: str = "kmeans_cluster", missing: int = 0) -> DataFrame:
+@dataclass
+class Labeller:
+    """All that a cluster label needs: features, their means and deviations among the rows fitted on, centres."""
+
+    features: list[str]
+    mean: np.ndarray
+    deviation: np.ndarray
+    model: Centres
+
+    @staticmethod
+    def of(df: DataFrame, model: Centres, candidates: Sequence[str] = CLUSTER_FEATURES) -> Labeller:
+        """For a model fitted on ``cluster_features`` of ``df``."""
+        known = present(df, candidates)
+        m = df.dropna(subset=known).agg(*[e for i, c in enumerate(known) for e in (F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"))]).first()
+        return Labeller(known, np.array([m[f"m{i}"] or 0.0 for i in range(len(known))]), np.array([m[f"s{i}"] or 1.0 for i in range(len(known))]), model)
+
+    def label(self, df: DataFrame, alias: str = "kmeans_cluster", missing: int = 0) -> DataFrame:
+        """Every row with its label; incomplete rows, and all rows where a feature's column is absent, get ``missing``."""
+        if not set(self.features) <= set(df.columns):
+            return df.withColumn(alias, F.lit(missing))
+        x = [F.col(c).cast("double") for c in self.features]
+        whole = F.lit(True)
+        for c in x:
+            whole = whole & c.isNotNull() & ~F.isnan(c)
+        return df.withColumn(alias, F.coalesce(self.model.label(F.when(whole, F.array(*x)), self.mean, self.deviation), F.lit(missing)))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        rows = [(i, c, float(m), float(d), [float(v) for v in v_]) for i, (c, m, d, v_) in enumerate(zip(self.features, self.mean, self.deviation, self.model.centres.T))]
+        return spark.createDataFrame(rows, "place int, feature string, mean double, deviation double, centres array<double>")
+
+    @staticmethod
+    def read(table: DataFrame) -> Labeller:
+        rows = table.orderBy("place").collect()  # one row per feature
+        centres = np.array([r["centres"] for r in rows]).T
+        return Labeller([r["feature"] for r in rows], np.array([r["mean"] for r in rows]), np.array([r["deviation"] for r in rows]),
+                        Centres(centres, float("nan"), np.zeros(len(centres))))
+
+
+def label_all(df: DataFrame, model: Centres, candidates: Sequence[str] = CLUSTER_FEATURES, alias: str = "kmeans_cluster", missing: int = 0) -> DataFrame:
     """``df`` with a cluster label on every row; rows that ``cluster_features`` left out as incomplete get ``missing``."""
-    done = attach_labels(scaled, model, names, alias, missing).drop(*names)
-    whole = F.lit(True)
-    for c in present(df, candidates):
-        whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    return done.unionByName(df.where(~whole).withColumn(alias, F.lit(missing)))
+    return Labeller.of(df, model, candidates).label(df, alias, missing)
 
 
 def silhouette(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

@@ -35,8 +35,8 @@ class Centres:
     inertia: float
     sizes: np.ndarray
 
-    def label(self, x: Column) -> Column:
-        """Number of the nearest centre to the array ``x``; equal distances go to the smaller number, null to null."""
+    def label(self, x: Column, mean: np.ndarray | float = 0.0, deviation: np.ndarray | float = 1.0) -> Column:
+        """Number of the nearest centre to the array ``x``, scaled first; equal distances go to the smaller number, null to null."""
         centres = self.centres
 
         @F.arrow_udf(T.IntegerType())
@@ -44,7 +44,7 @@ class Centres:
             known = x.drop_null()
             out = np.full(len(x), -1)
             if len(known):
-                out[np.asarray(x.is_valid())] = _squares(_matrix(known), centres).argmin(axis=1)
+                out[np.asarray(x.is_valid())] = _squares((_matrix(known) - mean) / deviation, centres).argmin(axis=1)
             return pa.array(out, pa.int32(), mask=np.asarray(x.is_null()))
 
         return nearest(x)
@@ -71,7 +71,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 def _uniform(x: np.ndarray, seed: int) -> np.ndarray:
     """A number in (0, 1) per row from its values: the same wherever the row lies."""
-    h = np.full(len(x), np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * seed + 1), np.uint64)
+    h = np.full(len(x), (0x9E3779B97F4A7C15 * (2 * seed + 1)) % (1 << 64), np.uint64)
     for c in np.ascontiguousarray(x.T + 0.0).view(np.uint64):
         h ^= c
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):

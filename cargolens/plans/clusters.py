@@ -7,24 +7,12 @@ from pyspark.sql import functions as F
 from cargolens.functions import columns as X
 from cargolens.operators import cluster, density, panel
 from cargolens.plans.inputs import KEYS, items
-from cargolens.plans.models import once, table
+from cargolens.plans.models import best_centres, labelled, once, scaled, sweep, table
 from cargolens.plans.registry import query
 from cargolens.plans.sql import FEAT, OI, R
 from cargolens.session import cut
 
 
-def scaled(spark, sf):
-    """Scaled cluster features with a row number, written once."""
-    def build():
-        from cargolens.operators.scale import row_index
-
-        out, names = cluster.cluster_features(table(spark, sf))
-        out = row_index(out.select(*KEYS, "macro_region", *cluster.CLUSTER_FEATURES, *names), alias="id")
-        return cut(out.drop("id_size")), names
-
-    return once(spark, sf, "cluster_rows", build)
-
-
 Z = ", ".join(f"{R(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()', 5)} AS {c}_z" for c in cluster.CLUSTER_FEATURES)
 
 
@@ -34,29 +22,24 @@ def q_features(spark, sf):
     return rows.select(*KEYS, *[X.rnd(c, 5).alias(c) for c in names])
 
 
-def sweep(spark, sf):
-    rows, names = scaled(spark, sf)
-    return once(spark, sf, "kmeans", lambda: cluster.kmeans_sweep(cluster.with_vector(rows, names)))
-
-
 @query("kmeans_sweep")
 def q_sweep(spark, sf):
     return sweep(spark, sf)[0]
 
 
 def best_labels(spark, sf):
+    """The complete rows with their scaled features and the labels of the best sweep."""
     def build():
-        found, models = sweep(spark, sf)
         rows, names = scaled(spark, sf)
-        best = found.where("is_best = 1").first()["k"]
-        return cut(cluster.attach_labels(rows, models[best], names))
+        return cut(cluster.attach_labels(rows, best_centres(spark, sf), names))
 
     return once(spark, sf, "kmeans_labels", build)
 
 
 @query("attach_labels")
 def q_attach(spark, sf):
-    return best_labels(spark, sf).select(*KEYS, "kmeans_cluster")
+    """A label on every order line of the feature table, incomplete ones included."""
+    return labelled(spark, sf).select(*KEYS, "kmeans_cluster")
 
 
 @query("kmeans_silhouette")

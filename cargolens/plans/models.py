@@ -10,7 +10,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cargolens.operators import classify, features, forecast, panel, risk, scoring, verify
+from cargolens.operators import classify, cluster, features, forecast, panel, risk, scoring, verify
+from cargolens.operators.scale import row_index
 from cargolens.operators.trees import Plan
 from cargolens.plans.inputs import FEATURE_INPUTS, KEYS, feature_table, items
 from cargolens.plans.registry import query
@@ -41,13 +42,45 @@ def table(spark, sf):
     return once(spark, sf, "features", lambda: cut(feature_table(spark, sf)))
 
 
+# --- Clusters ----------------------------------------------------------------------------
+
+
+def scaled(spark, sf):
+    """Scaled cluster features with a row number, written once."""
+    def build():
+        out, names = cluster.cluster_features(table(spark, sf))
+        out = row_index(out.select(*KEYS, "macro_region", *cluster.CLUSTER_FEATURES, *names), alias="id")
+        return cut(out.drop("id_size")), names
+
+    return once(spark, sf, "cluster_rows", build)
+
+
+def sweep(spark, sf):
+    rows, names = scaled(spark, sf)
+    return once(spark, sf, "kmeans", lambda: cluster.kmeans_sweep(cluster.with_vector(rows, names)))
+
+
+def best_centres(spark, sf):
+    found, models = sweep(spark, sf)
+    return models[found.where("is_best = 1").first()["k"]]
+
+
+def labeller(spark, sf):
+    return once(spark, sf, "labeller", lambda: cluster.Labeller.of(table(spark, sf), best_centres(spark, sf)))
+
+
+def labelled(spark, sf):
+    """The feature table with every order line's cluster."""
+    return once(spark, sf, "labelled", lambda: cut(labeller(spark, sf).label(table(spark, sf))))
+
+
 # --- Forecasting -------------------------------------------------------------------------
 
 
 def panel_rows(spark, sf):
     def build():
-        ft = table(spark, sf)
-        p = panel.build_panel(ft, features.regional_stats(ft))
+        ft = labelled(spark, sf)
+        p = panel.build_panel(ft, features.regional_stats(ft), panel.dominant_cluster(ft))
         return cut(panel.model_rows(p))
 
     return once(spark, sf, "panel", build)
@@ -167,12 +200,12 @@ def q_perm_forecast(spark, sf):
 
 
 def late_levels(spark, sf):
-    return once(spark, sf, "late_levels", lambda: classify.late_inputs(table(spark, sf))[2])
+    return once(spark, sf, "late_levels", lambda: classify.late_inputs(labelled(spark, sf))[2])
 
 
 def late_rows(spark, sf):
     def build():
-        coded, names, _ = classify.late_inputs(table(spark, sf))
+        coded, names, _ = classify.late_inputs(labelled(spark, sf))
         return cut(classify.stratified_split(coded.select(*KEYS, "macro_region", *names, "label"))), names
 
     return once(spark, sf, "late_rows", build)
@@ -317,7 +350,7 @@ def q_cancel_score(spark, sf):
 
 def composite(spark, sf):
     """The three fitted models scored in one chain over one table: no join back by position or key."""
-    df = table(spark, sf)
+    df = labelled(spark, sf)
     coded, _, _ = classify.late_inputs(df, late_levels(spark, sf))  # with levels, rows without a label stay
     out = classify.predict_probability(late_classifier(spark, sf), coded, "p_late", flag=None)
     coded, _, _ = classify.fraud_inputs(out)
@@ -345,7 +378,7 @@ def order_bundle(spark, sf):
     def build():
         path = bundle_folder(spark)
         models = {"late": late_classifier(spark, sf), "fraud": fraud_model(spark, sf), "cancel": cancel_model(spark, sf)}
-        save_bundle(path, models, scoring.encoders(table(spark, sf), late_levels(spark, sf)))
+        save_bundle(path, models, scoring.encoders(table(spark, sf), late_levels(spark, sf), labeller(spark, sf)))
         return path
 
     return once(spark, sf, "order_bundle", build)
@@ -367,11 +400,10 @@ def q_save(spark, sf):
 
 @query("load_models", f"WITH {OI} SELECT order_region, count(*) AS orders, 0.0::DOUBLE AS largest_difference FROM oi GROUP BY 1")
 def q_load(spark, sf):
-    """A stored bundle read back scores all raw orders, without their labels, like the models of this session (difference 0)."""
+    """A stored bundle read back scores all raw orders like the models of this session (difference 0)."""
     bundle = load_bundle(spark, order_bundle(spark, sf))
     names = ("p_late", "p_fraud", "p_cancel", "composite_risk_score")
-    raw = items(spark, sf, *FEATURE_INPUTS).drop("late_risk")
-    stored = scoring.score_orders(raw, bundle.models, bundle.tables).select(*KEYS, "order_region", *names)
+    stored = scoring.score_orders(items(spark, sf, *FEATURE_INPUTS), bundle.models, bundle.tables).select(*KEYS, "order_region", *names)
     own = composite(spark, sf).select(*KEYS, *[F.col(c).alias(f"own_{c}") for c in names])
     both = stored.join(own, list(KEYS), "left")
     moved = F.greatest(*[F.coalesce(F.abs(F.col(c) - F.col(f"own_{c}")), F.lit(1.0)) for c in names])

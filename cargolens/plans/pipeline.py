@@ -48,7 +48,7 @@ def run(orders: DataFrame, sizes: Sizes | None = None, sample: int | None = None
     scaled = cut(scaled)
     found, models = cluster.kmeans_sweep(cluster.with_vector(scaled, names), sizes.clusters)
     best = found.where("is_best = 1").first()["k"]
-    table = cut(cluster.label_all(table, scaled, models[best], names).withColumn("cluster_label", F.col("kmeans_cluster")))
+    table = cut(cluster.label_all(table, models[best]).withColumn("cluster_label", F.col("kmeans_cluster")))
     out["kmeans"] = found
     phase("regional_stats", lambda: features.regional_stats(table))
     phase("anova", lambda: stats.anova_oneway(table))

@@ -87,7 +87,7 @@ def test_incomplete_rows_keep_a_label(spark):
     df = spark.createDataFrame([(i, float(i), float(i % 5)) for i in range(30)] + [(100, None, 1.0), (101, 2.0, float("nan"))], "id int, sales double, quantity double")
     scaled, names = cluster.cluster_features(df)
     _, models = cluster.kmeans_sweep(cluster.with_vector(scaled, names), [2])
-    out = {r["id"]: r["kmeans_cluster"] for r in cluster.label_all(df, scaled, models[2], names).collect()}
+    out = {r["id"]: r["kmeans_cluster"] for r in cluster.label_all(df, models[2]).collect()}
     assert len(out) == 32 and out[100] == out[101] == 0
 
 
