@@ -3,8 +3,11 @@
 Every text node has the path of tags from the root. Over all nodes of a path, the text length per node and
 the punctuation per node are taken; both series are smoothed in page order and multiplied, and nodes above the
 threshold (the series' standard deviation) are content. The article is the smallest container around the
-content; of it everything is returned, save subtrees that are marked as something else. A mark is only a hint: the
-ratios are first taken over all text nodes, and a marked subtree that holds most of the content stays.
+content. Of it, blocks that are mostly links go unless their paths are content, and so do subtrees that are marked as
+something else. A mark is only a hint: the ratios are first taken over all text nodes, and a marked subtree that holds most of the
+content stays. In an ``article`` or ``main`` element links stay, as the page itself says what belongs to it.
+
+Time and memory grow with the page alone, however deep its elements are nested or left open.
 """
 
 from __future__ import annotations
@@ -47,28 +50,23 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 #: Words that make a class one of a layout ("with-sidebar"), or a header the article's own ("entry-header").
 LAYOUT = frozenset("with without no has have hide show is not".split())
 OWN_HEADER = frozenset("entry post article story content hentry".split())
-#: Part of the content that a marked subtree has to hold to stay.
-MOST = 0.5
+#: Part of the content that a marked subtree has to hold to stay; part of a block's text in links above which it is a menu's.
+MOST, LINKS = 0.5, 0.5
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class _Node:
-    __slots__ = ("name", "up", "path", "marked", "out", "order", "core", "title", "article")
+    __slots__ = ("name", "up", "path", "marked", "out", "order", "core", "title", "article", "link", "kept")
 
-    def __init__(self, name: str, up: _Node | None, path: str, marked: bool, order: int):
+    def __init__(self, name: str, up: _Node | None, path: int, marked: bool, order: int):
         self.name, self.up, self.path, self.marked, self.order = name, up, path, marked, order
         self.out, self.core, self.title, self.article = False, 0.0, False, False
+        self.link, self.kept = name == "a" or up is not None and up.link, False
 
     def stays(self, core: float) -> bool:
         """Whether a marked element stays that holds more of the content than ``core``; a footer or the like only around an article."""
         return self.core > core and (self.article or self.name not in OUTSIDE or self.name in WRAPPERS)
 
-    def within(self, other: _Node) -> bool:
-        x = self
-        while x is not None and x is not other:
-            x = x.up
-        return x is other
-
 
 def _names_other(value: str) -> bool:
     """Whether one of the names in a class or id says that the element is no part of an article."""
@@ -98,17 +96,60 @@ def _is_marked(name: str, rest: str, in_article: bool) -> bool:
     return False
 
 
+#: Elements that an open element looks for when it may end others, and those at which it stops looking.
+_BORDERS = frozenset("table ul ol dl div article section body".split())
+_LOOKED_AT = _BORDERS | {"p"} | frozenset(x for v in CLOSES.values() for x in v)
+
+
+class _Stack:
+    """Open elements; ``open`` counts them by name, ``seen`` holds the places of those that others look for."""
+
+    def __init__(self, root: _Node):
+        self.nodes, self.open, self.seen = [root], {}, []
+
+    def push(self, node: _Node) -> None:
+        if node.name in _LOOKED_AT:
+            self.seen.append(len(self.nodes))
+        self.nodes.append(node)
+        self.open[node.name] = self.open.get(node.name, 0) + 1
+
+    def cut(self, place: int) -> None:
+        for node in self.nodes[place:]:
+            self.open[node.name] -= 1
+        del self.nodes[place:]
+        while self.seen and self.seen[-1] >= place:
+            self.seen.pop()
+
+    def end(self, name: str) -> None:
+        """The innermost open element of that name ends, with all inside it."""
+        if self.open.get(name, 0):
+            place = len(self.nodes) - 1
+            while self.nodes[place].name != name:
+                place -= 1
+            self.cut(place)
+
+    def end_before(self, ends: set[str]) -> None:
+        """An element begins that can't be inside the nearest of ``ends``."""
+        for place in reversed(self.seen):
+            if self.nodes[place].name in ends:
+                self.cut(place)
+                return
+            if self.nodes[place].name in _BORDERS:
+                return
+
+
 def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, int, str]]]:
     """Elements, and text nodes as (parent, block number, text). Open elements end where the next one can't be inside."""
-    root = _Node("", None, "", False, 0)
-    stack, nodes, texts, block = [root], [root], [], 0
+    root = _Node("", None, 0, False, 0)
+    stack, nodes, texts, block = _Stack(root), [root], [], 0
+    paths: dict[tuple[int, str], int] = {}
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
         text = m["text"]
         if text is not None:
-            texts.append((stack[-1], block, text))
+            texts.append((stack.nodes[-1], block, text))
             continue
         name = m["name"] or m["name2"]
         if name is None:
@@ -118,31 +159,22 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, int, str]]]:
         if name in BLOCKS:
             block += 1
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            stack.end(name)
             continue
         if m["name"] is None and at == end:
             break  # a tag that the page's end cuts off
         rest = m["rest"] or m["rest2"] or ""
         if name in BLOCKS and name != "br":
-            ends = {"p"} | CLOSES.get(name, set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in ends:
-                    del stack[i:]
-                    break
-                if stack[i].name in ("table", "ul", "ol", "dl", "div", "article", "section", "body") and stack[i].name not in ends:
-                    break
+            stack.end_before({"p"} | CLOSES.get(name, set()))
         if name in RAW:
             found = re.compile(f"</{name}\\b[^>]*>?", re.I).search(page, at)
             at = found.end() if found else end
             continue
         if name in VOID:
             continue
-        up = stack[-1]
-        inside = any(x.name in ("article", "main") for x in stack) if name == "header" else False
-        node = _Node(name, up, f"{up.path}/{name}", _is_marked(name, rest, inside), len(nodes))
+        up = stack.nodes[-1]
+        inside = bool(stack.open.get("article") or stack.open.get("main")) if name == "header" else False
+        node = _Node(name, up, paths.setdefault((up.path, name), len(paths) + 1), _is_marked(name, rest, inside), len(nodes))
         nodes.append(node)
         if name in ("article", "main"):
             x = up
@@ -150,15 +182,15 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, int, str]]]:
                 x.article = True
                 x = x.up
         if not rest.endswith("/") or name in BLOCKS:
-            stack.append(node)
+            stack.push(node)
     return nodes, texts
 
 
-def _core(texts: list[tuple[_Node, int, str]]) -> np.ndarray:
-    """Smoothed product of the path ratios of every text node, 0 below the threshold."""
-    paths: dict[str, list[float]] = {}
+def _ratios(texts: list[tuple[_Node, int, str]]) -> tuple[np.ndarray, set[int]]:
+    """Smoothed product of the path ratios of every text node, 0 below the threshold; the paths that are above it in the mean."""
+    paths: dict[int, list[float]] = {}
     for node, _, text in texts:
-        own = paths.setdefault(node.path, [0, 0, 0])
+        own = paths.setdefault(node.path, [0, 0, 0, 0])
         own[0] += 1
         own[1] += len(text.strip())
         own[2] += len(_PUNCTUATION.findall(text))
@@ -168,18 +200,23 @@ def _core(texts: list[tuple[_Node, int, str]]) -> np.ndarray:
     kernel /= kernel.sum()
     smooth = lambda x: np.convolve(np.pad(x, 2, "edge"), kernel, "valid")
     fused = smooth(length) * (smooth(points) + 0.1)
-    return np.where(fused >= fused.std(), fused, 0)
+    for (node, _, _), value in zip(texts, fused):
+        paths[node.path][3] += value
+    least = fused.std()
+    return np.where(fused >= least, fused, 0), {k for k, own in paths.items() if own[3] / own[0] >= least}
 
 
-def _weigh(nodes: list[_Node], said: list[tuple[_Node, int, str]]) -> None:
-    """Length of the content in every element."""
+def _weigh(nodes: list[_Node], said: list[tuple[_Node, int, str]]) -> set[int]:
+    """Length of the content in every element; returns the paths of the content."""
     for node in nodes:
         node.core = 0.0
-    for (node, _, text), value in zip(said, _core(said)):
+    values, paths = _ratios(said) if said else ((), set())
+    for (node, _, text), value in zip(said, values):
         if value > 0:
-            while node is not None:
-                node.core += len(text)
-                node = node.up
+            node.core += len(text)
+    for node in reversed(nodes[1:]):  # children come after their parents
+        node.up.core += node.core
+    return paths
 
 
 def extract(page: str) -> str:
@@ -187,7 +224,7 @@ def extract(page: str) -> str:
     said = [x for x in texts if x[2].strip()]
     if not said:
         return ""
-    _weigh(nodes, said)
+    paths = _weigh(nodes, said)
     if any(node.marked for node in nodes):
         whole = nodes[0].core
         for node in nodes[1:]:  # parents first
@@ -197,7 +234,7 @@ def extract(page: str) -> str:
                 node.out = node.up.out or node.marked and not node.stays(0)
         texts = [x for x in texts if not x[0].out]
         said = [x for x in said if not x[0].out]
-        _weigh(nodes, said)
+        paths = _weigh(nodes, said)
     for node in nodes:
         if node.name == "h1" and not node.out:
             while node is not None and not node.title:
@@ -207,18 +244,29 @@ def extract(page: str) -> str:
     children: dict[int, list[_Node]] = {}
     for node in nodes[1:]:
         children.setdefault(node.up.order, []).append(node)
-    here = nodes[0]
+    here, whole = nodes[0], nodes[0].core
     while here.core:
         best = max(children.get(here.order, []), key=lambda x: x.core, default=None)
-        if best is None or best.core < 0.9 * here.core or best.name not in CONTAINERS or here.name in ("article", "main"):
+        if best is None or best.core < 0.9 * whole or best.name not in CONTAINERS or here.name in ("article", "main"):
             break
         if here.title and not best.title:
             break  # the headline stands beside it
         here = best
+    here.kept = True
+    for node in nodes[here.order + 1:]:
+        node.kept = node.up.kept
     blocks: dict[int, list[str]] = {}
+    facts: dict[int, list] = {}
     for node, block, text in texts:
-        if here.up is None or node.within(here):
+        if node.kept:
             blocks.setdefault(block, []).append(html.unescape(text) if "&" in text else text)
+            own = facts.setdefault(block, [0, 0, False])
+            size = len(text.strip())
+            own[0] += size
+            own[1] += size if node.link else 0
+            own[2] = own[2] or size > 0 and node.path in paths
+    if here.name not in ("article", "main"):
+        blocks = {k: v for k, v in blocks.items() if facts[k][2] or facts[k][1] <= LINKS * facts[k][0]}
     joined = (_SPACE.sub(" ", "".join(parts)).strip() for _, parts in sorted(blocks.items()))
     return " ".join(x for x in joined if x)
 

@@ -4,6 +4,10 @@ A value that passes its format's own check (Luhn, mod 97, octets, calendar) is r
 format's domain, permuted by a keyed Feistel network with cycle walking, and written back in the same
 format. Equal values get equal pseudonyms everywhere, so documents stay linked; different values never
 share one, because a permutation has no collisions.
+
+Formats: e-mail addresses, IPv4 addresses, card numbers (Luhn), phone numbers (international ones keep their calling code, however they are
+spaced), SSN, IBAN (mod 97), dates as 2020-01-31 and with day, month and year apart by ``.``, ``/`` or ``-``. Others, such as IPv6 addresses or
+dates as 2020/01/31, stay as they are.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ _NUMBERS = re.compile(
     r"|(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w|\.\d)"
     r"|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}(?P<three>[.-])\d{3}(?P=three)\d{4}(?!\w|[.-]\w))")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d\d(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
+# Calling codes of two digits. Those that begin with 1 or 7 have one digit, all others three.
+_TWO_DIGIT_CODES = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _DIGIT = re.compile(r"[0-9]")
@@ -123,15 +130,19 @@ def _card(p: Permutation, value: str) -> str | None:
     return _fill(value, body + luhn_digit(body))
 
 
+def _country_digits(digits: str) -> int:
+    """Length of the calling code that an international number begins with; no code begins another."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _TWO_DIGIT_CODES else 3
+
+
 def _phone(p: Permutation, value: str) -> str | None:
     digits = "".join(c for c in value if c.isdigit())
     if not 8 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+\d{1,3}(?=\D)", value)  # a country code that stands apart is kept
-    keep = code.end() if code else 0
-    n = sum(c.isdigit() for c in value[keep:])
-    body = "".join(c for c in value[keep:] if c.isdigit())
-    return value[:keep] + _fill(value[keep:], str(p.of("phone", int(body), 10 ** n)).zfill(n))
+    kept = _country_digits(digits) if value[0] == "+" else 0  # the calling code stays, however the number is written
+    places = [i for i, c in enumerate(value) if c.isdigit()]
+    keep, body = places[kept], digits[kept:]
+    return value[:keep] + _fill(value[keep:], str(p.of("phone", int(body), 10 ** len(body))).zfill(len(body)))
 
 
 def _ssn(p: Permutation, value: str) -> str | None:

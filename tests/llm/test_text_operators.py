@@ -245,3 +245,28 @@ def test_main_text_keeps_what_only_sounds_marked():
 def test_main_text_shared_by_marked_parts():
     part = "<p>Some long text, with points.</p>"
     assert html_text.extract(f'<body><div class="promo">{part}</div><div class="banner">{part}</div>') == "Some long text, with points. Some long text, with points."
+
+
+def test_one_number_has_one_pseudonym_however_spaced():
+    p = pii.Permutation(b"k")
+    for group in (["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "+1.555.123.4567"], ["+49 30 1234567", "+49301234567"], ["+353 1 234 5678", "+35312345678"]):
+        out = {re.sub(r"[^\d+]", "", pii._phone(p, v)) for v in group}
+        assert len(out) == 1 and next(iter(out))[:2] == group[0][:2]
+    assert re.sub(r"\D", "", pii._phone(p, "(555) 123-4567")) == re.sub(r"\D", "", pii._phone(p, "+1 555 123 4567"))[1:]
+
+
+@pytest.mark.parametrize("item", ["<b>x", "<center>y", "<p><div><b>z", "<li>q", "</b><i>w", "<a href='#'>l"])
+def test_deep_and_unclosed_pages_take_linear_time(item):
+    import time
+
+    start = time.process_time()
+    text = html_text.extract("<html><body><p>" + item * 60_000)
+    assert time.process_time() - start < 30 and len(text) >= 50_000
+
+
+def test_unmarked_menus_inside_the_container_go():
+    links = "".join(f"<div><a href='/x{i}'>Item {i}</a></div>" for i in range(10))
+    paragraphs = "".join(f"<p>This is, in truth, sentence number {i}, and it says <a href='#'>a good deal</a>, as one would hope; see.</p>" for i in range(8))
+    want = " ".join(f"This is, in truth, sentence number {i}, and it says a good deal, as one would hope; see." for i in range(8))
+    assert html_text.extract(f"<html><body><div>{links}{paragraphs}{links}</div></body></html>") == want
+    assert html_text.extract(f"<html><body><div>{paragraphs}</div></body></html>") == want
