@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargolens.llm import common
-from cargolens.llm.common import Forest, mix, need, whole_groups
+from cargolens.llm.common import Forest, drawn_together, mix, need, whole_groups
 from cargolens.operators.density import connected_components
 from cargolens.session import cut, num_shuffle_partitions
 
@@ -33,7 +33,7 @@ TOKENS = 64
 ENOUGH = 40
 #: Nodes compared by brute force, with the comparisons a class may have there in the mean; what is left then is split
 #: again. Classes of a larger node that are far from its first and still compared with all of it.
-SMALL, COMPARED, FEW = 1 << 17, 512, 1024
+SMALL, COMPARED, FEW = 1 << 17, 8192, 1024
 #: Coordinates sampled per node, in the mean: above 1 / 0.8, so that a pair at the threshold lives on.
 BRANCH = 1.43
 #: Chance that a run brings such a pair together, taken low: the survival of that branching walk.
@@ -61,13 +61,14 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size, cls, sig = [], [], []
+        size, cls, sig, sketch = [], [], [], []
         for n, row, h in _sets(batch.column("text")):
             count = np.bincount(row, minlength=n)
             size.append(count)
             if not len(h):
                 cls += [None] * n
                 sig += [None] * n
+                sketch += [None] * n
                 continue
             first = np.cumsum(count) - count
             some = np.flatnonzero(count)
@@ -80,9 +81,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = {int(r): k for k, r in enumerate(some)}
             cls += [names[own[r]].tobytes() if r in own else None for r in range(n)]
             sig += [tokens[own[r]].tobytes() if r in own else None for r in range(n)]
+            low = tokens.astype(np.uint8)  # a byte of every token: enough to compare classes, a quarter of the size
+            sketch += [low[own[r]].tobytes() if r in own else None for r in range(n)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("key"), pa.array(np.concatenate(size) if size else np.zeros(0), pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-            names=["row", "key", "size", "cls", "sig"])
+            [batch.column("row"), batch.column("key"), pa.array(np.concatenate(size) if size else np.zeros(0), pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary()),
+             pa.array(sketch, pa.binary())], names=["row", "key", "size", "cls", "sig", "sketch"])
 
 
 def _walk(runs: range):
@@ -119,13 +122,6 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).sum(axis=-1) >= ENOUGH
 
 
-@F.arrow_udf(T.BinaryType())
-def _sketch(sig: pa.Array) -> pa.Array:
-    """A byte of every token: enough to compare classes, a quarter of the size."""
-    low = np.frombuffer(b"".join(sig.to_pylist()), np.uint32).astype(np.uint8).reshape(-1, TOKENS)
-    return pa.array([x.tobytes() for x in low], pa.binary())
-
-
 def _reached(sig: np.ndarray, at: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
     """A spanning forest of the similar pairs among the rows ``at``: every class is compared with those not reached yet.
 
@@ -347,7 +343,7 @@ def grouped(classes: DataFrame, recall: float) -> DataFrame:
         done, more = done + more, max(1, more // 2)
         edges = found if edges is None else edges.unionByName(found)
         met = edges.select("a").union(edges.select("b")).distinct().select(F.col("a").alias("node"))
-        groups = cut(connected_components(met, edges))
+        groups = cut(connected_components(met, drawn_together(edges)))
         reached = audited(classes, groups)
         if reached >= recall:
             return groups
@@ -369,10 +365,10 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: float
     common.lean_batches(spark)
     rows = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    signed = cut(rows.mapInArrow(_signed, f"row bigint, key {kind}, size bigint, cls binary, sig binary"))
+    signed = cut(rows.mapInArrow(_signed, f"row bigint, key {kind}, size bigint, cls binary, sig binary, sketch binary"))
     classes = cut(signed.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("row").alias("row"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-        .withColumn("sketch", _sketch("sig")))
+        F.min("row").alias("row"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("sig").alias("sig"),
+        F.first("sketch").alias("sketch")))
     groups = grouped(classes, recall)
     sized = groups.join(classes.select("cls", "row", "members", "size"), F.col("node") == F.col("cls")).select("row", "cls", "members", "size", F.col("root").alias("group"))
     sizes = sized.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("n"))
@@ -387,7 +383,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: float
                  .repartition(num_shuffle_partitions(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j")
                  .mapInArrow(_linked, "a binary, b binary, links bigint"))
     links = linked.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
-    roots = connected_components(classes.select(F.col("cls").alias("node")), linked.where("b IS NOT NULL").select("a", "b"))
+    roots = connected_components(classes.select(F.col("cls").alias("node")), drawn_together(linked.where("b IS NOT NULL"), meet=False))
     result = classes.select("cls", "members").join(roots, F.col("cls") == F.col("node")).join(links, "cls", "left") \
         .select("cls", "root", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     placed = cut(signed.select("row", "key", "size", "cls").join(result, "cls", "left"))

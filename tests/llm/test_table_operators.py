@@ -101,6 +101,22 @@ def test_runs_go_on_until_the_audit_is_met(spark, frame, monkeypatch):
         jaccard_join.join(rows)
 
 
+@pytest.mark.parametrize("held", [1 << 20, 7])
+def test_links_drawn_together_keep_their_components(frame, monkeypatch, held):
+    from cargolens.llm import common
+    from cargolens.operators.density import connected_components
+
+    draw = np.random.default_rng(2)
+    links = [(b"%03d" % a, b"%03d" % b) for a, b in draw.integers(0, 120, (90, 2))]
+    monkeypatch.setattr(common, "LINKS_HELD", held)
+    batches = pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
+    drawn = [(r["a"], r["b"]) for out in common._drawn_together(batches.slice(i, 10) for i in range(0, 90, 10)) for r in out.to_pylist()]
+    assert all(a < b for a, b in drawn) and len(drawn) <= len(links)
+    nodes = frame([(x,) for x in sorted({x for p in links for x in p})], "node binary")
+    roots = [{bytes(r["node"]): bytes(r["root"]) for r in connected_components(nodes, frame(x, "a binary, b binary")).collect()} for x in (links, drawn)]
+    assert roots[0] == roots[1]
+
+
 def test_far_classes_meet_the_group_of_the_lead(spark, monkeypatch):
     """One node of 20 classes near its first and 12 far ones, of which the last is also near one class of the first's group."""
     def sig(shared, tail):
@@ -117,7 +133,8 @@ def test_far_classes_meet_the_group_of_the_lead(spark, monkeypatch):
     near = [(b"a%02d" % i, sig(64, 0)) for i in range(19)] + [(b"z99", sig(44, 9))]  # the last one holds 20 tokens of the far ones
     far = [(b"b%02d" % i, sig(10, 9)) for i in range(11)] + [(b"b99", sig(30, 9))]
     assert sum(x == y for x, y in zip(np.frombuffer(sig(44, 9), np.uint32), np.frombuffer(sig(30, 9), np.uint32))) == 50
-    edges = [(bytes(r.a), bytes(r.b)) for r in jaccard_join.candidates(spark.createDataFrame(far + near, "cls binary, sig binary").coalesce(1).withColumn("sketch", jaccard_join._sketch("sig")), range(1)).collect()]
+    edges = [(bytes(r.a), bytes(r.b)) for r in jaccard_join.candidates(spark.createDataFrame(
+        [(c, s, np.frombuffer(s, np.uint32).astype(np.uint8).tobytes()) for c, s in far + near], "cls binary, sig binary, sketch binary").coalesce(1), range(1)).collect()]
     group = {k: k for k, _ in near + far}
     for _ in range(len(group)):
         for a, b in edges:
