@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,26 +68,83 @@ CORRELATION_FEATURES = [
 ]
 
 
+#: Partial results of the tasks are merged in this many lanes before the last merge.
+LANES = 64
+
+
+def _co_moments(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of every pair (a, b) over the rows where both are known: rows, mean of a, squares of a around it, products."""
+    known = ~np.isnan(x)
+    m = known.astype(float)
+    some = m.sum(axis=0)
+    shift = np.where(known, x, 0).sum(axis=0) / np.maximum(some, 1)
+    v = np.where(known, x - shift, 0)
+    n = m.T @ m
+    total = v.T @ m
+    whole = np.maximum(n, 1)
+    return n, total / whole + shift[:, None], (v * v).T @ m - total * total / whole, v.T @ v - total * total.T / whole
+
+
+def _merged(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Co-moments of the rows of both; means move by their distance, so nothing large is subtracted."""
+    n = one[0] + two[0]
+    d = np.where((one[0] > 0) & (two[0] > 0), two[1] - one[1], 0)
+    weight = one[0] * two[0] / np.maximum(n, 1)
+    mean = np.where(one[0] > 0, one[1], two[1]) + d * two[0] / np.maximum(n, 1)
+    return n, mean, one[2] + two[2] + d * d * weight, one[3] + two[3] + d * d.T * weight
+
+
+def _packed(lane: int, facts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), *[pa.array([list(f.ravel())], pa.list_(pa.float64())) for f in facts]],
+                                      names=["lane", "n", "mean", "square", "product"])
+
+
+def _merge_all(width: int):
+    def merge(table: pa.Table) -> pa.Table:
+        total = None
+        for row in table.select(["n", "mean", "square", "product"]).to_pylist():
+            facts = tuple(np.array(row[c]).reshape(width, width) for c in ("n", "mean", "square", "product"))
+            total = facts if total is None else _merged(total, facts)
+        return pa.Table.from_batches([_packed(table["lane"][0].as_py(), total)])
+
+    return merge
+
+
+def _pair_facts(width: int):
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if len(batch):
+                x = np.stack([np.asarray(c.fill_null(float("nan")), dtype=float) for c in batch.columns], axis=1)
+                facts = _co_moments(x)
+                total = facts if total is None else _merged(total, facts)
+        if total is not None:
+            yield _packed(TaskContext.get().partitionId() % LANES, total)
+
+    return collect
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str] = CORRELATION_FEATURES) -> DataFrame:
-    """Pearson matrix in long form, each pair over the rows where both are known.
+    """Pearson matrix in long form, each pair over the rows where both are known; null where one does not vary.
 
-    Rows are turned into (pair, x, y) records that are combined inside each task, so one scan and
-    one small shuffle serve all pairs. Dozens of two-column aggregates side by side would outgrow
-    what the code generator can compile.
+    Matrix products give the counts, means and co-moments of all pairs of a batch at once. Tasks merge their batches
+    and send one record each, so a row costs no record and the shuffle does not depend on the rows. NaN counts as unknown.
     """
     features = [f for f in features if f in df.columns]
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    records = F.expr("array(" + ", ".join(
-        f"named_struct('pair', {i}, 'x', double(`{a}`), 'y', double(`{b}`))" for i, (a, b) in enumerate(pairs)) + ")")
-    found = df.select(F.inline(records)).groupBy("pair").agg(F.corr("x", "y").alias("r"))
-    name_a, name_b = (X.lookup("pair", {i: p[j] for i, p in enumerate(pairs)}) for j in (0, 1))
-    both = found.select("r", name_a.alias("a"), name_b.alias("b"))
-    cells = [F.struct(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), "r"),
-             F.struct(F.col("b").alias("feature_a"), F.col("a").alias("feature_b"), "r")]
-    diagonal = df.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature_a"), F.lit(f).alias("feature_b"), F.lit(1.0).alias("r")) for f in features
-    ])))
-    return both.select(F.inline(F.array(*cells))).unionByName(diagonal)
+    spark, width = df.sparkSession, len(features)
+    kind = "lane int, n array<double>, mean array<double>, square array<double>, product array<double>"
+    parts = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]).mapInArrow(_pair_facts(width), kind)
+    lanes = parts.groupBy("lane").applyInArrow(_merge_all(width), kind).withColumn("lane", F.lit(0))
+    whole = lanes.groupBy("lane").applyInArrow(_merge_all(width), kind)
+    cells = whole.select(F.posexplode(F.arrays_zip("square", "product")).alias("at", "c"), "square")
+    a, b = F.floor(F.col("at") / width).cast("int"), (F.col("at") % width).cast("int")
+    other = F.get("square", b * width + a)
+    names = F.array(*[F.lit(f) for f in features])
+    spread = F.col("c.square") * other
+    r = F.when(a == b, 1.0).when(spread > 0, F.col("c.product") / F.sqrt(spread))
+    found = cells.select(F.get(names, a).alias("feature_a"), F.get(names, b).alias("feature_b"), r.alias("r"))
+    every = spark.range(1).select(F.explode(names).alias("feature_a")).withColumn("feature_b", F.explode(names))
+    return every.join(found, ["feature_a", "feature_b"], "left").withColumn("r", F.when(F.col("feature_a") == F.col("feature_b"), 1.0).otherwise(F.col("r")))
 
 
 def crosstab(df: DataFrame, column: str, levels: Sequence[str], share: bool = False, k: int = 10) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
 from cargolens.operators.features import add_planar_distance
+from cargolens.session import cut, num_shuffle_partitions, sized
 
 # Fixed value: cost of handling an order that would not have been late.
 FALSE_ALARM_COST = 5.0
@@ -78,21 +81,102 @@ def mode_tradeoff(df: DataFrame, group: str = "market") -> DataFrame:
     ).withColumn("cost_proxy", X.lookup("shipping_mode", X.TRADEOFF_MODE_COST, 0.0))
 
 
-def pareto_front(options: DataFrame, group: str = "market", x: str = "cost_proxy", y: str = "late_rate") -> DataFrame:
-    """Mark the options no other option of the group beats (both minimised; equal options stay).
+#: Options of a block in the last comparison; rounds in which options meet others before it.
+FRONT_BLOCK, FRONT_ROUNDS = 4096, 2
 
-    Sorted by x, an option is dominated when an earlier x reaches its y or less, or the same x
-    reaches strictly less: two running minima instead of comparing all pairs of a group.
-    """
-    best = options.groupBy(group, x).agg(F.min(y).alias("_best_y"))
-    w = W.partitionBy(group).orderBy(x).rowsBetween(W.unboundedPreceding, -1)
-    best = best.withColumn("_earlier", F.min("_best_y").over(w))
-    beaten = (F.col(y) > F.col("_best_y")) | F.coalesce(F.col("_earlier") <= F.col(y), F.lit(False))
-    return options.join(best, [group, x]).withColumn("is_pareto", (~beaten).cast("int")).drop("_best_y", "_earlier")
+
+def _front(x: np.ndarray) -> np.ndarray:
+    """Which of the distinct rows no other row beats: none is at least as low everywhere."""
+    keep = np.zeros(len(x), bool)
+    left = np.lexsort((*x.T, x.sum(axis=1)))
+    while len(left):
+        first, left = left[0], left[1:]
+        keep[first] = True  # nothing with a larger sum beats it
+        left = left[~(x[left] >= x[first]).all(axis=1)]
+    return keep
+
+
+def _fronts(aims: int):
+    """The front of each group among the rows of a partition."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema
+            x = np.stack([np.asarray(batch.column(f"a{i}"), dtype=float) for i in range(aims)], axis=1) if len(batch) else np.zeros((0, aims))
+            groups = batch.column("g").dictionary_encode()
+            place = np.asarray(groups.indices.fill_null(-1))
+            for k in np.unique(place):
+                name = None if k < 0 else groups.dictionary[int(k)].as_py()
+                rows = x[place == k]
+                rows = np.concatenate([held[name], rows]) if name in held else rows
+                rows = np.unique(rows, axis=0)
+                held[name] = rows[_front(rows)]
+        if kind is not None:
+            for name, rows in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), kind.field("g").type), *[pa.array(rows[:, i]) for i in range(aims)]], schema=kind)
+
+    return reduce
 
 
-def dominated(options: DataFrame, group: str = "market", x: str = "cost_proxy", y: str = "late_rate") -> DataFrame:
-    return pareto_front(options, group, x, y).where("is_pareto = 0").drop("is_pareto")
+def _beaten(aims: int):
+    """Rows of the first block of a pair that a row of the second beats."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.stack([np.asarray(table[f"a{i}"], dtype=float) for i in range(aims)], axis=1)
+        judge = np.asarray(table["judge"])
+        judges, out = x[judge], []
+        for i in np.flatnonzero(~judge):
+            if ((judges <= x[i]).all(axis=1) & (judges < x[i]).any(axis=1)).any():
+                out.append(i)
+        return table.take(pa.array(out, pa.int64())).select(["g", *[f"a{i}" for i in range(aims)]])
+
+    return run
+
+
+def pareto_front(options: DataFrame, group: str = "market", *aims: str) -> DataFrame:
+    """Mark the options no other option of the group beats in all aims, which are minimised (equal options stay).
+
+    By default the aims are ``cost_proxy`` and ``late_rate``. Every task first reduces its rows to fronts; fronts of
+    several tasks meet in further rounds, dealt by hash so that one large group is spread; what is left is
+    compared block by block. An option with a missing aim beats nothing and is not on the front.
+    """
+    aims = list(aims) or ["cost_proxy", "late_rate"]
+    spark = options.sparkSession
+    names = [f"a{i}" for i in range(len(aims))]
+    known = F.lit(True)
+    for a in aims:
+        known = known & F.col(a).isNotNull() & ~F.isnan(F.col(a).cast("double"))
+    left = options.where(known).select(F.col(group).alias("g"), *[(F.col(a).cast("double") + 0.0).alias(n) for a, n in zip(aims, names)])
+    kind = ", ".join([f"g {dict(options.dtypes)[group]}", *[f"{n} double" for n in names]])
+    for turn in range(FRONT_ROUNDS):
+        if turn:
+            left = left.repartition(num_shuffle_partitions(spark), F.xxhash64(F.lit(turn), *names))
+        left = cut(left.mapInArrow(_fronts(len(aims)), kind))
+    left = left.distinct()
+    sizes = left.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / FRONT_BLOCK).cast("int").alias("n"))
+    placed = left.join(sized(sizes), F.col("g").eqNullSafe(F.col("_g"))).withColumn("block", F.pmod(F.xxhash64(*names), F.col("n")).cast("int"))
+    others = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pairs = others.select("g", *names, F.col("block").alias("i"), F.col("o").alias("j"), F.lit(False).alias("judge")).unionByName(
+        others.select("g", *names, F.col("o").alias("i"), F.col("block").alias("j"), F.lit(True).alias("judge")))
+    beaten = pairs.groupBy("g", "i", "j").applyInArrow(_beaten(len(aims)), kind).distinct()
+    l, r = left.alias("l"), beaten.alias("r")
+    front = l.join(r, _all(F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ["g", *names]), "left_anti")
+    flagged = front.select(F.col("g").alias("_g"), *[F.col(n).alias(f"_{n}") for n in names], F.lit(1).alias("is_pareto"))
+    on = _all([F.col(group).eqNullSafe(F.col("_g")), *[F.col(a).cast("double") == F.col(f"_{n}") for a, n in zip(aims, names)]])
+    return options.join(flagged, on, "left").withColumn("is_pareto", F.coalesce("is_pareto", F.lit(0))).drop("_g", *[f"_{n}" for n in names])
+
+
+def _all(parts) -> Column:
+    out = F.lit(True)
+    for p in parts:
+        out = out & p
+    return out
+
+
+def dominated(options: DataFrame, group: str = "market", *aims: str) -> DataFrame:
+    return pareto_front(options, group, *aims).where("is_pareto = 0").drop("is_pareto")
 
 
 def esg_score(df: DataFrame) -> DataFrame:

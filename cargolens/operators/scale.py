@@ -124,36 +124,60 @@ def running_totals(
     )
 
 
+#: Accuracy of the sketch behind exact quantiles: brackets hold about 4 / ACCURACY of a group's values. Groups of up to
+#: SMALL_GROUP values are taken whole, because there a bracket could miss by the rounding of ranks.
+ACCURACY, SMALL_GROUP = 1000, 4000
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Mapping[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles: one row per (group, column).
+    """Exact, linearly interpolated quantiles: one row per (group, column) that has values. Nulls and NaN don't count.
 
-    Counts by value, then ranks from running totals: no task collects a whole column.
+    A sketch brackets every quantile from both sides; a second pass counts what lies below a bracket and keeps the
+    values inside, so that only they are shuffled and ranked. Null groups are groups.
     """
-    counts = (
-        _melt(df, columns, "double", by)
-        .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
-        .groupBy(*by, "_column", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = running_totals(counts, "_value", {"n": "_n"}, [*by, "_column"])
-    last = F.col("n_all") - 1
+    known = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    slack = 2 / ACCURACY
+    lows, highs = [[min(max(p + d, 0.0), 1.0) for p in probs.values()] for d in (-slack, slack)]
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.count(known[c]).alias(f"n{i}"), F.percentile_approx(known[c], lows, ACCURACY).alias(f"l{i}"),
+                 F.percentile_approx(known[c], highs, ACCURACY).alias(f"h{i}")]
+    marks = (df.groupBy(*by) if by else df).agg(*aggs)
+    if by:
+        keys = [f"_by{i}" for i in range(len(by))]
+        side = sized(marks.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.struct(*[c for c in marks.columns if c not in by]).alias("_m")))
+        same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)]
+        rows, m = df.select(*by, *[c for c in columns if c not in by]).join(side, same), F.col("_m")
+    else:
+        rows, m = df, marks.select(F.struct("*").alias("m")).scalar()
+    entries = []
+    for i, c in enumerate(columns):
+        n, v = m.getField(f"n{i}"), known[c]
+        for j, p in enumerate(probs.values()):
+            whole = n <= SMALL_GROUP
+            low = F.when(whole | F.lit(p <= slack), F.lit(float("-inf"))).otherwise(F.get(m.getField(f"l{i}"), F.lit(j)))
+            high = F.when(whole | F.lit(p >= 1 - slack), F.lit(float("inf"))).otherwise(F.get(m.getField(f"h{i}"), F.lit(j)))
+            entries.append(F.when(v <= high, F.struct(F.lit(c).alias("_column"), F.lit(j).alias("_p"), n.alias("_all"), F.when(v >= low, v).alias("_value"))))
+    each = rows.select(*by, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e")).select(*by, "_e.*")
+    counts = cut(each.groupBy(*by, "_column", "_p", "_all", "_value").agg(F.count(F.lit(1)).alias("_n")))
+    of = [*by, "_column", "_p"]
+    below = counts.groupBy(*of, "_all").agg(F.sum(F.when(F.col("_value").isNull(), F.col("_n")).otherwise(0)).alias("_below"))
+    # Groups are told apart by a hash that takes nulls for values, so that joins keep null groups.
+    group = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in of])
+    ranked = running_totals(counts.where("_value IS NOT NULL").select(group.alias("_g"), "_value", "_n"), "_value", {"n": "_n"}, ["_g"])
+    place = F.element_at(F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("_p") + 1) * (F.col("_all") - 1)
+    both = ranked.join(below.withColumn("_g", group).withColumn("_place", place), "_g")
+    start = F.col("_below") + F.col("n_before")
 
     def at(position: Column) -> Column:
-        hit = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n_ties"))
-        return F.max(F.when(hit, F.col("_value")))
+        return F.max(F.when((start <= position) & (position < start + F.col("n_ties")), F.col("_value")))
 
-    aggs = []
-    for name, p in probs.items():
-        place = last * F.lit(float(p))
-        aggs += [at(F.floor(place)).alias(f"_{name}_lo"), at(F.ceil(place)).alias(f"_{name}_hi"),
-                 F.max(place - F.floor(place)).alias(f"_{name}_w")]
-    out = ranked.groupBy(*by, "_column").agg(*aggs)
-    return out.select(
-        *by, F.col("_column").alias("column"),
-        *[(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")).alias(n) for n in probs],
-    )
+    found = both.groupBy(*of).agg(at(F.floor("_place")).alias("_lo"), at(F.ceil("_place")).alias("_hi"), F.max(F.col("_place") - F.floor("_place")).alias("_w"))
+    value = F.col("_lo") + F.when(F.col("_w") > 0, (F.col("_hi") - F.col("_lo")) * F.col("_w")).otherwise(0.0)
+    return found.withColumn("_q", value).groupBy(*by, F.col("_column").alias("column")).agg(
+        *[F.max(F.when(F.col("_p") == j, F.col("_q"))).alias(name) for j, name in enumerate(probs)])
 
 
 # --- Splits ------------------------------------------------------------------------------
