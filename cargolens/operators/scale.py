@@ -160,7 +160,7 @@ def exact_quantiles(
             low = F.when(whole | F.lit(p <= slack), F.lit(float("-inf"))).otherwise(F.get(m.getField(f"l{i}"), F.lit(j)))
             high = F.when(whole | F.lit(p >= 1 - slack), F.lit(float("inf"))).otherwise(F.get(m.getField(f"h{i}"), F.lit(j)))
             entries.append(F.when(v <= high, F.struct(F.lit(c).alias("_column"), F.lit(j).alias("_p"), n.alias("_all"), F.when(v >= low, v).alias("_value"))))
-    each = rows.select(*by, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e")).select(*by, "_e.*")
+    each = rows.select(*by, F.array(*entries).alias("_a")).select(*by, F.explode("_a").alias("_e")).where("_e IS NOT NULL").select(*by, "_e.*")
     counts = cut(each.groupBy(*by, "_column", "_p", "_all", "_value").agg(F.count(F.lit(1)).alias("_n")))
     of = [*by, "_column", "_p"]
     below = counts.groupBy(*of, "_all").agg(F.sum(F.when(F.col("_value").isNull(), F.col("_n")).otherwise(0)).alias("_below"))
