@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargolens.session import cut
+from cargolens.session import cut, num_shuffle_partitions
 
 #: Bins of a feature, the missing values' one included; rows that teach one model.
 BINS, TRAIN_ROWS = 128, 1 << 18
@@ -30,6 +30,8 @@ ALL_ROWS = None
 PENALTY, LEAST_CURVE = 1.0, 1.0
 #: Trees of a forest grown by one task.
 TREE_BLOCK = 25
+#: Partitions of the groups, in shuffle partitions.
+SPREAD = 4
 NODES = "key string, tree int, node int, feature int, threshold double, child int, value double, gain double, cover double"
 
 
@@ -240,7 +242,9 @@ def fit(rows: DataFrame, features: Sequence[str], plan: Plan, target: str, key:
         chosen = binned.join(sizes, "key").where(F.pmod(F.xxhash64("order", F.lit(1)), F.lit(1 << 40)) < F.col("share") * float(1 << 40))
     blocks = -(-plan.trees // TREE_BLOCK) if plan.kind == "forest" else 1
     dealt = chosen.select("key", "y", "w", "order", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    nodes = cut(dealt.groupBy("key", "block").applyInArrow(_group(plan, edges), NODES))
+    # Groups are few and their bytes small, but each is minutes of work: their number of partitions is not left to their size.
+    spread = dealt.repartition(SPREAD * num_shuffle_partitions(rows.sparkSession), "key", "block")
+    nodes = cut(spread.groupBy("key", "block").applyInArrow(_group(plan, edges), NODES))
     return Ensemble(nodes, features, plan.kind, plan.depth)
 
 
