@@ -348,6 +348,10 @@ def q_cancel_score(spark, sf):
     return classify.cancel_score(cancel_model(spark, sf), cancel_rows(spark, sf)[0]).select(*KEYS, "cancellation_probability", "cancellation_flag")
 
 
+# With these, order lines that share all keys are told apart.
+MEASURES = ("sales", "quantity", "discount_rate")
+
+
 def composite(spark, sf):
     """The three fitted models scored in one chain over one table: no join back by position or key."""
     df = labelled(spark, sf)
@@ -358,12 +362,12 @@ def composite(spark, sf):
     drop = [f"{c}_code" for c in classify.FRAUD_CATEGORIES]
     coded, _, _ = classify.cancel_inputs(out.drop(*drop))
     out = classify.predict_probability(cancel_model(spark, sf), coded, "p_cancel", flag=None)
-    return risk.composite_risk(out.select(*KEYS, "order_region", "market", "p_late", "p_fraud", "p_cancel"))
+    return risk.composite_risk(out.select(*KEYS, *MEASURES, "order_region", "market", "p_late", "p_fraud", "p_cancel"))
 
 
 @query("composite_model_risk")
 def q_composite(spark, sf):
-    return composite(spark, sf)
+    return composite(spark, sf).drop(*MEASURES)
 
 
 # --- Persistence -------------------------------------------------------------------------
@@ -403,9 +407,10 @@ def q_load(spark, sf):
     """A stored bundle read back scores all raw orders like the models of this session (difference 0)."""
     bundle = load_bundle(spark, order_bundle(spark, sf))
     names = ("p_late", "p_fraud", "p_cancel", "composite_risk_score")
-    stored = scoring.score_orders(items(spark, sf, *FEATURE_INPUTS), bundle.models, bundle.tables).select(*KEYS, "order_region", *names)
-    own = composite(spark, sf).select(*KEYS, *[F.col(c).alias(f"own_{c}") for c in names])
-    both = stored.join(own, list(KEYS), "left")
+    keys = [*KEYS, *MEASURES]
+    stored = scoring.score_orders(items(spark, sf, *FEATURE_INPUTS), bundle.models, bundle.tables).select(*keys, "order_region", *names)
+    own = composite(spark, sf).groupBy(*keys).agg(*[F.max(c).alias(f"own_{c}") for c in names])  # lines equal in all of them have equal scores
+    both = stored.join(own, keys, "left")
     moved = F.greatest(*[F.coalesce(F.abs(F.col(c) - F.col(f"own_{c}")), F.lit(1.0)) for c in names])
     return both.groupBy("order_region").agg(F.count(F.lit(1)).alias("orders"), F.max(moved).alias("largest_difference"))
 
