@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
 from cargolens.operators import clean, features, risk
-from cargolens.plans.inputs import KEYS, feature_table, items, regional, scored_items
+from cargolens.plans.inputs import KEYS, feature_table, items, regional, regional_written, scored_items
 from cargolens.plans.registry import query
 from cargolens.plans.sql import FEAT, GEO, HAVERSINE, OI, PLANAR, R, SCORED, SEASON, WEATHER
 from cargolens.sources.orders import parse_date
@@ -107,7 +107,7 @@ HOLES = f"""holes AS (SELECT {K}, CASE WHEN order_id % 97 = 0 THEN NULL ELSE sal
 
 def holes(spark, sf):
     """Order items with nulls put in by key rules."""
-    df = regional(spark, sf, *KEYS, "sales", "quantity", "category_name", "customer_segment", "order_date")
+    df = regional_written(spark, sf, *KEYS, "sales", "quantity", "category_name", "customer_segment", "order_date")
     rules = {"sales": 97, "quantity": 89, "category_name": 83, "customer_segment": 79}
     return df.withColumns({c: F.when(F.col("order_id") % m != 0, F.col(c)) for c, m in rules.items()}).drop("order_region")
 

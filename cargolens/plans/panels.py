@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
 from cargolens.operators import features, panel
-from cargolens.plans.inputs import items, regional
+from cargolens.plans.inputs import items, regional, regional_written
 from cargolens.plans.registry import query
 from cargolens.plans.sql import OI, PANEL, R, REG
 
@@ -66,7 +66,7 @@ WITH {PANEL} {REG} {DOM} SELECT macro_region, {DATE}, {R('sales', 2)} AS sales,
  {R('region_avg_order_value', 4)} AS region_avg_order_value, geographic_cluster, (isodow(date)-1)::INT AS dayofweek, month(date)::INT AS month,
  (last_day(date)=date)::INT AS is_month_end FROM panel JOIN reg USING (macro_region) JOIN dom USING (macro_region) WHERE r = 1""")
 def q_panel_merge(spark, sf):
-    base = regional(spark, sf, "order_id", "store_id", "order_date", "sales", "quantity", "late_risk", "customer_id", "days_real", "discount_rate")
+    base = regional_written(spark, sf, "order_id", "store_id", "order_date", "sales", "quantity", "late_risk", "customer_id", "days_real", "discount_rate")
     out = panel.build_panel(base, features.regional_stats(base), panel.dominant_cluster(rule_labels(base)))
     out = out.withColumns({"sales": X.rnd("sales", 2), "region_late_rate": X.rnd("region_late_rate", 6),
                            "region_avg_order_value": X.rnd("region_avg_order_value", 4)})

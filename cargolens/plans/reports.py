@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
 from cargolens.operators import aggregate, features
-from cargolens.plans.inputs import feature_table, items, regional
+from cargolens.plans.inputs import feature_table, items, regional, regional_written
 from cargolens.plans.registry import query
 from cargolens.plans.sql import FEAT, GEO, OI, R
 
@@ -36,7 +36,7 @@ SELECT g.macro_region, {R('avg(late_risk)')} AS late_mean, {R('stddev_samp(late_
  median(days_real)::DOUBLE AS days_median, any_value(seg.customer_segment) AS main_segment
 FROM geo g JOIN seg ON g.macro_region = seg.macro_region AND seg.r = 1 GROUP BY 1""")
 def q_regional_ext(spark, sf):
-    df = features.add_distance(regional(spark, sf, "order_country", "latitude", "longitude", "late_risk", "days_real",
+    df = features.add_distance(regional_written(spark, sf, "order_country", "latitude", "longitude", "late_risk", "days_real",
                                         "order_item_total", "customer_segment"))
     out = _round(features.regional_stats_ext(df), 6, "late_mean", "late_std")
     return _round(_round(out, 3, "distance_mean", "distance_max", "total_mean"), 1, "total_sum")
@@ -61,7 +61,7 @@ SELECT macro_region, min(days_real)::BIGINT AS low, min(days_real) FILTER (days_
  any_value(median)::DOUBLE AS median, any_value(q3)::DOUBLE AS q3, max(days_real) FILTER (days_real <= q3+1.5*(q3-q1))::BIGINT AS whisker_high,
  max(days_real)::BIGINT AS high, count(*) FILTER (days_real < q1-1.5*(q3-q1) OR days_real > q3+1.5*(q3-q1)) AS outliers FROM t JOIN q USING (macro_region) GROUP BY 1""")
 def q_box(spark, sf):
-    out = aggregate.shipping_days_box(regional(spark, sf, "days_real"))
+    out = aggregate.shipping_days_box(regional_written(spark, sf, "days_real"))
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("low", "whisker_low", "whisker_high", "high")})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions import columns as X
 from cargolens.operators import finance, risk
-from cargolens.plans.inputs import KEYS, items, scored_items
+from cargolens.plans.inputs import KEYS, items, scored_items, written
 from cargolens.plans.registry import query
 from cargolens.plans.sql import OI, PLANAR, R, SCORED
 
@@ -131,7 +131,7 @@ ec AS (SELECT *, carbon_kg*0.05::DOUBLE AS esg_cost, profit/greatest(carbon_kg,
 
 
 def esg(spark, sf):
-    return finance.esg_score(items(spark, sf, *KEYS, "latitude", "longitude", "market", "order_region", "shipping_mode", "quantity", "profit"))
+    return finance.esg_score(written(spark, sf, *KEYS, "latitude", "longitude", "market", "order_region", "shipping_mode", "quantity", "profit"))
 
 
 @query("esg_score", f"""
