@@ -6,7 +6,9 @@ no text is cut, a text larger than a block is a block of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,26 @@ def lean_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker process lives on, idle or not, beside those of later steps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(task: Callable) -> Callable:
+    """A batch function whose worker gives freed memory back at the end of a task."""
+    @wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def own_name(df: DataFrame, wanted: str) -> str:
     """A helper column name that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}

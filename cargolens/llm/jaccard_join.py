@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargolens.llm import common
-from cargolens.llm.common import Forest, drawn_together, mix, need, whole_groups
+from cargolens.llm.common import Forest, drawn_together, mix, need, tidy, whole_groups
 from cargolens.operators.density import connected_components
 from cargolens.session import cut, num_shuffle_partitions
 
@@ -202,12 +202,12 @@ def candidates(classes: DataFrame, runs: range) -> DataFrame:
     spark = classes.sparkSession
     parts = num_shuffle_partitions(spark)
     edges = None
-    rows = classes.select("cls", "sig").mapInArrow(_walk(runs), "node bigint, cls binary")
+    rows = classes.select("cls", "sig").mapInArrow(tidy(_walk(runs)), "node bigint, cls binary")
     for depth in range(1, DEPTH + 1):
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = cut(rows.join(counts, "node").select("node", "cls", "n"))
         small = met.where(F.col("n") <= SMALL).select("node", "cls").join(classes.select("cls", "sketch"), "cls").repartition(parts, "node") \
-            .sortWithinPartitions("node", "cls").mapInArrow(_brute, "a binary, b binary, node bigint")
+            .sortWithinPartitions("node", "cls").mapInArrow(tidy(_brute), "a binary, b binary, node bigint")
         found, onward = cut(small), None
         star, deeper = _large(met.where(F.col("n") > SMALL), classes, depth == DEPTH)
         more = found.where("b IS NOT NULL").select("a", "b")
@@ -226,7 +226,7 @@ def candidates(classes: DataFrame, runs: range) -> DataFrame:
         onward = cut(onward)
         if onward.isEmpty():
             break
-        rows = onward.join(classes.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInArrow(_walk(runs), "node bigint, cls binary")
+        rows = onward.join(classes.select("cls", "sig"), "cls").select("node", "cls", "sig").mapInArrow(tidy(_walk(runs)), "node bigint, cls binary")
     return edges.distinct()
 
 
@@ -247,7 +247,7 @@ def _large(met: DataFrame, classes: DataFrame, last: bool) -> tuple[DataFrame |
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     whole = few.where("near").select("node", F.pmod(F.xxhash64("cls"), chunks).cast("int").alias("chunk"), "cls", "sketch", F.lit(False).alias("far"))
     sent = few.where("NOT near").select("node", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "cls", "sketch", F.lit(True).alias("far"))
-    found = whole.unionByName(sent).repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(_against, "a binary, b binary")
+    found = whole.unionByName(sent).repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk").mapInArrow(tidy(_against), "a binary, b binary")
     return star.unionByName(cut(found)), judged.join(left.where(F.col("others") > FEW), "node").select("node", "cls")
 
 
@@ -275,7 +275,7 @@ def audited(classes: DataFrame, groups: DataFrame) -> float:
     spark = classes.sparkSession
     sample = classes.orderBy(F.xxhash64("cls", F.lit(5)), "cls").limit(AUDIT).select("cls", "sketch").collect()
     sent = spark.sparkContext.broadcast(([r["cls"] for r in sample], [np.frombuffer(r["sketch"], np.uint8) for r in sample]))
-    pairs = classes.select("cls", "sketch").mapInArrow(_partners(sent), "one binary, cls binary").where("one != cls")
+    pairs = classes.select("cls", "sketch").mapInArrow(tidy(_partners(sent)), "one binary, cls binary").where("one != cls")
     root = groups.select("node", "root")
     placed = pairs.join(root.withColumnRenamed("node", "cls"), "cls", "left") \
         .join(root.select(F.col("node").alias("one"), F.col("root").alias("own")), "one", "left")
@@ -365,7 +365,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: float
     common.lean_batches(spark)
     rows = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    signed = cut(rows.mapInArrow(_signed, f"row bigint, key {kind}, size bigint, cls binary, sig binary, sketch binary"))
+    signed = cut(rows.mapInArrow(tidy(_signed), f"row bigint, key {kind}, size bigint, cls binary, sig binary, sketch binary"))
     classes = cut(signed.where("cls IS NOT NULL").groupBy("cls").agg(
         F.min("row").alias("row"), F.count(F.lit(1)).alias("members"), F.first("size").alias("size"), F.first("sig").alias("sig"),
         F.first("sketch").alias("sketch")))
@@ -375,13 +375,13 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", recall: float
     wanted = sized.join(sizes, "group").select("row", "cls", "members", "group", "n")
     one = rows.select("row", "text").join(wanted, "row").groupBy("row", "cls", "members", "group", "n").agg(F.first("text").alias("text"))
     blocks = F.col("n")
-    sets = one.select("cls", "group", "n", "members", "text").mapInArrow(_shingled, "cls binary, group binary, n int, members bigint, shingles array<bigint>") \
+    sets = one.select("cls", "group", "n", "members", "text").mapInArrow(tidy(_shingled), "cls binary, group binary, n int, members bigint, shingles array<bigint>") \
         .withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     paired = sets.select("*", other.alias("o")).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
     linked = cut(paired.select("group", "i", "j", "block", "cls", "members", "shingles")
                  .repartition(num_shuffle_partitions(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j")
-                 .mapInArrow(_linked, "a binary, b binary, links bigint"))
+                 .mapInArrow(tidy(_linked), "a binary, b binary, links bigint"))
     links = linked.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     roots = connected_components(classes.select(F.col("cls").alias("node")), drawn_together(linked.where("b IS NOT NULL"), meet=False))
     result = classes.select("cls", "members").join(roots, F.col("cls") == F.col("node")).join(links, "cls", "left") \

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import id_mod, lean_batches, mix, need, runs
+from cargolens.llm.common import id_mod, lean_batches, mix, need, runs, tidy
 from cargolens.session import cut
 
 SIZE = 3
@@ -151,7 +151,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
     need(docs, text, lang)
     lean_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counted = rows.mapInArrow(_counted(), "lang string, gram bigint, n bigint") \
+    counted = rows.mapInArrow(tidy(_counted()), "lang string, gram bigint, n bigint") \
         .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = cut(counted)
     # A gram's languages meet in one row; the totals come along as a second aggregate over the same counts.
@@ -201,7 +201,8 @@ def predict_column(spark: SparkSession, filters: Filters):
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.float64())],
                                           names=["lang", "score", "share"])
 
-    return predict
+    # Taken as not deterministic: else a filter on the result is moved below it, where every text is read a second time.
+    return predict.asNondeterministic()
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text", prefix: str = "lang_") -> DataFrame:

@@ -22,15 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from cargolens.llm.common import lean_batches, need, own_name, runs
+from cargolens.llm.common import lean_batches, need, own_name, runs, tidy
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHED, LONGEST = 150_000, 64
+#: Words whose ids a worker keeps: up to twice so many, as an older and a younger half.
+CACHED, LONGEST = 32_768, 64
 #: Words up to this length are merged together, so many at once.
 SHORT, TOGETHER = 30, 4096
 #: Characters of the texts whose words are looked up together.
-RUN = 1 << 20
+RUN = 1 << 18
 _NEVER = float("inf")
 #: Of this many texts of a batch, one is encoded by the library as well.
 CHECK_EVERY = 16
@@ -251,6 +252,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", check_e
     kind = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if lists else "")
 
     @F.arrow_udf(kind)
+    @tidy
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         e = encoder(sent.value)
         for batch in batches:
