@@ -202,7 +202,8 @@ def distribution_shift(df: DataFrame, value: str = "days_real", region: str = "o
     late = F.col("a1") + F.col("a0")
     cross = F.col("a1") * (F.col("m0") - F.col("a0")) - F.col("a0") * (F.col("m1") - F.col("a1"))
     corrected = F.greatest(F.abs(cross) - total / 2, F.lit(0.0))
-    chi2 = X.ratio(total * corrected * corrected, late * (total - late) * F.col("m1") * F.col("m0"))
+    # As doubles: a product of four counts outgrows a long from some 50,000 rows a quarter.
+    chi2 = X.ratio(total * corrected * corrected, late.cast("double") * (total - late) * F.col("m1") * F.col("m0"))
     return pairs.join(ks, [region, "quarter_start"]).select(
         region, "quarter_start", "ks_distance", chi2.alias("late_chi2")
     )
